@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import license_scan, mixing, quality_model, quality_rules, token_count, token_output
+from plumbline.llm import jaccard_join, license_scan, mixing, quality_model, quality_rules, token_count, token_output
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,10 @@ def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.encode_and_read(_table(spark, sf_dir, "documents"))
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.similar(_table(spark, sf_dir, "documents"))
+
+
 def op7_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(_table(spark, sf_dir, "documents"))
 
@@ -41,7 +45,7 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op2_quality_model, op3_mixing, op4_token_output, op7_token_count, op8_quality_rules, op9_license_scan)
+    for f in (op2_quality_model, op3_mixing, op4_token_output, op6_jaccard_join, op7_token_count, op8_quality_rules, op9_license_scan)
 }
 
 ORACLE_SQL: dict[str, str] = {
