@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import jaccard_join, license_scan, mixing, quality_model, quality_rules, token_count, token_output
+from plumbline.llm import decontaminate, jaccard_join, license_scan, mixing, quality_model, quality_rules, token_count, token_output
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +35,10 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.cascade(docs, report=True).select("doc_id", *quality_rules.REPORT, "base_failed", "kept")
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op2_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -45,7 +49,7 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op2_quality_model, op3_mixing, op4_token_output, op6_jaccard_join, op7_token_count, op8_quality_rules, op9_license_scan)
+    for f in (op1_decontaminate, op2_quality_model, op3_mixing, op4_token_output, op6_jaccard_join, op7_token_count, op8_quality_rules, op9_license_scan)
 }
 
 ORACLE_SQL: dict[str, str] = {
