@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import decontaminate, jaccard_join, license_scan, mixing, quality_model, quality_rules, token_count, token_output
+from plumbline.llm import decontaminate, jaccard_join, license_scan, line_dedup, mixing, quality_model, quality_rules, token_count, token_output
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,9 +47,13 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(_table(spark, sf_dir, "documents")).drop("places")
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup(_table(spark, sf_dir, "documents")).select("doc_id", "removed_lines", "text")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_decontaminate, op2_quality_model, op3_mixing, op4_token_output, op6_jaccard_join, op7_token_count, op8_quality_rules, op9_license_scan)
+    for f in (op1_decontaminate, op2_quality_model, op3_mixing, op4_token_output, op6_jaccard_join, op7_token_count, op8_quality_rules, op9_license_scan, op10_line_dedup)
 }
 
 ORACLE_SQL: dict[str, str] = {
