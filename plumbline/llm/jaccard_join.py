@@ -36,6 +36,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plumbline.llm import shared
 from plumbline.llm import words as W
@@ -244,3 +245,43 @@ def similar(docs: DataFrame, forest: Forest | None = None) -> DataFrame:
     names = known.groupBy("root").agg(F.min("least").alias("class_id"))
     known = known.join(names, "root").select("node", "class_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
     return ids.join(known, "node", "left").select("doc_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
+def _with_node(docs: DataFrame, forest: Forest) -> DataFrame:
+    """``docs`` with ``_node``, the number of the text's set of shingles."""
+
+    def add(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j, h, at in shingles(batch.column(batch.num_columns - 1), forest.width):
+                node, has = node_numbers(h, at)
+                yield pa.RecordBatch.from_arrays([*(c[i:j] for c in batch.columns[:-1]), pa.array(node, mask=~has)], [*docs.columns, "_node"])
+
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    return docs.select(*columns, F.col("text").alias("__text")).mapInArrow(add, T.StructType([*docs.schema.fields, T.StructField("_node", T.LongType())]))
+
+
+def one_of_each(docs: DataFrame, forest: Forest | None = None) -> DataFrame:
+    """The rows of ``docs``, of each class of similar texts the one with the smallest doc_id alone.
+
+    Texts without words are similar to nothing and all stay.  If several rows of
+    a class have its smallest doc_id, one of them stays.
+    """
+    forest = forest or Forest()
+    classes = shared.written(similar(docs, forest), "classes")
+    stay = classes.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_stay"))
+    kept = docs.join(stay.distinct(), F.col("doc_id").eqNullSafe(F.col("_stay")), "left_semi")
+    if stay.groupBy("_stay").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+        return kept
+    # doc_ids that occur twice: the rows of one class are told by their shingles' classes
+    nodes = _with_node(kept, forest)
+    single = nodes.where("_node is not null").dropDuplicates(["doc_id", "_node"])
+    near = components_of(single, forest)
+    single = single.join(near, "_node", "left").withColumn("_root", F.coalesce("_root", "_node")).dropDuplicates(["doc_id", "_root"])
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    return single.select(*columns).unionByName(nodes.where("_node is null").select(*columns))
+
+
+def components_of(nodes: DataFrame, forest: Forest) -> DataFrame:
+    """``_node, _root`` of the texts of ``nodes`` (_node, text), by the join itself with the node as the document's number."""
+    found = similar(nodes.select(F.col("_node").alias("doc_id"), "text").dropDuplicates(["doc_id"]), forest)
+    return found.select(F.col("doc_id").alias("_node"), F.col("class_id").alias("_root"))
