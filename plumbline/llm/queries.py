@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import decontaminate, jaccard_join, license_scan, line_dedup, mixing, quality_model, quality_rules, token_count, token_output
+from plumbline.llm import decontaminate, jaccard_join, license_scan, line_dedup, mixing, quality_model, quality_rules, substring_dedup, token_count, token_output
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,10 @@ def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.encode_and_read(_table(spark, sf_dir, "documents"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeated_passages(_table(spark, sf_dir, "documents"))
+
+
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.similar(_table(spark, sf_dir, "documents"))
 
@@ -53,7 +57,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_decontaminate, op2_quality_model, op3_mixing, op4_token_output, op6_jaccard_join, op7_token_count, op8_quality_rules, op9_license_scan, op10_line_dedup)
+    for f in (op1_decontaminate, op2_quality_model, op3_mixing, op4_token_output, op5_substring_dedup, op6_jaccard_join, op7_token_count, op8_quality_rules, op9_license_scan, op10_line_dedup)
 }
 
 ORACLE_SQL: dict[str, str] = {
