@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,20 +68,110 @@ def bm25_weight(tf: Column, dl: Column, df: Column, n: Column, avgdl: Column, k1
     return idf * (tf * (k1 + 1)) / (tf + k1 * norm)
 
 
-def bm25(chunks: DataFrame, queries: DataFrame, k: int = 50, k1: float = 1.5, b: float = 0.75, tie: tuple[str, ...] = ("chunk_id",), keep: tuple[str, ...] = ()) -> DataFrame:
-    """Hits of BM25; ``keep``: further columns of the chunks that hits carry, and that may break ties."""
-    wanted = query_terms(queries)
-    index = postings(chunks, wanted)
-    df = index.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    stats = corpus_stats(chunks)
-    # df has a row for each query term, stats one row
-    weighted = index.join(broadcast_if_small(df), "term").crossJoin(F.broadcast(stats)).select(
-        "term", "chunk_id", bm25_weight(F.col("tf"), F.col("dl"), F.col("df"), F.col("n_chunks"), F.col("avgdl"), k1, b).alias("w"))
-    # queries may repeat a term in any number, so the larger side is not known: Spark chooses, and splits skewed terms
-    scored = weighted.join(broadcast_if_small(wanted), "term").groupBy("query_id", "chunk_id").agg(F.sum(F.col("w") * F.col("qtf")).alias("score"))
-    if keep:
-        scored = scored.join(chunks.select("chunk_id", *keep), "chunk_id")
-    return top_k(scored, k, *tie)
+def term_counts(chunks: DataFrame, vocabulary: list[str]) -> tuple[dict[str, int], int, float]:
+    """Chunks that hold each term of ``vocabulary``, chunks, and terms a chunk, in one scan; each task sends a row a term."""
+    words = frozenset(vocabulary)
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df: dict[str, int] = dict.fromkeys(words, 0)
+        n = total = 0
+        for batch in batches:
+            for row in batch.column(0).to_pylist():
+                n += 1
+                total += len(row)
+                for t in words.intersection(row):
+                    df[t] += 1
+        keys, counts = [*df, "", " "], [*df.values(), n, total]
+        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts, pa.int64())], ["term", "n"])
+
+    cut = chunks.select(terms(F.coalesce(F.col("text"), F.lit(""))).alias("terms"))
+    rows = cut.mapInArrow(count, "term string, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect()  # a row a query term
+    sums = {r["term"]: r["n"] for r in rows}
+    n, total = sums.pop("", 0) or 0, sums.pop(" ", 0) or 0
+    return {t: k for t, k in sums.items() if k}, n, (total / n if n else 0.0)
+
+
+def _asked(queries: DataFrame, block: int) -> Iterator[dict]:
+    """Blocks of at most ``block`` queries: each one's terms with how often it has them."""
+    out: dict = {}
+    cut = queries.select("query_id", terms(F.coalesce(F.col("text"), F.lit(""))).alias("terms"))
+    for r in cut.toLocalIterator():
+        counts = out.setdefault(r["query_id"], {})
+        for t in r["terms"]:
+            counts[t] = counts.get(t, 0) + 1
+        if len(out) == block:
+            yield out
+            out = {}
+    yield out
+
+
+def arrow_type(df: DataFrame, column: str) -> pa.DataType:
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    return to_arrow_type(df.schema[column].dataType)
+
+
+def bm25(chunks: DataFrame, queries: DataFrame, k: int = 50, k1: float = 1.5, b: float = 0.75, tie: tuple[str, ...] = ("chunk_id",), keep: tuple[str, ...] = (), block: int = 512) -> DataFrame:
+    """Hits of BM25; ``keep``: further columns of the chunks that hits carry, and that may break ties.
+
+    The queries are a stated set, taken in blocks of ``block``.  A scan counts
+    the block's terms in the corpus; a second one multiplies each batch of
+    chunks, as a matrix of term weights, by the block's matrix and keeps the k
+    best chunks of each query, so that k rows a query leave a batch and no
+    postings are shuffled.  Ties are cut by the same order as in the end.
+    """
+    columns = list(dict.fromkeys(["chunk_id", *tie, *keep]))
+    id_type = arrow_type(queries, "query_id")
+    kinds = ", ".join(f"`{c}` {chunks.schema[c].dataType.simpleString()}" for c in columns)
+    schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, {kinds}, score double"
+    out = None
+    for asked in _asked(queries, block):
+        vocabulary = sorted({t for own in asked.values() for t in own})
+        df, n, avgdl = term_counts(chunks, vocabulary)
+        number = {t: i for i, t in enumerate(df)}
+        idf = np.array([np.log(1 + (n - f + 0.5) / (f + 0.5)) for f in df.values()])
+        ids = list(asked)
+        matrix = np.zeros((len(ids), len(number)))
+        for q, own in enumerate(asked.values()):
+            for t, c in own.items():
+                if t in number:
+                    matrix[q, number[t]] = c * idf[number[t]]
+
+        def score(batches: Iterable[pa.RecordBatch], ids=ids, number=number, matrix=matrix, avgdl=avgdl) -> Iterator[pa.RecordBatch]:
+            for whole in batches:
+                for lo in range(0, whole.num_rows, 2048):
+                    batch = whole.slice(lo, 2048)
+                    weights = np.zeros((batch.num_rows, max(len(number), 1)))
+                    for r, row in enumerate(batch.column(len(columns)).to_pylist()):
+                        found = np.array([number[t] for t in row if t in number], np.int64)
+                        if len(found):
+                            term, tf = np.unique(found, return_counts=True)
+                            norm = 1 - b + b * max(len(row), 1) / avgdl if avgdl > 0 else 1.0
+                            weights[r, term] = tf * (k1 + 1) / (tf + k1 * norm)
+                    rows = _best(matrix @ weights.T if len(number) else np.zeros((len(ids), batch.num_rows)), [batch.column(columns.index(c)) for c in tie], k)
+                    q, r, s = rows
+                    yield pa.RecordBatch.from_arrays([pa.array(ids, id_type).take(pa.array(q)), *(batch.column(i).take(pa.array(r)) for i in range(len(columns))), pa.array(s)], ["query_id", *columns, "score"])
+
+        part = chunks.select(*columns, terms(F.coalesce(F.col("text"), F.lit(""))).alias("_terms")).mapInArrow(score, schema)
+        out = part if out is None else out.unionByName(part)
+    return top_k(out, k, *tie).select("query_id", "chunk_id", *[c for c in columns if c != "chunk_id"], "score", "rank")
+
+
+def _best(scores: np.ndarray, ties: list[pa.Array], k: int, above: float = 0.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Query, row and score of the k best rows above a limit of each query, by the score at six decimals and then by ``ties``."""
+    place = np.empty(scores.shape[1], np.int64)
+    place[pc.sort_indices(pa.table(ties, [str(i) for i in range(len(ties))]), sort_keys=[(str(i), "ascending") for i in range(len(ties))]).to_numpy()] = np.arange(scores.shape[1])
+    rounded = np.round(scores, 6)
+    if scores.shape[1] > k:
+        edge = -np.partition(-rounded, k - 1, axis=1)[:, k - 1 : k]
+        q, r = np.nonzero((rounded >= edge) & (scores > above))
+    else:
+        q, r = np.nonzero(scores > above)
+    order = np.lexsort((place[r], -rounded[q, r], q))
+    q, r = q[order], r[order]
+    first = np.searchsorted(q, q)
+    good = np.arange(len(q)) - first < k
+    return q[good], r[good], scores[q[good], r[good]]
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -108,12 +199,10 @@ def dense(vectors: DataFrame, queries: DataFrame, k: int = 50, block: int = 4096
             for batch in batches:
                 if not batch.num_rows:
                     continue
-                e = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
-                s = np.einsum("qd,nd->qn", matrix, e) if len(ids) * batch.num_rows < 1000 else matrix @ e.T
-                order = np.argsort(-np.round(s, 6), axis=1, kind="stable")
-                edge = np.take_along_axis(np.round(s, 6), order[:, [min(k, batch.num_rows) - 1]], 1)
-                good = np.round(s, 6) >= edge
-                q, r = np.nonzero(good)
+                e = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+                e = e.reshape(batch.num_rows, -1)
+                s = matrix @ e.T if matrix.size else np.zeros((len(ids), batch.num_rows))
+                q, r, _ = _best(s, [batch.column(0)], k, -np.inf)
                 yield pa.RecordBatch.from_arrays([pa.array(ids, id_type).take(pa.array(q)), batch.column(0).take(pa.array(r)), pa.array(s[q, r])], ["query_id", "chunk_id", "score"])
 
         part = vectors.where("chunk_id is not null and embedding is not null").select("chunk_id", "embedding").mapInArrow(score, f"query_id {qkind}, chunk_id {kind}, score double")
@@ -123,7 +212,7 @@ def dense(vectors: DataFrame, queries: DataFrame, k: int = 50, block: int = 4096
 
 def query_blocks(queries: DataFrame, block: int) -> Iterator[tuple[list, np.ndarray, pa.DataType]]:
     ids, rows = [], []
-    id_type = pa.string() if queries.schema["query_id"].dataType.simpleString() == "string" else pa.int64() if queries.schema["query_id"].dataType.simpleString() == "bigint" else pa.int32()
+    id_type = arrow_type(queries, "query_id")
     for r in queries.where("embedding is not null").select("query_id", "embedding").toLocalIterator():
         ids.append(r["query_id"])
         rows.append(r["embedding"])
