@@ -186,7 +186,8 @@ def judged_by_model(pairs: DataFrame, judges: list[Judge]) -> DataFrame:
     from pyspark.sql import types as ST
 
     makers = {j.name: j.connect for j in judges if j.connect}
-    at = {c: i for i, c in enumerate(pairs.columns)}
+    names = [*pairs.columns, "said"]
+    at = {c: i for i, c in enumerate(names)}
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made: dict[str, Callable[[str, str], str]] = {}
@@ -196,7 +197,7 @@ def judged_by_model(pairs: DataFrame, judges: list[Judge]) -> DataFrame:
                 if name not in made:
                     made[name] = makers[name]()
                 said.append(made[name](claim, context))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(said, pa.string())], [*pairs.columns, "said"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(said, pa.string())], names)
 
     return pairs.mapInArrow(run, ST.StructType([*pairs.schema.fields, ST.StructField("said", ST.StringType())]))
 

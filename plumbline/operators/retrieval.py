@@ -226,6 +226,8 @@ def embed(rows: DataFrame, encoder: Callable[[list[str]], np.ndarray], text: str
     """``rows`` with an embedding column, by an encoder of lists of texts that is loaded once a worker."""
     from pyspark.sql import types as T
 
+    names = [*rows.columns, "embedding"]
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = [t or "" for t in b.column(b.num_columns - 1).to_pylist()]
@@ -234,7 +236,7 @@ def embed(rows: DataFrame, encoder: Callable[[list[str]], np.ndarray], text: str
             if normalize and m.size:
                 m = m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(m) + 1, dtype=np.int32) * (m.shape[1] if m.size else 0)), pa.array(m.ravel().astype(np.float32)))
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], lists], [*rows.columns, "embedding"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], lists], names)
 
     schema = T.StructType([*rows.schema.fields, T.StructField("embedding", T.ArrayType(T.FloatType()))])
     return rows.select("*", F.col(text).alias("__text")).mapInArrow(run, schema)

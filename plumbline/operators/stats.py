@@ -71,7 +71,7 @@ def paired_p(a: np.ndarray, b: np.ndarray, resamples: int = 10_000, seed: int =
     return float(np.clip(2 * min((drawn >= 0).mean(), (drawn <= 0).mean()), 0, 1))
 
 
-def with_intervals(items: DataFrame, keys: Sequence[str] = ("task_id", "metric"), resamples: int = RESAMPLES, seed: int = 0, method: str = "percentile", order: str = "item_id") -> DataFrame:
+def with_intervals(items: DataFrame, keys: Sequence[str] = ("task_id", "metric"), resamples: int = RESAMPLES, seed: int = 0, method: str = "percentile", order: str | Sequence[str] = "item_id") -> DataFrame:
     """``keys, mean, ci_lo, ci_hi, n`` from one score an item, by numpy's generator over items in order.
 
     One group's scores are held by one task: a task's items are thousands, not a
@@ -81,7 +81,7 @@ def with_intervals(items: DataFrame, keys: Sequence[str] = ("task_id", "metric")
     kinds = ", ".join(f"`{k}` {items.schema[k].dataType.simpleString()}" for k in keys)
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        x = rows.sort_values(order)["score"].to_numpy(np.float64)
+        x = rows.sort_values([order] if isinstance(order, str) else list(order))["score"].to_numpy(np.float64)
         lo, hi = of(x, resamples, seed)
         return pd.DataFrame({**{k: [rows[k].iloc[0]] for k in keys}, "mean": [float(x.mean())], "ci_lo": [lo], "ci_hi": [hi], "n": [len(x)]})
 

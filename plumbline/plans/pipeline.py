@@ -325,8 +325,9 @@ class Runner:
         items = task.items(spark, self.split).withColumn("query_id", F.col("item_id"))
         result = self.pipeline.index(corpus).answer(items, self.seeds)
         scored = scores(result, items, names).withColumnRenamed("query_id", "item_id")
-        means = stats.item_means(scored, ["metric"])
-        found = {r["metric"]: {"mean": r["mean"], "ci_95": [r["ci_lo"], r["ci_hi"]], "n": r["n"]} for r in stats.with_intervals(means, ["metric"], self.resamples).collect()}  # a row a metric
+        # intervals are drawn by place, so items stand in the task's own order
+        means = stats.item_means(scored, ["metric"]).join(items.select("item_id", "ordinal"), "item_id")
+        found = {r["metric"]: {"mean": r["mean"], "ci_95": [r["ci_lo"], r["ci_hi"]], "n": r["n"]} for r in stats.with_intervals(means, ["metric"], self.resamples, order=("ordinal", "item_id")).collect()}  # a row a metric
         flat = result.answers.select(F.explode(F.array(*[F.struct(F.lit(c).alias("what"), F.col(c).alias("v")) for c in ("cost_usd", "latency_ms")])).alias("x")).select("x.*")
         ops = {r["what"]: {"mean": r["mean"], "p95": r["p95"]} for r in stats.nearest_rank(flat, ["what"], "v").collect()}
         digest = repro.task_data_hash(task.spec.id, task.items(spark, "all"), corpus).first()["task_data_hash"]

@@ -1,7 +1,8 @@
 """Task sources: corpora (doc_id, text, ...) and items as DataFrames.
 
 Items have task_id, item_id, question, gold_answers, gold_passages (null where
-a task has none), corpus_ref, answerable, counter_kind and counter_answer.
+a task has none), corpus_ref, answerable, counter_kind, counter_answer and ordinal (the
+place in the task; null where ids give the order).
 Seed tasks are read from rows in memory; dataset tasks from files of raw
 records (Parquet or JSON) that are mapped, filtered and limited in Spark.
 """
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 ITEMS = (
-    "task_id string, item_id string, question string, gold_answers array<string>, gold_passages array<string>, corpus_ref string, answerable boolean, counter_kind string, counter_answer string"
+    "task_id string, item_id string, question string, gold_answers array<string>, gold_passages array<string>, corpus_ref string, answerable boolean, counter_kind string, counter_answer string, ordinal bigint"
 )
 CORPUS = "doc_id string, text string, role string, ordinal bigint"
 SPLITS = ("public", "holdout", "all")
@@ -125,7 +126,7 @@ def _fixed(spec: Spec, docs: list[tuple[str, str, str | None]], rows: list[tuple
     numbered = [(*d, i) for i, d in enumerate(docs)]
     return Task(
         spec, lambda spark: spark.createDataFrame(numbered, CORPUS),
-        lambda spark, split="all": spark.createDataFrame(rows if holdout or split != "holdout" else [], ITEMS))
+        lambda spark, split="all": spark.createDataFrame([(*r, i) for i, r in enumerate(rows)] if holdout or split != "holdout" else [], ITEMS))
 
 
 def synthetic(corpus: Sequence[tuple[str, str]], items: Sequence[tuple[str, str, Sequence[str], Sequence[str]]], task_id: str = "synthetic-10") -> Task:
@@ -173,7 +174,7 @@ def map_nq(raw: DataFrame) -> DataFrame:
 
 def map_hotpot(raw: DataFrame) -> DataFrame:
     """Records (id, question, answer, paragraphs) from titles, lists of sentences, and supporting titles."""
-    whole = F.zip_with("titles", "sentences", lambda t, s: F.struct(t.alias("title"), F.array_join(F.transform(s, F.trim), " ").alias("text"), F.array_contains("supporting", t).alias("is_gold")))
+    whole = F.zip_with("titles", "sentences", lambda t, s: F.struct(t.alias("title"), F.array_join(F.transform(s, lambda x: F.trim(x)), " ").alias("text"), F.array_contains("supporting", t).alias("is_gold")))
     return raw.select(F.col("id").cast("string").alias("id"), "question", "answer", whole.alias("paragraphs"))
 
 
@@ -232,7 +233,7 @@ def paragraph_items(records: DataFrame, kind: str, split: str = "all") -> DataFr
 def _items(records: DataFrame, task_id: str, ref: str, answers, passages) -> DataFrame:
     return records.select(
         F.lit(task_id).alias("task_id"), F.col("id").alias("item_id"), "question", answers.alias("gold_answers"), passages.alias("gold_passages"), F.lit(ref).alias("corpus_ref"),
-        F.lit(None).cast("boolean").alias("answerable"), F.lit(None).cast("string").alias("counter_kind"), F.lit(None).cast("string").alias("counter_answer"))
+        F.lit(None).cast("boolean").alias("answerable"), F.lit(None).cast("string").alias("counter_kind"), F.lit(None).cast("string").alias("counter_answer"), F.lit(None).cast("bigint").alias("ordinal"))
 
 
 def _dataset(task_id: str, name: str, family: str, mapped, corpus, items):
