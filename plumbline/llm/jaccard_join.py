@@ -34,7 +34,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -248,16 +248,17 @@ def similar(docs: DataFrame, forest: Forest | None = None) -> DataFrame:
 
 
 def _with_node(docs: DataFrame, forest: Forest) -> DataFrame:
-    """``docs`` with ``_node``, the number of the text's set of shingles."""
+    """``docs`` with ``__node``, the number of the text's set of shingles."""
+    names = [*docs.columns, "__node"]
 
     def add(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, h, at in shingles(batch.column(batch.num_columns - 1), forest.width):
                 node, has = node_numbers(h, at)
-                yield pa.RecordBatch.from_arrays([*(c[i:j] for c in batch.columns[:-1]), pa.array(node, mask=~has)], [*docs.columns, "_node"])
+                yield pa.RecordBatch.from_arrays([*(c[i:j] for c in batch.columns[:-1]), pa.array(node, mask=~has)], names)
 
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    return docs.select(*columns, F.col("text").alias("__text")).mapInArrow(add, T.StructType([*docs.schema.fields, T.StructField("_node", T.LongType())]))
+    return docs.select(*columns, F.col("text").alias("__text")).mapInArrow(add, T.StructType([*docs.schema.fields, T.StructField("__node", T.LongType())]))
 
 
 def one_of_each(docs: DataFrame, forest: Forest | None = None) -> DataFrame:
@@ -268,20 +269,18 @@ def one_of_each(docs: DataFrame, forest: Forest | None = None) -> DataFrame:
     """
     forest = forest or Forest()
     classes = shared.written(similar(docs, forest), "classes")
-    stay = classes.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_stay"))
-    kept = docs.join(stay.distinct(), F.col("doc_id").eqNullSafe(F.col("_stay")), "left_semi")
-    if stay.groupBy("_stay").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+    stay = classes.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("__stay"))
+    kept = docs.join(stay.distinct(), F.col("doc_id").eqNullSafe(F.col("__stay")), "left_semi")
+    if stay.groupBy("__stay").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
         return kept
-    # doc_ids that occur twice: the rows of one class are told by their shingles' classes
-    nodes = _with_node(kept, forest)
-    single = nodes.where("_node is not null").dropDuplicates(["doc_id", "_node"])
-    near = components_of(single, forest)
-    single = single.join(near, "_node", "left").withColumn("_root", F.coalesce("_root", "_node")).dropDuplicates(["doc_id", "_root"])
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    return single.select(*columns).unionByName(nodes.where("_node is null").select(*columns))
+    # doc_ids that occur twice do not name a row: there the number of its shingles does
+    nodes = _with_node(docs, forest)
+    roots = components_of(nodes.where("__node is not null"), forest)
+    ranked = nodes.join(roots, "__node", "left").withColumn("__rank", F.row_number().over(Window.partitionBy("__root").orderBy(F.col("doc_id").asc_nulls_last(), "__node")))
+    return ranked.where("__root is null or __rank = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def components_of(nodes: DataFrame, forest: Forest) -> DataFrame:
-    """``_node, _root`` of the texts of ``nodes`` (_node, text), by the join itself with the node as the document's number."""
-    found = similar(nodes.select(F.col("_node").alias("doc_id"), "text").dropDuplicates(["doc_id"]), forest)
-    return found.select(F.col("doc_id").alias("_node"), F.col("class_id").alias("_root"))
+    """``__node, __root`` of the texts of ``nodes`` (__node, text), by the join itself with the node as the document's number."""
+    found = similar(nodes.select(F.col("__node").alias("doc_id"), "text").dropDuplicates(["doc_id"]), forest)
+    return found.select(F.col("doc_id").alias("__node"), F.col("class_id").alias("__root"))

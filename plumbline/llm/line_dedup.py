@@ -88,7 +88,7 @@ def chunks(docs: DataFrame) -> DataFrame:
 
 
 def _same(spans: DataFrame, docs: DataFrame) -> Column:
-    return docs["doc_id"].eqNullSafe(spans["_id"]) & (F.xxhash64(docs["text"]) == spans["_t"])
+    return docs["doc_id"].eqNullSafe(spans["__cut_id"]) & (F.xxhash64(docs["text"]) == spans["__cut_t"])
 
 
 def repeated(docs: DataFrame) -> DataFrame:
@@ -97,11 +97,11 @@ def repeated(docs: DataFrame) -> DataFrame:
     spot = F.struct("doc_id", "t", "number")
     first = every.groupBy("h").agg(F.min(spot).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     suspects = shared.written(every.join(first, "h"), "suspects")
-    spans = suspects.groupBy(F.col("doc_id").alias("_id"), F.col("t").alias("_t")).agg(F.collect_list(F.struct("h", "number", "begin", "end", "n_lines", "first")).alias("spans"))
+    spans = suspects.groupBy(F.col("doc_id").alias("__cut_id"), F.col("t").alias("__cut_t")).agg(F.collect_list(F.struct("h", "number", "begin", "end", "n_lines", "first")).alias("spans"))
     raw = docs.select("doc_id", "text")
     pieces = (
         raw.join(spans, _same(spans, raw))
-        .select(F.col("_id").alias("doc_id"), F.col("_t").alias("t"), F.col("text").cast("binary").alias("raw"), F.explode("spans").alias("s"))
+        .select(F.col("__cut_id").alias("doc_id"), F.col("__cut_t").alias("t"), F.col("text").cast("binary").alias("raw"), F.explode("spans").alias("s"))
         .select("doc_id", "t", "s.*", F.substring("raw", F.col("s.begin") + 1, F.col("s.end") - F.col("s.begin")).alias("piece"))
     )
     pieces = shared.written(pieces, "pieces")
@@ -129,9 +129,9 @@ def without(raw: Column, gone: Column) -> Column:
 def dedup(docs: DataFrame) -> DataFrame:
     """``docs`` with repeated chunks taken out of the text, and ``removed_lines`` long."""
     goes = repeated(docs)
-    gone = goes.groupBy(F.col("doc_id").alias("_id"), F.col("t").alias("_t")).agg(
-        F.sort_array(F.collect_list(F.struct("begin", "end"))).alias("_gone"), F.sum("n_lines").alias("_lines"))
+    gone = goes.groupBy(F.col("doc_id").alias("__cut_id"), F.col("t").alias("__cut_t")).agg(
+        F.sort_array(F.collect_list(F.struct("begin", "end"))).alias("__cut_gone"), F.sum("n_lines").alias("__cut_lines"))
     joined = docs.join(gone, _same(gone, docs), "left")
-    text = F.when(F.col("_gone").isNull(), docs["text"]).otherwise(without(docs["text"].cast("binary"), F.col("_gone")))
+    text = F.when(F.col("__cut_gone").isNull(), docs["text"]).otherwise(without(docs["text"].cast("binary"), F.col("__cut_gone")))
     others = [text.alias("text") if c == "text" else docs[f"`{c}`"] for c in docs.columns if c.lower() != "removed_lines"]
-    return joined.select(*others, F.coalesce("_lines", F.lit(0)).cast("long").alias("removed_lines"))
+    return joined.select(*others, F.coalesce("__cut_lines", F.lit(0)).cast("long").alias("removed_lines"))

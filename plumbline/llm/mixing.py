@@ -152,16 +152,16 @@ def apply_mix(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it."""
     taken = mix(docs, **options)
     # rows that agree in doc_id, source and size share their counts out by place
-    counts = taken.groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_src"), F.col("size").alias("_size")).agg(
-        F.sort_array(F.collect_list("copies"), asc=False).alias("_copies"))
-    key = F.xxhash64("doc_id", "source", "_n")
-    rows = docs.withColumn("_n", n_words(F.col("text"))).withColumn("_key", key)
-    counts = counts.withColumn("_key2", F.xxhash64("_id", "_src", "_size"))
-    same = (F.col("_key") == F.col("_key2")) & F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_src")) & (F.col("_n") == F.col("_size"))
-    several = counts.where(F.size("_copies") > 1)
+    counts = taken.groupBy(F.col("doc_id").alias("__mix_id"), F.col("source").alias("__mix_src"), F.col("size").alias("__mix_size")).agg(
+        F.sort_array(F.collect_list("copies"), asc=False).alias("__mix_copies"))
+    key = F.xxhash64("doc_id", "source", "__mix_n")
+    rows = docs.withColumn("__mix_n", n_words(F.col("text"))).withColumn("__mix_key", key)
+    counts = counts.withColumn("__mix_key2", F.xxhash64("__mix_id", "__mix_src", "__mix_size"))
+    same = (F.col("__mix_key") == F.col("__mix_key2")) & F.col("doc_id").eqNullSafe(F.col("__mix_id")) & F.col("source").eqNullSafe(F.col("__mix_src")) & (F.col("__mix_n") == F.col("__mix_size"))
+    several = counts.where(F.size("__mix_copies") > 1)
     if several.isEmpty():
-        joined = rows.join(counts, same).withColumn("_times", F.element_at("_copies", 1))
+        joined = rows.join(counts, same).withColumn("__mix_times", F.element_at("__mix_copies", 1))
     else:
-        place = Window.partitionBy("_key", "doc_id", "source", "_n").orderBy(F.xxhash64("text"))
-        joined = rows.withColumn("_place", F.row_number().over(place)).join(counts, same).withColumn("_times", F.element_at("_copies", F.col("_place")))
-    return joined.where(F.col("_times") > 0).withColumn("_time", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+        place = Window.partitionBy("__mix_key", "doc_id", "source", "__mix_n").orderBy(F.xxhash64("text"))
+        joined = rows.withColumn("__mix_place", F.row_number().over(place)).join(counts, same).withColumn("__mix_times", F.element_at("__mix_copies", F.col("__mix_place")))
+    return joined.where(F.col("__mix_times") > 0).withColumn("__mix_time", F.explode(F.sequence(F.lit(1), F.col("__mix_times")))).select(*[F.col(f"`{c}`") for c in docs.columns])
