@@ -231,3 +231,44 @@ def faithfulness(answers: DataFrame, contexts: DataFrame, judges: list[Judge]) -
     counts = judged.groupBy(*key, "claim_idx").agg(F.count_if(F.col("verdict") == "supported").alias("s"), F.count_if(F.col("verdict") == "refuted").alias("r"), F.count(F.lit(1)).alias("n"))
     share = counts.groupBy(*key).agg(F.avg((majority(F.col("s"), F.col("r"), F.col("n")) == "supported").cast("double")).alias("faithfulness"))
     return answers.select(*key).join(share, key, "left")
+
+
+def prompt_hash(template: str = CLAIM_PROMPT) -> str:
+    import hashlib
+
+    return "sha256:" + hashlib.sha256(template.encode()).hexdigest()
+
+
+def model_judge(name: str, family: str, model: str, connect: Callable[[], Callable]) -> Judge:
+    """A judge by a language model: ``connect`` makes a client of (prompt, options), as generators use them."""
+
+    def asked() -> Callable[[str, str], str]:
+        client = connect()
+        options = {"model": model, "temperature": 0.0, "max_tokens": 8, "seed": 0}
+        return lambda claim, context: client(CLAIM_PROMPT.replace("{context}", context).replace("{claim}", claim), options)[0]
+
+    return Judge(name, family, model, prompt_hash(), asked)
+
+
+def anthropic_judge(model: str = "claude-haiku-4-5", name: str = "anthropic-A") -> Judge:
+    from plumbline.operators.generate import anthropic_client
+
+    return model_judge(name, "anthropic", model, anthropic_client)
+
+
+def openai_judge(model: str = "gpt-4o-mini", name: str = "openai-B") -> Judge:
+    from plumbline.operators.generate import openai_client
+
+    return model_judge(name, "openai", model, openai_client)
+
+
+def calibrate(items: DataFrame, judges: list[Judge]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Every judge on every calibration item (task_family, claim, context, gold_verdict): alpha by judge, alpha by family and judge, and verdict counts."""
+    from plumbline.operators.stats import calibration
+
+    if not judges:
+        raise ValueError("calibration needs a judge")
+    if items.isEmpty():
+        raise ValueError("calibration needs an item")
+    rows = items.select("task_family", "claim", "context", "gold_verdict", F.lit(None).cast("string").alias("family"))
+    return calibration(verdicts(rows, judges, guard=False))

@@ -101,3 +101,15 @@ def test_faithfulness_leaves_out_the_own_family(spark):
     assert got == {1: 0.0, 2: 1.0, 3: None, 4: 0.0}
     alone = {r["query_id"]: r["faithfulness"] for r in M.faithfulness(answers, contexts, judges[:1]).collect()}
     assert alone[1] == 1.0  # no other judge is left, so the own family judges
+
+
+def test_calibration(spark):
+    rows = [("f", "Paris is big", "paris is big", "supported"), ("f", "NOT-x", "y", "refuted"), ("g", "London", "paris", "neutral")]
+    items = spark.createDataFrame(rows, "task_family string, claim string, context string, gold_verdict string")
+    stub = M.model_judge("b", "openai", "m", lambda: lambda prompt, o: ("Supported." if "Paris is big" in prompt else "neutral", 1, 1))
+    overall, family, counts = M.calibrate(items, [M.Judge("a"), stub])
+    assert {r["judge"]: r["alpha"] for r in overall.collect()}["a"] == 1.0
+    assert {(r["task_family"], r["judge"]): r["alpha"] for r in family.collect()}["g", "a"] is None
+    assert {(r["judge"], r["verdict"]): r["n"] for r in counts.collect()}["b", "neutral"] == 2
+    with pytest.raises(ValueError):
+        M.calibrate(items, [])
