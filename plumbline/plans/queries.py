@@ -599,3 +599,29 @@ def pareto_front(spark, sf_dir):
 @query(f"WITH {_BOARD}, m AS (SELECT log10(min(greatest(cost, 1e-5))) AS lo, log10(max(greatest(cost, 1e-5))) AS hi, max(quality) AS q FROM e) SELECT pipeline_hash, round(CASE WHEN hi > lo THEN (log10(greatest(cost, 1e-5)) - lo) / (hi - lo) ELSE 0 END, 6) AS x, round(CASE WHEN q > 0 THEN quality / q ELSE 0 END, 6) AS y FROM e CROSS JOIN m")
 def pareto_scatter(spark, sf_dir):
     return leaderboard.scatter(_board(spark, sf_dir)).select("pipeline_hash", r6("x", "x"), r6("y", "y"))
+
+
+@query("""WITH j AS (SELECT j, lang AS f, CAST(CASE j WHEN 'q' THEN quality ELSE 1 - toxic END AS VARCHAR) AS verdict FROM labels JOIN documents USING (doc_id) CROSS JOIN (VALUES ('q'), ('t')) v(j))
+SELECT j AS judge, verdict, count(*) AS n FROM j GROUP BY ALL""")
+def judge_verdict_counts(spark, sf_dir):
+    rows = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id")
+    each = F.explode(F.array(F.struct(F.lit("q").alias("judge"), F.col("quality").cast("string").alias("verdict")), F.struct(F.lit("t").alias("judge"), (1 - F.col("toxic")).cast("string").alias("verdict"))))
+    judged = rows.select(F.col("lang").alias("task_family"), F.col("quality").cast("string").alias("gold_verdict"), each.alias("x")).select("task_family", "gold_verdict", "x.*")
+    return stats.calibration(judged)[2]
+
+
+@query("SELECT doc_id, text FROM (SELECT role || '-' || turn AS doc_id, text, row_number() OVER (PARTITION BY role, turn ORDER BY conv_id, turn) AS r FROM conversations) WHERE r = 1")
+def corpus_first(spark, sf_dir):
+    """The first text of each id, as a corpus of paragraphs is made from records."""
+    c = table(spark, sf_dir, "conversations")
+    return tasks.first_of_each(c.select(F.concat_ws("-", "role", F.col("turn").cast("string")).alias("doc_id"), "text", F.col("conv_id").alias("record"), F.col("turn").alias("place"))).select("doc_id", "text")
+
+
+@query(f"WITH {_BOARD} SELECT pipeline_hash, row_number() OVER (ORDER BY quality DESC, pipeline_hash) AS place FROM e WHERE CAST(pipeline_hash AS BIGINT) % 3 = 0")
+def leaderboard_view(spark, sf_dir):
+    """Verified entries in the order of the site, numbered."""
+    board = _board(spark, sf_dir).select("pipeline_hash", "quality", F.struct(F.col("cost").alias("cost_per_query_usd_mean"), F.col("latency").alias("latency_ms_p95")).alias("operational"), (F.col("pipeline_hash").cast("long") % 3 == 0).alias("verified"))
+    from pyspark.sql import Window
+
+    # one row a published pipeline
+    return leaderboard.view(board).withColumn("place", F.row_number().over(Window.orderBy(F.desc("quality"), "pipeline_hash"))).select("pipeline_hash", "place")
