@@ -38,7 +38,7 @@ from plumbline.llm.vocabulary import drops_space, load, vocabulary_path
 
 END_ID = 2
 #: A Python worker remembers half of 2**this many distinct chunks at most.
-INDEX_BITS = 21
+INDEX_BITS = 20
 #: Chunks that the library gets in one call.
 TOGETHER = 256
 WRITER = {
@@ -160,6 +160,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str | None = None, end_
                     ["doc_id", "part", "local_start", "n_tokens", "ids"],
                 )
                 start += int(ends[-1]) if len(ends) else 0
+            W.give_back()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     ordered = docs.select("doc_id", "text", F.xxhash64("text").alias("tie")).repartitionByRange(parts, "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
