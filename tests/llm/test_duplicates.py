@@ -195,3 +195,16 @@ def test_no_repeated_passage_is_missed(spark):
     for i in range(60):
         groups[find(i)].add(i)
     assert sorted(map(sorted, (g for g in groups.values() if len(g) > 1))) == sorted(sorted(i for i in range(60) if i % 2 and i % 6 == k) for k in (1, 3, 5))
+
+
+def test_passages_with_an_inserted_or_deleted_word(spark):
+    rows = []
+    for k in range(40):
+        q = cases.prose(2000 + k, (60, 75, 90)[k % 3]).split()
+        m = len(q) // 2
+        other = [*q[:m], f"new{k}", *q[m:]] if k % 2 else [*q[:m], *q[m + 1 :]]
+        rows += [(2 * k, f"{cases.prose(3000 + k, 40)} {' '.join(q)}"), (2 * k + 1, f"{cases.prose(4000 + k, 20)} {' '.join(other)} {cases.prose(5000 + k, 30)}")]
+    got = substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert all(r["similarity"] >= 0.8 for r in got)
+    # before, a passage under 100 words with such an edit in its middle was never found
+    assert len({min(r["doc_id"], r["other_id"]) for r in got if r["doc_id"] // 2 == r["other_id"] // 2}) >= 28
