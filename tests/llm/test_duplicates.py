@@ -208,3 +208,25 @@ def test_passages_with_an_inserted_or_deleted_word(spark):
     assert all(r["similarity"] >= 0.8 for r in got)
     # before, a passage under 100 words with such an edit in its middle was never found
     assert len({min(r["doc_id"], r["other_id"]) for r in got if r["doc_id"] // 2 == r["other_id"] // 2}) >= 28
+
+
+def test_documents_that_share_a_part_do_not_split_a_group(spark):
+    for g in (1, 4):
+        q = cases.prose(7000 + g, 55).split()
+        rows = [(i, f"{cases.prose(10**5 * g + i, 30 + i)} {' '.join(q)} {cases.prose(10**5 * g + 500 + i, 40)}") for i in range(30)]
+        for i in range(30):
+            at = i * 7 % 25
+            rows.append((100 + i, f"{cases.prose(10**5 * g + 1000 + i, 50)} {' '.join(q[at : at + 30])} {cases.prose(10**5 * g + 2000 + i, 50)}"))
+        rows.sort(key=lambda x: hash((x[0], g)) % 1009)
+        got = substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(1)).collect()
+        root = list(range(200))
+
+        def find(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for r in got:
+            root[find(r["doc_id"])] = find(r["other_id"])
+        assert len({find(i) for i in range(30)}) == 1
+        assert all(find(100 + i) == 100 + i for i in range(30))
