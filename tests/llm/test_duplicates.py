@@ -230,3 +230,13 @@ def test_documents_that_share_a_part_do_not_split_a_group(spark):
             root[find(r["doc_id"])] = find(r["other_id"])
         assert len({find(i) for i in range(30)}) == 1
         assert all(find(100 + i) == 100 + i for i in range(30))
+
+
+def test_a_substituted_word_loses_no_short_passage(spark):
+    rows = []
+    for k in range(80):
+        q = cases.prose(20_000 + k, 52).split()
+        other = [*q[:26], f"new{k}", *q[27:]]  # similarity 43 / 53
+        rows += [(2 * k, f"{cases.prose(30_000 + k, 40)} {' '.join(q)}"), (2 * k + 1, f"{cases.prose(40_000 + k, 20)} {' '.join(other)} {cases.prose(50_000 + k, 30)}")]
+    got = substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {min(r["doc_id"], r["other_id"]) for r in got if r["doc_id"] // 2 == r["other_id"] // 2} == set(range(0, 160, 2))
