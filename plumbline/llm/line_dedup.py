@@ -10,6 +10,14 @@ occur anywhere else, in the same text or another, are removed after their
 bytes have been compared with those of the first occurrence, which stays:
 first by doc_id, then by the text's hash, then by place.
 
+Boundaries leave the lines of a repeated block that share a chunk with others.
+With ``extend`` the units are therefore all pairs of lines that follow each
+other, with a word: a line goes if it stands in a pair that occurs before, in
+the same order, so whole runs of two repeated lines or more go, wherever they
+begin.  Pairs that share a line with their first occurrence stay.  A removed
+line always has an equal one before it, so one of each stays.  A single line
+between lines that differ is no run and stays.
+
 Counting moves a few numbers for each chunk.  Bytes move for chunks whose hash
 occurs twice.  A chunk in a third of all documents is added up before the
 shuffle, and its members meet the one that stays in a join that can be split.
@@ -37,8 +45,8 @@ from plumbline.llm import words as W
 LINES, WINDOW = 3, 2
 
 
-def chunk_spans(data: np.ndarray, first: np.ndarray, last: np.ndarray, lines: int = LINES, window: int = WINDOW) -> tuple[np.ndarray, ...]:
-    """Row, number, begin and end in the row's bytes, lines and hash of each chunk of two lines or more that has a word."""
+def chunk_spans(data: np.ndarray, first: np.ndarray, last: np.ndarray, lines: int = LINES, window: int = WINDOW, pairs: bool = False) -> tuple[np.ndarray, ...]:
+    """Row, number, begin and end in the row's bytes, lines and hash of each chunk of two lines or more that has a word; with ``pairs``, of each two lines that follow each other."""
     data, base = data[first[0] : last[-1]], first[0]
     first, last = first - base, last - base
     breaks = np.flatnonzero(data == 10)
@@ -51,6 +59,12 @@ def chunk_spans(data: np.ndarray, first: np.ndarray, last: np.ndarray, lines: in
     h = np.zeros(len(row), np.uint64)
     full = end > begin
     h[full] = W.span_hashes(data, begin[full], end[full])
+    worded = np.append(0, np.cumsum(~W.SPACE[data]))
+    if pairs:
+        at = np.flatnonzero(row[1:] == row[:-1])
+        at = at[worded[end[at + 1]] > worded[begin[at]]]
+        of = row[at]
+        return of, at - np.searchsorted(row, of), begin[at] - first[of], end[at + 1] - first[of], np.full(len(at), 2), W.mix(h[at] * W._PLACE[0] + h[at + 1] * W._PLACE[1])
     rolling = np.zeros(len(h), np.uint64)
     for k in range(window):
         same = row[k:] == row[: len(row) - k]
@@ -65,20 +79,19 @@ def chunk_spans(data: np.ndarray, first: np.ndarray, last: np.ndarray, lines: in
     stop = np.append(at[1:], len(row))
     b, e, n, of = begin[at], end[stop - 1], stop - at, row[at]
     number = np.arange(len(at)) - np.searchsorted(of, of)
-    worded = np.append(0, np.cumsum(~W.SPACE[data]))
     good = (n > 1) & (worded[e] > worded[b])
     b, e, n, of, number = b[good], e[good], n[good], of[good], number[good]
     return of, number, b - first[of], e - first[of], n, W.span_hashes(data, b, e)
 
 
-def chunks(docs: DataFrame) -> DataFrame:
+def chunks(docs: DataFrame, pairs: bool = False) -> DataFrame:
     """``doc_id, t, number, begin, end, n_lines, h``: t is the text's hash, begin and end are bytes."""
 
     def make(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, first, last = W.buffers(batch.column(2))
             for i, j in W.blocks(first, last):
-                row, number, begin, end, n, h = chunk_spans(data, first[i:j], last[i:j])
+                row, number, begin, end, n, h = chunk_spans(data, first[i:j], last[i:j], pairs=pairs)
                 at = pa.array(row + i)
                 ints = [pa.array(x.astype(np.int32)) for x in (number, begin, end, n)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *ints, pa.array(h.view(np.int64))], ["doc_id", "t", "number", "begin", "end", "n_lines", "h"])
@@ -91,9 +104,9 @@ def _same(spans: DataFrame, docs: DataFrame) -> Column:
     return docs["doc_id"].eqNullSafe(spans["__cut_id"]) & (F.xxhash64(docs["text"]) == spans["__cut_t"])
 
 
-def repeated(docs: DataFrame) -> DataFrame:
-    """``doc_id, t, number, begin, end, n_lines`` of each chunk that goes."""
-    every = shared.written(chunks(docs).distinct(), "chunks")
+def repeated(docs: DataFrame, pairs: bool = False) -> DataFrame:
+    """``doc_id, t, number, begin, end, n_lines`` of each chunk that goes, or of each pair of lines."""
+    every = shared.written(chunks(docs, pairs).distinct(), "chunks")
     spot = F.struct("doc_id", "t", "number")
     first = every.groupBy("h").agg(F.min(spot).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     suspects = shared.written(every.join(first, "h"), "suspects")
@@ -107,18 +120,21 @@ def repeated(docs: DataFrame) -> DataFrame:
     pieces = shared.written(pieces, "pieces")
     stays = pieces.where(F.struct("doc_id", "t", "number").eqNullSafe(F.col("first"))).groupBy("h").agg(F.first("piece").alias("_piece"))
     goes = pieces.where(~F.struct("doc_id", "t", "number").eqNullSafe(F.col("first"))).join(stays, "h").where(F.col("piece") == F.col("_piece"))
+    if pairs:
+        # a line that is three times in a row does not make the second pair a repeat of the first
+        goes = goes.where(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("t") == F.col("first.t")) & (F.col("number") == F.col("first.number") + 1)))
     return goes.select("doc_id", "t", "number", "begin", "end", "n_lines").distinct()
 
 
 def without(raw: Column, gone: Column) -> Column:
-    """The lines of a text's bytes that are in none of the spans ``gone`` (begin, end; in order)."""
+    """The lines of a text's bytes that are in none of the spans ``gone`` (begin, end; in order; they may overlap)."""
     cut = lambda a, b: F.decode(F.substring(raw, a + 1, b - a), "UTF-8")
     size = F.octet_length(raw)
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("kept"))
 
     def step(acc: Column, g: Column) -> Column:
         kept = F.when(g["begin"] > acc["at"], F.array_append(acc["kept"], cut(acc["at"], g["begin"] - 1))).otherwise(acc["kept"])
-        return F.struct((g["end"] + 1).alias("at"), kept.alias("kept"))
+        return F.struct(F.greatest(acc["at"], g["end"] + 1).alias("at"), kept.alias("kept"))
 
     return F.aggregate(
         gone, start, step,
@@ -126,11 +142,12 @@ def without(raw: Column, gone: Column) -> Column:
     )
 
 
-def dedup(docs: DataFrame) -> DataFrame:
-    """``docs`` with repeated chunks taken out of the text, and ``removed_lines`` long."""
-    goes = repeated(docs)
+def dedup(docs: DataFrame, extend: bool = False) -> DataFrame:
+    """``docs`` with repeated chunks taken out of the text, and ``removed_lines`` long; with ``extend``, the whole of each repeated run of two lines or more."""
+    goes = repeated(docs, extend)
+    lines = F.size(F.array_union(F.collect_set("number"), F.transform(F.collect_set("number"), lambda x: x + 1))) if extend else F.sum("n_lines")
     gone = goes.groupBy(F.col("doc_id").alias("__cut_id"), F.col("t").alias("__cut_t")).agg(
-        F.sort_array(F.collect_list(F.struct("begin", "end"))).alias("__cut_gone"), F.sum("n_lines").alias("__cut_lines"))
+        F.sort_array(F.collect_list(F.struct("begin", "end"))).alias("__cut_gone"), lines.alias("__cut_lines"))
     joined = docs.join(gone, _same(gone, docs), "left")
     text = F.when(F.col("__cut_gone").isNull(), docs["text"]).otherwise(without(docs["text"].cast("binary"), F.col("__cut_gone")))
     others = [text.alias("text") if c == "text" else docs[f"`{c}`"] for c in docs.columns if c.lower() != "removed_lines"]

@@ -52,7 +52,7 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.dedup(_table(spark, sf_dir, "documents")).select("doc_id", "removed_lines", "text")
+    return line_dedup.dedup(_table(spark, sf_dir, "documents"), extend=True).select("doc_id", "removed_lines", "text")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -240,3 +240,22 @@ def test_a_substituted_word_loses_no_short_passage(spark):
         rows += [(2 * k, f"{cases.prose(30_000 + k, 40)} {' '.join(q)}"), (2 * k + 1, f"{cases.prose(40_000 + k, 20)} {' '.join(other)} {cases.prose(50_000 + k, 30)}")]
     got = substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {min(r["doc_id"], r["other_id"]) for r in got if r["doc_id"] // 2 == r["other_id"] // 2} == set(range(0, 160, 2))
+
+
+def test_whole_repeated_blocks_of_lines_go(spark):
+    def line(k):
+        return cases.prose(60_000 + k, 6).replace("\n", " ")
+
+    rows = []
+    for k in range(30):
+        block = [line(1000 * k + i) for i in range(2 + k % 5)]
+        for half in (0, 1):
+            rows.append((2 * k + half, "\n".join([line(1000 * k + 100 + 50 * half + i) for i in range(1 + k % 3)] + block + [line(1000 * k + 300 + 50 * half + i) for i in range(2)])))
+    rows += [(100, "x y\nx y\nx y\nx y"), (101, "x y\nother"), (102, None), (103, "")]
+    got = {r["doc_id"]: r for r in line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string"), extend=True).collect()}
+    for i, t in rows[:60]:
+        lines, n = t.split("\n"), 2 + i // 2 % 5 if i % 2 else 0
+        at = 1 + i // 2 % 3
+        assert (got[i]["removed_lines"], got[i]["text"]) == (n, "\n".join(lines[:at] + lines[at + n :]))
+    assert (got[100]["removed_lines"], got[100]["text"]) == (2, "x y\nx y")
+    assert [(got[i]["removed_lines"], got[i]["text"]) for i in (101, 102, 103)] == [(0, "x y\nother"), (0, None), (0, "")]
