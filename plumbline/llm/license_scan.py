@@ -1,8 +1,8 @@
 """Licence scans by a positional index of rare licence words, in DataFrame functions alone.
 
 The index holds, for each licence template, the places of its rarest words;
-rarity is a word's inverse document frequency over the templates.  Of each
-file the licence words of highest IDF are looked up; each hit gives a template
+rarity is a word's inverse document frequency over the templates.  All words
+of the index are looked up in each file; each hit gives a template
 and a relative position (place in the file less place in the template), and
 hits that agree in both are words of one occurrence.  A template is reported
 if enough of its rare words agree on one position and all its mandatory
@@ -67,8 +67,6 @@ TEMPLATES = (
 )
 #: Rare words that the index holds of each template.
 RARE_OF_TEMPLATE = 6
-#: Distinct licence words of a file that are looked up, by IDF.
-RARE_OF_FILE = 48
 #: Share of a template's rare words that must agree on one position.
 AGREE = 0.5
 
@@ -130,10 +128,8 @@ def scan(docs: DataFrame, base: tuple[tuple[str, str], ...] = BASE, index: Index
     vocabulary = _literals(index.vocabulary, "string")
     postings = F.array(*[F.array(*[F.lit(t * 2**32 - p) for t, p in posts]).cast("array<bigint>") for posts in index.postings])
     hits = F.filter(F.transform("words", lambda w, i: F.struct(F.array_position(vocabulary, w).cast("int").alias("v"), i.alias("i"))), lambda h: h["v"] > 0)
-    # the vocabulary is in order of IDF, so a file's rarest words have its lowest numbers
-    rarest = F.array_max(F.slice(F.array_sort(F.array_distinct(F.transform("hits", lambda h: h["v"]))), 1, RARE_OF_FILE))
     # template * 2**32 + relative position
-    codes = F.array_sort(F.flatten(F.transform(F.filter("hits", lambda h: h["v"] <= F.col("rarest")), lambda h: F.transform(F.element_at(postings, h["v"]), lambda c: c + h["i"]))))
+    codes = F.array_sort(F.flatten(F.transform("hits", lambda h: F.transform(F.element_at(postings, h["v"]), lambda c: c + h["i"]))))
     zeros = F.array_repeat(F.lit(0), len(index.templates))
 
     def tally(acc: Column, code: Column) -> Column:
@@ -152,7 +148,6 @@ def scan(docs: DataFrame, base: tuple[tuple[str, str], ...] = BASE, index: Index
     )
     staged = (
         first.withColumns({"places": F.concat(*[places(p, label) for p, label in base]), "hits": hits, "joined": joined})
-        .withColumn("rarest", rarest)
         .withColumn("codes", F.coalesce(codes, F.array().cast("array<bigint>")))
         .withColumn("best", best)
         .withColumn("found", F.when(F.size("codes") > 0, found))

@@ -203,3 +203,10 @@ def test_classifier_equals_the_formula():
 
     z = density(x1, p) - density(x0, p) + np.log(80 / 50)
     assert model.scores(p) == pytest.approx(1 / (1 + np.exp(-z)))
+
+
+def test_a_notices_file_with_every_licence_has_every_label(spark):
+    # the licences whose words are the commonest come last in the file's order of rarity
+    every = "\n\n".join(x.words for x in license_scan.TEMPLATES)
+    got = license_scan.scan(spark.createDataFrame([(1, every)], "doc_id long, text string")).collect()[0]
+    assert {x.label for x in license_scan.TEMPLATES} <= set(got["labels"].split(","))
