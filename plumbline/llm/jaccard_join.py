@@ -271,7 +271,8 @@ def one_of_each(docs: DataFrame, forest: Forest | None = None) -> DataFrame:
     classes = shared.written(similar(docs, forest), "classes")
     stay = classes.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("__stay"))
     kept = docs.join(stay.distinct(), F.col("doc_id").eqNullSafe(F.col("__stay")), "left_semi")
-    if stay.groupBy("__stay").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+    # of a doc_id that occurs twice one row may head a class and the other not, so all rows are asked
+    if classes.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
         return kept
     # doc_ids that occur twice do not name a row: there the number of its shingles does
     nodes = _with_node(docs, forest)

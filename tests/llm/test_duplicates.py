@@ -259,3 +259,11 @@ def test_whole_repeated_blocks_of_lines_go(spark):
         assert (got[i]["removed_lines"], got[i]["text"]) == (n, "\n".join(lines[:at] + lines[at + n :]))
     assert (got[100]["removed_lines"], got[100]["text"]) == (2, "x y\nx y")
     assert [(got[i]["removed_lines"], got[i]["text"]) for i in (101, 102, 103)] == [(0, "x y\nother"), (0, None), (0, "")]
+
+
+def test_one_of_each_where_a_shared_doc_id_heads_one_class_alone(spark):
+    near = cases.prose(70, 120).split(" ")
+    near[60] = "changed"
+    rows = [(3, cases.prose(70, 120)), (5, cases.prose(71, 120)), (5, " ".join(near))]
+    kept = jaccard_join.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in kept) == sorted(rows[:2])
