@@ -1,3 +1,4 @@
+import random
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -267,3 +268,62 @@ def test_one_of_each_where_a_shared_doc_id_heads_one_class_alone(spark):
     rows = [(3, cases.prose(70, 120)), (5, cases.prose(71, 120)), (5, " ".join(near))]
     kept = jaccard_join.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((r["doc_id"], r["text"]) for r in kept) == sorted(rows[:2])
+
+
+def test_near_passages_against_all_pairs_of_windows(spark):
+    """Recall over passages of 50 to 300 words with inserted, deleted and changed words, of which some are quoted in part elsewhere."""
+    r = random.Random(3)
+    rows, want, k = [], {}, 0
+    for n in (50, 60, 75, 100, 150, 300):
+        made = 0
+        while made < 25:
+            k += 1
+            q = cases.prose(10**6 + k, n).split()
+            other = list(q)
+            for _ in range(r.randint(1, max(1, n // 45))):
+                at, kind = r.randrange(len(other)), r.choice("sid")
+                if kind == "d":
+                    del other[at]
+                else:
+                    other[at : at + (kind == "s")] = [f"x{r.random()}"]
+            if len(other) < 50 or cases.jaccard(cases.shingles(" ".join(q)), cases.shingles(" ".join(other))) < 0.8:
+                continue
+            for m, own in enumerate((q, other, q[5:35])):
+                rows.append((3 * k + m, f"{cases.prose(10**7 * (m + 1) + k, r.randint(0, 90))} {' '.join(own)} {cases.prose(10**8 * (m + 1) + k, r.randint(0, 60))}"))
+            want[k] = n
+            made += 1
+    tokens = {i: [tuple(w[x : x + 5]) for x in range(len(w) - 4)] for i, t in rows for w in [t.split()]}
+
+    def similar(a, b):
+        """Whether any passages of 50 words are similar, or longer ones of equal length."""
+        if not set(a) & set(b):
+            return False
+        for n in (46, 71, 96):
+            own = [set(b[y : y + n]) for y in range(len(b) - n + 1)]
+            for x in range(len(a) - n + 1):
+                one = set(a[x : x + n])
+                if any(len(one & two) * 5 >= 4 * len(one | two) for two in own):
+                    return True
+        return False
+
+    got = {(min(x["doc_id"], x["other_id"]), max(x["doc_id"], x["other_id"])) for x in substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    pairs = {(3 * k + x, 3 * k + y) for k in want for x in range(3) for y in range(x)}
+    pairs = {(min(p), max(p)) for p in pairs}
+    assert got <= pairs  # nothing between passages that have no words in common
+    true = {(a, b) for a, b in pairs if (a, b) in got or similar(tokens[a], tokens[b])}
+    assert len(got & true) >= 0.97 * len(true) and {(3 * k, 3 * k + 1) for k in want} <= true
+    assert not any(b % 3 == 2 for _, b in got)  # quotes of 30 words are no passages
+
+
+def test_a_hot_key_is_ordered_by_ranges(spark):
+    """A line of 40 words in all texts, and passages around it that some of them share."""
+    line = cases.prose(1, 40).replace("\n", " ")
+    rows = [(i, f"{cases.prose(1000 + i, 30)} {line} {cases.prose(2000 + i, 30)}") for i in range(150)]
+    rows += [(1000 + i, f"{cases.prose(3000 + i, 30)} {line} {cases.prose(4000 + i // 3, 30)}") for i in range(30)]
+    for p in (substring_dedup.Passages(hot=4), substring_dedup.Passages(hot=4, chunk=50), substring_dedup.Passages()):
+        got = substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), p).collect()
+        pairs = {frozenset((x["doc_id"], x["other_id"])) for x in got}
+        for i in range(0, 30, 3):
+            assert len([q for q in pairs if q <= {1000 + i, 1001 + i, 1002 + i}]) >= 2
+        assert all(len(q) == 2 for q in pairs)
+        assert not [q for q in pairs if min(q) < 1000 or len({(x - 1000) // 3 for x in q}) > 1]
