@@ -2,13 +2,16 @@
 
 Intermediate results that are read more than once are written there, so that a
 lost executor costs a re-read and not a re-run.  Where the setting is absent
-(tests, a laptop) a folder of the driver's machine is set.
+and the master is local (tests, a laptop), a folder of this machine is set; on
+a cluster its absence is an error, since executors would write to disks of
+their own.
 """
 
 from __future__ import annotations
 
 import atexit
 import contextlib
+import gc
 import os
 import tempfile
 import uuid
@@ -22,6 +25,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder for checkpoints; one is set only where the session has none."""
     known = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir()
     if not known:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         known = "file://" + os.path.join(tempfile.gettempdir(), "plumbline-shared")
         spark.sparkContext.setCheckpointDir(known)
     return known.rstrip("/")
@@ -41,10 +46,19 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 def written(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """``df`` as a Parquet table of the shared folder, read back: large tables that are read several times."""
-    path = new_path(df.sparkSession, name)
+    """``df`` as a Parquet table of the shared folder, read back: large tables that are read several times.
+
+    Shuffle files behind ``df`` are of no more use if nobody else holds it.
+    Executors keep them until the driver has collected its garbage, so it is
+    asked to: by the next stage their space is free.
+    """
+    spark, schema = df.sparkSession, df.schema
+    path = new_path(spark, name)
     df.write.options(**options).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    del df
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(schema).parquet(path)
 
 
 def remove(spark: SparkSession, path: str) -> None:
