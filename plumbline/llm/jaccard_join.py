@@ -1,22 +1,26 @@
 """N-gram Jaccard self-join by a MinHash LSH forest.
 
 Every text has a set of shingles of five words, and a signature of min-hashes
-dealt to trees.  In each tree the signatures' labels are sorted as a prefix
-trie.  Prefixes are shortened from the full depth until texts at the threshold
-meet in some tree with the target recall; texts below one node at that depth
-are candidates.  Depths are chosen from the threshold alone, so nothing is
-capped.  Candidates are verified by the exact Jaccard similarity of their
-shingle sets.
+dealt to trees.  In each tree the signatures' labels are a sorted prefix trie:
+texts below one node of it have a prefix in common.  Each text starts with its
+longest prefix in every tree and shortens one after the other, always the one
+that meets the fewest more texts for what it adds to the recall, until a text
+at the threshold would meet it in some tree with the target recall.  Nothing is
+capped: at ``least`` min-hashes in all trees every text has the recall.  A pair
+is a candidate where either text's prefix reaches the other.  Candidates are
+verified by the exact Jaccard similarity of their shingle sets.
 
 Work and memory: texts with the same shingles are one node, so copies never
-meet each other.  Trees carry a hash of the prefix and the node's number;
-shingles go only to nodes of the trie with two texts at least, and to one of
-those that hold the same texts.  Such a group is dealt out in square blocks of
-at most ``BLOCK`` by ``BLOCK`` texts, each verified by a product of incidence
-matrices in one task; pairs are never written.  What leaves a block are the
-number of links of each text (a pair counts in the first tree where it meets)
-and a spanning forest of the block's links.  A group of g different texts
-costs g * g / BLOCK rows of shingles.
+meet each other.  Trees carry a trunk (a hash of the shortest prefix), a twig
+(the min-hashes that follow) and the node's number; texts that are alone in
+their trunk leave the trie at once, and how many stand below a prefix is added
+up before the shuffle.  Shingles go only to nodes of the trie with two texts at
+least, and to one of those that hold the same texts.  Such a group is dealt out
+in square blocks of at most ``BLOCK`` by ``BLOCK`` texts, each verified by a
+product of incidence matrices in one task; pairs are never written.  What
+leaves a block are the number of links of each text (a pair counts in the first
+tree where it meets) and a spanning forest of the block's links.  A group of g
+different texts costs g * g / BLOCK rows of shingles.
 
 Defined cases: null and empty texts have no shingles and are linked to
 nothing, not even to each other; a text with 1 to 4 words has one shingle of
@@ -47,6 +51,10 @@ BLOCK = 256
 _SEEDS = np.random.Generator(np.random.PCG64(7)).integers(0, 2**64, 512, dtype=np.uint64) | np.uint64(1)
 
 
+#: Bits of each min-hash of a twig.
+_TWIG = 20
+
+
 @dataclass(frozen=True)
 class Forest:
     """``trees`` labels of ``deepest`` min-hashes each; prefixes are shortened until ``recall`` at ``threshold``."""
@@ -55,15 +63,35 @@ class Forest:
     threshold: float = 0.8
     recall: float = 0.9995
     trees: int = 12
-    deepest: int = 8
+    deepest: int = 5
 
-    def depth(self) -> int:
-        """The longest prefix at which a pair at the threshold meets with the target recall."""
+    @property
+    def least(self) -> int:
+        """The longest prefix at which all trees together reach the target recall."""
         for d in range(self.deepest, 1, -1):
             if 1 - (1 - self.threshold**d) ** self.trees >= self.recall:
                 return d
         return 1
 
+    def depths(self, below: np.ndarray) -> np.ndarray:
+        """Prefix lengths of each text (row) in each tree.
+
+        below: how many texts share its prefix of each length from ``least`` to ``deepest`` (last axis), itself among them.
+        """
+        miss = np.log1p(-(self.threshold ** np.arange(self.least, self.deepest + 1)))
+        depth = np.full(below.shape[:2], self.deepest - self.least)
+        every = np.arange(self.trees)
+        while True:
+            short = np.flatnonzero(miss[depth].sum(axis=1) > np.log(1 - self.recall))
+            short = short[depth[short].any(axis=1)]
+            if not len(short):
+                return depth + self.least
+            at = depth[short]
+            one_less = np.maximum(at - 1, 0)
+            more = below[short[:, None], every, one_less] - below[short[:, None], every, at]
+            cost = np.where(at > 0, (more + 1e-3) / np.maximum(miss[at] - miss[one_less], 1e-12), np.inf)
+            depth[short, cost.argmin(axis=1)] -= 1
+
 
 def shingles(column: pa.Array, width: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """For runs of rows: first row, last row, and each row's distinct shingle hashes, sorted, with their offsets."""
@@ -80,18 +108,21 @@ def shingles(column: pa.Array, width: int) -> Iterator[tuple[int, int, np.ndarra
         yield i, j, h, np.searchsorted(row, np.arange(j - i + 1))
 
 
-def prefixes(h: np.ndarray, at: np.ndarray, forest: Forest) -> np.ndarray:
-    """For each row with shingles and each tree, the hash of the label's prefix at the chosen depth."""
+def labels(h: np.ndarray, at: np.ndarray, forest: Forest) -> tuple[np.ndarray, np.ndarray]:
+    """For each row with shingles and each tree, the trunk and the twig of its label."""
     some = np.flatnonzero(np.diff(at) > 0)
-    begin, depth = at[some], forest.depth()
-    out = np.empty((len(some), forest.trees), np.uint64)
-    for t in range(forest.trees):
-        label = np.full(len(some), np.uint64(t + 1))
-        for k in range(depth):
-            x = h * _SEEDS[t * forest.deepest + k]
-            label = W.mix(label * np.uint64(0x9E3779B97F4A7C15) + np.minimum.reduceat(x ^ (x >> np.uint64(29)), begin)) if len(some) else label
-        out[:, t] = label
-    return out
+    begin = at[some]
+    trunk, twig = np.zeros((2, len(some), forest.trees), np.uint64)
+    for t in range(forest.trees if len(some) else 0):
+        trunk[:, t] = t + 1
+        for k in range(forest.deepest):
+            x = h * _SEEDS[t * 8 + k]
+            low = np.minimum.reduceat(x ^ (x >> np.uint64(29)), begin)
+            if k < forest.least:
+                trunk[:, t] = W.mix(trunk[:, t] * np.uint64(0x9E3779B97F4A7C15) + low)
+            else:
+                twig[:, t] = twig[:, t] << np.uint64(_TWIG) | W.mix(low) >> np.uint64(64 - _TWIG)
+    return trunk, twig
 
 
 def node_numbers(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -105,20 +136,65 @@ def node_numbers(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def signed(docs: DataFrame, forest: Forest) -> DataFrame:
-    """``doc_id, node, keys`` of each row: a number for its set of shingles (null: none) and the forest's prefixes."""
+    """``doc_id, t, node, trunks, twigs`` of each row: a hash of its text, a number for its set of shingles (null: none) and its labels."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def sign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j, h, at in shingles(batch.column(1), forest.width):
-                keys = prefixes(h, at, forest)
+            for i, j, h, at in shingles(batch.column(2), forest.width):
                 node, has = node_numbers(h, at)
                 full = np.zeros(j - i + 1, np.int32)
                 full[1:] = np.cumsum(has * forest.trees)
-                lists = pa.ListArray.from_arrays(pa.array(full), pa.array(keys.ravel().view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], pa.array(node, mask=~has), lists], ["doc_id", "node", "keys"])
+                lists = [pa.ListArray.from_arrays(pa.array(full), pa.array(x.ravel().view(np.int64))) for x in labels(h, at, forest)]
+                yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], batch.column(1)[i:j], pa.array(node, mask=~has), *lists], ["doc_id", "t", "node", "trunks", "twigs"])
 
-    return docs.select("doc_id", "text").mapInArrow(sign, f"doc_id {kind}, node bigint, keys array<bigint>")
+    return docs.select("doc_id", F.xxhash64("text").alias("t"), "text").mapInArrow(sign, f"doc_id {kind}, t bigint, node bigint, trunks array<bigint>, twigs array<bigint>")
+
+
+def _chosen(sizes: DataFrame, forest: Forest) -> DataFrame:
+    """``node, depths`` from ``node`` and ``below``: structs of tree and sizes of its prefixes; in other trees a text is alone."""
+
+    def make(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            of = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
+            known = lists.flatten()
+            below = np.ones((batch.num_rows, forest.trees, forest.deepest - forest.least + 1), np.int64)
+            below[of, known.field(0).to_numpy()] = np.stack([known.field(k).to_numpy() for k in range(1, known.type.num_fields)], axis=1)
+            depth = forest.depths(below)
+            at = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * forest.trees)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(at, pa.array(depth.ravel().astype(np.int32)))], ["node", "depths"])
+
+    return sizes.mapInArrow(make, "node bigint, depths array<int>")
+
+
+def meeting_places(nodes: DataFrame, forest: Forest) -> DataFrame:
+    """``node, tree, key``: the node of each tree's trie below which a text is compared, where it isn't alone."""
+    lengths = range(forest.least, forest.deepest + 1)
+    prefix = [["tree", "trunk", *[f"twig{d}" for d in lengths if forest.least < d <= n]] for n in lengths]
+    leaves = nodes.select("node", F.posexplode(F.arrays_zip("trunks", "twigs")).alias("tree", "x"))
+    cut = [F.shiftrightunsigned("x.twigs", _TWIG * (forest.deepest - d)).bitwiseAND(F.lit((1 << _TWIG) - 1)).cast("int").alias(f"twig{d}") for d in lengths if d > forest.least]
+    leaves = leaves.select("node", "tree", F.col("x.trunks").alias("trunk"), *cut)
+    met = leaves.groupBy("tree", "trunk").agg(F.count(F.lit(1)).alias("n0")).where("n0 > 1")
+    leaves = shared.written(leaves.join(met, ["tree", "trunk"]), "leaves")
+    # texts below each prefix: added up from the longest to the shortest
+    sums = [leaves.groupBy(*prefix[-1]).agg(F.count(F.lit(1)).alias(f"n{len(prefix) - 1}"))]
+    for k in range(len(prefix) - 2, 0, -1):
+        sums.insert(0, sums[0].groupBy(*prefix[k]).agg(F.sum(f"n{k + 1}").alias(f"n{k}")))
+    sized = leaves
+    for k, own in enumerate(sums, 1):
+        sized = sized.join(own, prefix[k])
+    below = sized.groupBy("node").agg(F.collect_list(F.struct("tree", *[f"n{k}" for k in range(len(prefix))])).alias("below"))
+    asked = shared.written(leaves.drop("n0").join(_chosen(below, forest), "node").withColumn("depth", F.get("depths", F.col("tree"))).drop("depths"), "depths")
+    # a trie is cut where the shortest prefix asked for below a node ends there
+    least = [asked.groupBy(*prefix[-1]).agg(F.min("depth").alias(f"d{len(prefix) - 1}"))]
+    for k in range(len(prefix) - 2, -1, -1):
+        least.insert(0, least[0].groupBy(*prefix[k]).agg(F.min(f"d{k + 1}").alias(f"d{k}")))
+    cuts = least[-1]
+    for k in range(len(prefix) - 2, -1, -1):
+        cuts = cuts.join(least[k], prefix[k])
+    key = F.coalesce(*[F.when(F.col(f"d{k}") <= n, F.xxhash64(F.lit(n), *prefix[k])) for k, n in enumerate(lengths)])
+    return asked.join(cuts.select(*prefix[-1], key.alias("key")), prefix[-1]).select("node", "tree", "key")
 
 
 def sets_of(rows: DataFrame, forest: Forest) -> DataFrame:
@@ -217,9 +293,10 @@ def similar(docs: DataFrame, forest: Forest | None = None) -> DataFrame:
     forest = forest or Forest()
     rows = shared.written(signed(docs, forest), "signed")
     ids = rows.select("doc_id", "node")
-    nodes = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"), F.first("keys").alias("keys"))
-    nodes = shared.written(nodes, "nodes")
-    places = nodes.select("node", F.posexplode("keys").alias("tree", "key"))
+    last = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "t")
+    nodes = rows.where("node is not null").groupBy("node").agg(F.min(last).alias("m"), F.count(F.lit(1)).alias("copies"), F.first("trunks").alias("trunks"), F.first("twigs").alias("twigs"))
+    nodes = shared.written(nodes.select("node", F.col("m.doc_id").alias("least"), F.col("m.t").alias("t"), "copies", "trunks", "twigs"), "nodes")
+    places = shared.written(meeting_places(nodes, forest), "places")
     groups = places.groupBy("tree", "key").agg(F.count(F.lit(1)).alias("m"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("members")).where("m > 1")
     # of the groups that hold the same texts, the one in the first tree
     groups = groups.groupBy("m", "members").agg(F.min(F.struct("tree", "key")).alias("g")).select("g.*", "m")
@@ -232,9 +309,13 @@ def similar(docs: DataFrame, forest: Forest | None = None) -> DataFrame:
         .select("tree", "key", "node", F.least("cut", "other").alias("i"), F.greatest("cut", "other").alias("j"), (F.col("cut") > F.col("other")).cast("int").alias("side"))
     )
     member = shared.checkpointed(member)
-    wanted = nodes.join(member.select("node").distinct(), "node", "left_semi").select("node", F.col("least").alias("_least"))
-    sets = sets_of(docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("_least"))), forest)
-    sets = sets.join(nodes.select("node", "copies", "keys"), "node")
+    # where a text is alone in a tree its own number stands for the place
+    keys = places.groupBy("node").agg(F.map_from_entries(F.collect_list(F.struct("tree", "key"))).alias("at"))
+    keys = keys.select("node", F.transform(F.sequence(F.lit(0), F.lit(forest.trees - 1)), lambda t: F.coalesce(F.element_at("at", t), F.col("node"))).alias("keys"))
+    wanted = nodes.join(member.select("node").distinct(), "node", "left_semi").select("node", F.col("least").alias("_least"), F.col("t").alias("_t"))
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("t"))
+    sets = sets_of(texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("_least")) & (F.col("t") == F.col("_t"))), forest)
+    sets = sets.join(nodes.select("node", "copies"), "node").join(keys, "node")
     blocks = member.join(sets, "node")
     found = blocks.groupBy("tree", "key", "i", "j").applyInPandas(verifier(forest), "a bigint, b bigint, n bigint")
     found = shared.written(found, "links")

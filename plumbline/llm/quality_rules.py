@@ -1,11 +1,16 @@
 """Quality rules as a short-circuit cascade.
 
-Every rule rejects or passes a document from counts over its whole text.  The
-cost of each rule (seconds a document) and its selectivity (share of documents
-it rejects) are estimated on a bounded sample; rules then run by rejections
-per cost, highest first, each over the documents that no earlier rule has
-rejected.  The order changes the work only: a document is kept if no rule
-rejects it, in any order.
+Every rule rejects or passes a document from counts over its whole text.  Rules
+name the counts that they need, and each count has a cost: operations for each
+byte, word or line that making it touches, what it is made from included if
+that isn't there yet.  On a bounded sample the cascade is laid out step by
+step: next comes the rule with the most rejections, among the documents that
+are left, for what its missing counts cost.  Rules then run in that order, each
+over the documents that no earlier rule has rejected, and counts are made when
+they are first asked for, so that later counts are made for fewer documents.
+The order changes the work only: a document is kept if no rule rejects it.
+Costs are counted and not timed, so that runs over the same rows agree in the
+order, and in ``rejected_by``.
 
 Defined cases: a null text is the empty one (no words, rejected by
 ``min_words``); repeated rows are judged one by one; ties of rank keep the
@@ -17,7 +22,6 @@ them replaces it.
 
 from __future__ import annotations
 
-import time
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
@@ -29,10 +33,9 @@ from pyspark.sql import types as T
 
 from plumbline.llm import words as W
 
-#: Rows whose texts are read to estimate costs and selectivities.
-SAMPLE_ROWS = 500
-#: Bytes of text that are measured in the sample at most.
-SAMPLE_BYTES = 8 << 20
+#: The sample: the first rows among those whose hash falls on one residue of SAMPLE_OF, and the longest text in bytes that
+#: counts for it, so that the driver gets 32 MB at most.
+SAMPLE_ROWS, SAMPLE_OF, SAMPLE_BYTES = 500, 16, 1 << 16
 
 #: A block is packed anew when less than this share of its rows is left.
 REPACK = 0.75
@@ -40,6 +43,7 @@ REPACK = 0.75
 SYMBOLS = np.isin(np.arange(256), np.frombuffer(b"#*$%&|<>", np.uint8))
 UPPER = (np.arange(256) >= 65) & (np.arange(256) <= 90)
 LOWER = (np.arange(256) >= 97) & (np.arange(256) <= 122)
+LETTER = UPPER | LOWER | (np.arange(256) >= 128)
 #: Bytes that begin a code point.
 HEADS = (np.arange(256) & 0xC0) != 0x80
 
@@ -100,8 +104,8 @@ class Texts:
         """Lines that have a word."""
         return np.bincount(self.get("lines")[0], minlength=len(self))
 
-    def _lines(self) -> tuple[np.ndarray, np.ndarray]:
-        """The row and the hash of each line that has a word."""
+    def _line_spans(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The row, begin and end of each line that has a word."""
         b, base = self.get("bytes"), self.first[:1]
         breaks = np.flatnonzero(b == 10)
         begins = np.unique(np.concatenate([breaks + 1, self.first - base]))
@@ -109,7 +113,37 @@ class Texts:
         row = np.searchsorted(self.last - base, begins, "right")
         ends = np.minimum(np.append(breaks, len(b))[np.searchsorted(breaks, begins)], (self.last - base)[row])
         worded = np.searchsorted(self.get("words").begin, ends) > np.searchsorted(self.get("words").begin, begins)
-        return row[worded], W.span_hashes(b, begins[worded], ends[worded])
+        return row[worded], begins[worded], ends[worded]
+
+    def _lines(self) -> tuple[np.ndarray, np.ndarray]:
+        """The row and the hash of each line that has a word."""
+        row, begin, end = self.get("line_spans")
+        return row, W.span_hashes(self.get("bytes"), begin, end)
+
+    def _n_bullets(self) -> np.ndarray:
+        """Lines whose first word begins with - or * or a bullet."""
+        row, begin, _ = self.get("line_spans")
+        b, w = np.append(self.get("bytes"), np.zeros(2, np.uint8)), self.get("words")
+        at = w.begin[np.searchsorted(w.begin, begin)] if len(row) else begin
+        marked = (b[at] == 0x2D) | (b[at] == 0x2A) | ((b[at] == 0xE2) & (b[at + 1] == 0x80) & (b[at + 2] == 0xA2))
+        return np.bincount(row[marked], minlength=len(self))
+
+    def _n_ellipses(self) -> np.ndarray:
+        """Lines whose last word ends in three dots or their one character."""
+        row, _, end = self.get("line_spans")
+        b, w = self.get("bytes"), self.get("words")
+        last = np.searchsorted(w.begin, end) - 1
+        at = w.end[last] if len(row) else end
+        long = at - w.begin[last] >= 3 if len(row) else np.zeros(0, bool)
+        row, at = row[long], at[long]
+        marked = ((b[at - 3] == 0x2E) & (b[at - 2] == 0x2E) & (b[at - 1] == 0x2E)) | ((b[at - 3] == 0xE2) & (b[at - 2] == 0x80) & (b[at - 1] == 0xA6))
+        return np.bincount(row[marked], minlength=len(self))
+
+    def _n_letter_words(self) -> np.ndarray:
+        """Words with a letter; characters beyond ASCII count as letters."""
+        w = self.get("words")
+        upto = np.append(0, np.cumsum(LETTER[self.get("bytes")]))
+        return np.bincount(w.rows()[upto[w.end] > upto[w.begin]], minlength=len(self))
 
     def _n_dup_lines(self) -> np.ndarray:
         row, line = self.get("lines")
@@ -138,11 +172,32 @@ class Texts:
         return np.bincount(row[covered], minlength=len(self))
 
 
+#: What each count is made from, and the operations that it takes for each byte, word and line of a text.
+COSTS: dict[str, tuple[tuple[str, ...], tuple[int, int, int]]] = {
+    "bytes": ((), (0, 0, 0)),
+    "words": ((), (6, 2, 0)),
+    "n_words": (("words",), (0, 0, 0)),
+    "word_chars": (("bytes",), (4, 0, 0)),
+    "n_symbols": (("bytes",), (2, 0, 0)),
+    "n_upper": (("bytes",), (2, 0, 0)),
+    "n_lower": (("bytes",), (2, 0, 0)),
+    "line_spans": (("bytes", "words"), (1, 0, 8)),
+    "lines": (("line_spans",), (5, 0, 4)),
+    "n_lines": (("lines",), (0, 0, 1)),
+    "n_dup_lines": (("lines",), (0, 0, 20)),
+    "n_bullets": (("line_spans",), (0, 0, 8)),
+    "n_ellipses": (("line_spans",), (0, 0, 12)),
+    "n_letter_words": (("words",), (2, 6, 0)),
+    "n_repeat_words": (("words",), (5, 30, 0)),
+}
+
+
 @dataclass(frozen=True)
 class Rule:
-    """``rejects`` gives a flag for each row of a block."""
+    """``rejects`` gives a flag for each row of a block, from the counts ``needs``."""
 
     name: str
+    needs: tuple[str, ...]
     rejects: Callable[[Texts], np.ndarray]
 
 
@@ -151,62 +206,87 @@ def _share(part: np.ndarray, whole: np.ndarray, least: float) -> np.ndarray:
 
 
 def min_words(least: int = 50) -> Rule:
-    return Rule("min_words", lambda t: t.get("n_words") < least)
+    return Rule("min_words", ("n_words",), lambda t: t.get("n_words") < least)
 
 
 def repeated_words(percent: int = 50) -> Rule:
-    return Rule("repeated_words", lambda t: 100 * t.get("n_repeat_words") > percent * t.get("n_words"))
+    return Rule("repeated_words", ("n_repeat_words", "n_words"), lambda t: 100 * t.get("n_repeat_words") > percent * t.get("n_words"))
 
 
 def symbols_per_word(most: float = 0.3) -> Rule:
     """Symbols such as # $ % and the bars of tables, to words."""
-    return Rule("symbols_per_word", lambda t: _share(t.get("n_symbols"), t.get("n_words"), most))
+    return Rule("symbols_per_word", ("n_symbols", "n_words"), lambda t: _share(t.get("n_symbols"), t.get("n_words"), most))
 
 
 def word_length(least: float = 2.0, most: float = 20.0) -> Rule:
     """Mean code points of a word."""
-    return Rule("word_length", lambda t: (t.get("word_chars") < least * t.get("n_words")) | (t.get("word_chars") > most * t.get("n_words")))
+    return Rule("word_length", ("word_chars", "n_words"), lambda t: (t.get("word_chars") < least * t.get("n_words")) | (t.get("word_chars") > most * t.get("n_words")))
 
 
 def upper_case(most: float = 0.6) -> Rule:
     """A-Z among the letters A-Z and a-z."""
-    return Rule("upper_case", lambda t: _share(t.get("n_upper"), t.get("n_upper") + t.get("n_lower"), most))
+    return Rule("upper_case", ("n_upper", "n_lower"), lambda t: _share(t.get("n_upper"), t.get("n_upper") + t.get("n_lower"), most))
 
 
 def duplicate_lines(most: float = 0.3) -> Rule:
     """Lines equal to an earlier line of the text, among its lines with a word."""
-    return Rule("duplicate_lines", lambda t: _share(t.get("n_dup_lines"), t.get("n_lines"), most))
+    return Rule("duplicate_lines", ("n_dup_lines", "n_lines"), lambda t: _share(t.get("n_dup_lines"), t.get("n_lines"), most))
+
+
+def bullet_lines(most: float = 0.9) -> Rule:
+    """Lines that begin as items of a list, among the lines with a word."""
+    return Rule("bullet_lines", ("n_bullets", "n_lines"), lambda t: _share(t.get("n_bullets"), t.get("n_lines"), most))
+
+
+def ellipsis_lines(most: float = 0.3) -> Rule:
+    """Lines that are cut off by dots, among the lines with a word."""
+    return Rule("ellipsis_lines", ("n_ellipses", "n_lines"), lambda t: _share(t.get("n_ellipses"), t.get("n_lines"), most))
+
+
+def wordless(least: float = 0.5) -> Rule:
+    """Words with a letter, among all."""
+    return Rule("wordless", ("n_letter_words", "n_words"), lambda t: t.get("n_letter_words") < least * t.get("n_words"))
 
 
 BASE_RULES = (min_words(), repeated_words())
-RULES = (*BASE_RULES, symbols_per_word(), word_length(), upper_case(), duplicate_lines())
+RULES = (*BASE_RULES, symbols_per_word(), word_length(), upper_case(), duplicate_lines(), bullet_lines(), ellipsis_lines(), wordless())
 REPORT = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def measure(rules: Sequence[Rule], texts: Texts) -> list[tuple[str, float, float]]:
-    """Name, seconds a row and share of rows rejected of each rule, each measured by itself."""
-    out = []
-    for rule in rules:
-        fresh = Texts(texts.data, texts.first, texts.last)
-        began = time.perf_counter()
-        bad = rule.rejects(fresh)
-        out.append((rule.name, (time.perf_counter() - began) / max(len(texts), 1), float(bad.mean()) if len(texts) else 0.0))
+def missing(needs: Iterable[str], made: Iterable[str]) -> set[str]:
+    """The counts that are to be made for ``needs`` where those of ``made`` are there."""
+    out: set[str] = set()
+    for name in needs:
+        if name not in made and name not in out:
+            out |= {name} | missing(COSTS[name][0], {*made, *out})
     return out
 
 
-def ordered(rules: Sequence[Rule], measured: Sequence[tuple[str, float, float]]) -> list[Rule]:
-    """Rules by rejections per cost, highest first."""
-    rank = {name: rejected / max(cost, 1e-9) for name, cost, rejected in measured}
-    return sorted(rules, key=lambda r: -rank.get(r.name, 0.0))
+def ordered(rules: Sequence[Rule], texts: Texts, made: Iterable[str] = ()) -> list[tuple[Rule, float, float]]:
+    """Rules in the order in which the cascade runs them, each with its cost (operations a document) and the share that it rejects, of the documents that come to it."""
+    made, left, out = {x for m in made for x in (m, *missing(COSTS[m][0], ()))}, list(rules), []
+    alive = np.ones(len(texts), bool)
+    bad = {r.name: np.asarray(r.rejects(texts)) for r in left}
+    sizes = np.stack([texts.last - texts.first, texts.get("n_words"), texts.get("n_lines")]) if len(texts) else np.zeros((3, 0))
+    while left:
+        n = max(int(alive.sum()), 1)
+        mean = sizes[:, alive].sum(axis=1) / n
+        cost = [sum(float(np.dot(COSTS[m][1], mean)) for m in sorted(missing(r.needs, made))) for r in left]
+        share = [float((bad[r.name] & alive).sum()) / n for r in left]
+        k = min(range(len(left)), key=lambda k: (-share[k] / (cost[k] + 1), k))
+        rule = left.pop(k)
+        out.append((rule, cost[k], share[k]))
+        made |= missing(rule.needs, made)
+        alive &= ~bad[rule.name]
+    return out
 
 
-def plan(docs: DataFrame, rules: Sequence[Rule] = RULES, text: str = "text", sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
-    """The rules in the order in which the cascade runs them, from a sample of ``sample_rows`` rows at most."""
-    rows = [r[0] for r in docs.select(text).limit(sample_rows).toLocalIterator()]
-    column = pa.array(rows, pa.large_string())
-    data, first, last = W.buffers(column)
-    n = int(np.searchsorted(last, SAMPLE_BYTES, "right"))
-    return ordered(rules, measure(rules, Texts(data, first[:n], last[:n])))
+def plan(docs: DataFrame, rules: Sequence[Rule] = RULES, text: str = "text", made: Iterable[str] = (), sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
+    """The rules in the order in which the cascade runs them, from a sample of ``sample_rows`` rows at most; ``made``: counts that are made in any case."""
+    column = F.col(f"`{text}`")
+    some = docs.where((F.pmod(F.xxhash64(column), F.lit(SAMPLE_OF)) == 0) & (F.octet_length(column) <= SAMPLE_BYTES))
+    rows = [r[0] for r in some.select(column).limit(sample_rows).collect()]
+    return [r for r, _, _ in ordered(rules, Texts(*W.buffers(pa.array(rows, pa.large_string()))), made)]
 
 
 def run(rules: Sequence[Rule], texts: Texts) -> tuple[np.ndarray, np.ndarray]:
@@ -232,7 +312,7 @@ def cascade(docs: DataFrame, rules: Sequence[Rule] | None = None, text: str = "t
     them.  ``report`` adds the counts of ``REPORT`` and ``base_failed``, for kept
     and rejected rows alike.
     """
-    rules = plan(docs, RULES, text) if rules is None else list(rules)
+    rules = plan(docs, RULES, text, REPORT if report else ()) if rules is None else list(rules)
     added = [T.StructField("kept", T.BooleanType()), T.StructField("rejected_by", T.StringType())]
     if report:
         added += [T.StructField(n, T.LongType()) for n in REPORT] + [T.StructField("base_failed", T.BooleanType())]
@@ -250,6 +330,7 @@ def cascade(docs: DataFrame, rules: Sequence[Rule] | None = None, text: str = "t
             for i, j in W.blocks(first, last):
                 texts = Texts(data, first[i:j], last[i:j])
                 if report:
+                    # they are asked for in any case, so that rules over them cost nothing and the others see fewer texts
                     for n in REPORT:
                         texts.get(n)
                 kept, by = run(rules, texts)

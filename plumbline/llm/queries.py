@@ -73,7 +73,9 @@ WITH d AS (
 ), r AS (
   SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM h) GROUP BY doc_id
 ), l AS (
-  SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup
+  SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup,
+         count(*) FILTER (regexp_matches(line, '^[\x20\x09-\x0D]*[-*•]')) AS n_bullets,
+         count(*) FILTER (regexp_matches(line, '(\.\.\.|…)[\x20\x09-\x0D]*$')) AS n_ellipses
   FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d)
   WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id
 ), s AS (
@@ -82,7 +84,8 @@ WITH d AS (
          CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
          CAST(length(regexp_replace(text, '[^A-Z]', '', 'g')) AS BIGINT) AS upper_,
          CAST(length(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS BIGINT) AS letters,
-         CAST(coalesce(n_dup, 0) AS BIGINT) AS n_dup_lines, coalesce(n_lines, 0) AS n_lines,
+         CAST(coalesce(n_dup, 0) AS BIGINT) AS n_dup_lines, coalesce(n_lines, 0) AS n_lines, coalesce(n_bullets, 0) AS n_bullets, coalesce(n_ellipses, 0) AS n_ellipses,
+         len(list_filter(w, lambda x: regexp_matches(x, '[A-Za-z]|[^\x00-\x7F]'))) AS n_letter_words,
          CAST(coalesce(r.n, 0) AS BIGINT) AS n_repeat_words
   FROM d LEFT JOIN r USING (doc_id) LEFT JOIN l USING (doc_id)
 ), b AS (
@@ -90,7 +93,8 @@ WITH d AS (
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT (base_failed OR n_symbols > CAST(0.3 AS DOUBLE) * n_words OR word_chars < 2 * n_words OR word_chars > 20 * n_words
-            OR upper_ > CAST(0.6 AS DOUBLE) * letters OR n_dup_lines > CAST(0.3 AS DOUBLE) * n_lines) AS kept
+            OR upper_ > CAST(0.6 AS DOUBLE) * letters OR n_dup_lines > CAST(0.3 AS DOUBLE) * n_lines OR n_bullets > CAST(0.9 AS DOUBLE) * n_lines
+            OR n_ellipses > CAST(0.3 AS DOUBLE) * n_lines OR 2 * n_letter_words < n_words) AS kept
 FROM b
 """,
 }

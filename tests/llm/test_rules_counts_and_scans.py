@@ -56,22 +56,62 @@ def counts(text):
 
 def verdict(text):
     n, chars, symbols, dup, repeated, lines = counts(text)
+    w, own = cases.words(text), [x for x in (text or "").split("\n") if cases.words(x)]
+    bullets = sum(cases.words(x)[0][0] in "-*•" for x in own)
+    dots = sum(cases.words(x)[-1].endswith(("...", "…")) for x in own)
+    letters = sum(re.search(r"[A-Za-z]|[^\x00-\x7F]", x) is not None for x in w)
+    if bullets > 0.9 * lines or dots > 0.3 * lines or 2 * letters < n:
+        return False
     up, low = len(re.findall("[A-Z]", text or "")), len(re.findall("[a-z]", text or ""))
     return not (n < 50 or 100 * repeated > 50 * n or symbols > 0.3 * n or chars < 2 * n or chars > 20 * n or up > 0.6 * (up + low) or dup > 0.3 * lines)
 
 
-def test_quality_rules(docs, none):
+def listed(seed, mark="", end=""):
+    return "\n".join(mark + " ".join(f"w{i} {cases.words(cases.prose(seed + i, 9))[0]}" for i in range(k, k + 9)) + end for k in range(0, 90, 9))
+
+
+LISTED = [
+    listed(900, "- "), listed(910, "\t• "), listed(920, end="...  "), listed(930, end=" …"), " ".join(f"{i}:{i}" for i in range(90)),
+    "...", "..", ".\n..", "-", "a..\n.", "é -", "* " * 80,
+]
+
+
+def test_quality_rules(spark, docs, none):
     got = quality_rules.cascade(docs, report=True)
     want = Counter((i, *counts(t)[:5], verdict(t)) for i, t, *_ in cases.rows())
     assert by_row(got, "doc_id", *quality_rules.REPORT, "kept") == want
     assert [c for c in docs.columns if c != "kept"] == got.columns[: len(docs.columns) - 1]
     assert quality_rules.cascade(none).count() == 0 and quality_rules.plan(none)
+    odd = quality_rules.cascade(spark.createDataFrame(list(enumerate(LISTED)), "doc_id long, text string"), quality_rules.RULES[::-1], report=True)
+    assert by_row(odd, "doc_id", *quality_rules.REPORT, "kept") == Counter((i, *counts(t)[:5], verdict(t)) for i, t in enumerate(LISTED))
+    assert {r["rejected_by"] for r in odd.where("doc_id < 5").collect()} == {"bullet_lines", "ellipsis_lines", "wordless"}
 
 
 def test_order_of_rules_changes_nothing(docs):
     back = quality_rules.cascade(docs, tuple(reversed(quality_rules.RULES)))
     assert by_row(back, "doc_id", "kept") == by_row(quality_rules.cascade(docs, quality_rules.RULES), "doc_id", "kept")
-    assert [r.name for r in quality_rules.ordered(quality_rules.RULES, [("upper_case", 1e-6, 0.9), ("min_words", 1.0, 0.9)])][:2] == ["upper_case", "min_words"]
+    assert by_row(quality_rules.cascade(docs), "doc_id", "kept", "rejected_by") == by_row(quality_rules.cascade(docs), "doc_id", "kept", "rejected_by")
+
+
+def test_rules_run_by_rejections_for_what_their_missing_counts_cost():
+    def texts(rows):
+        return quality_rules.Texts(*W.buffers(pa.array(rows, pa.large_string())))
+
+    loud = ["LOUD " * 60] * 6 + [cases.prose(i, 80) for i in range(6)]
+    order = quality_rules.ordered(quality_rules.RULES, texts(loud))
+    assert [r.name for r, _, _ in order][0] == "upper_case" and order[0][2] == 0.5
+    # what is made in any case costs nothing, so a rule over it comes first if it rejects anything
+    repeats = [f"{cases.prose(40, 30)} " * 4] * 3 + loud
+    free = quality_rules.ordered(quality_rules.RULES, texts(repeats), quality_rules.REPORT)
+    assert free[0][0].name == "repeated_words" and free[0][1] == 0
+    for rules in ([r for r, _, _ in order], list(quality_rules.RULES)):
+        kept, by = quality_rules.run(rules, t := texts(loud + ["", "a b"]))
+        assert kept.tolist() == [verdict(x) for x in [*loud, "", "a b"]] and (by[:6] >= 0).all()
+    # a document that is rejected leaves later counts unmade
+    t = texts(["LOUD " * 60] * 4)
+    quality_rules.run([r for r, _, _ in order], t)
+    assert "n_upper" in t._made and "n_repeat_words" not in t._made and "lines" not in t._made
+    assert quality_rules.missing(("n_dup_lines",), {"bytes"}) == {"n_dup_lines", "lines", "line_spans", "words"}
 
 
 def library(text):
