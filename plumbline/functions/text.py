@@ -58,14 +58,19 @@ def is_abstention(text: Column) -> Column:
     return F.contains(normalize_answer(text), F.lit(ABSTAINS))
 
 
-def token_f1(prediction: Column, gold: Column) -> Column:
-    """Harmonic mean of precision and recall over two arrays of tokens as multisets."""
+def once(value: Column, fn) -> Column:
+    """``fn(value)`` with the value made once, however often ``fn`` speaks of it: as a lambda's variable."""
+    return F.get(F.transform(F.array(value), fn), F.lit(0))
+
 
-    def count(of: Column, t: Column) -> Column:
-        return F.size(F.filter(of, lambda x: x == t))
+def numbered(tokens: Column) -> Column:
+    """A multiset as a set: each token with a number among its equals."""
+    return once(F.array_sort(tokens), lambda s: F.transform(s, lambda t, i: F.concat(t, F.lit("\u0000"), i + 1 - F.array_position(s, t))))
 
-    common = F.aggregate(
-        F.array_distinct(F.array_intersect(prediction, gold)), F.lit(0), lambda n, t: n + F.least(count(prediction, t), count(gold, t)))
+
+def token_f1(prediction: Column, gold: Column) -> Column:
+    """Harmonic mean of precision and recall over two multisets of tokens, both ``numbered``."""
+    common = F.size(F.array_intersect(prediction, gold))
     n, m = F.size(prediction), F.size(gold)
     return (
         F.when((n == 0) & (m == 0), 1.0)

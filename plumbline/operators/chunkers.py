@@ -38,11 +38,15 @@ def _cut(text: Column, separators: Sequence[str], size: int) -> Column:
     if sep == "":
         starts = F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1)), F.lit(size))
         return F.filter(F.transform(starts, lambda i: F.substring(text, i, F.lit(size))), lambda p: p != "")
-    parts = F.split(text, rf"\Q{sep}\E", -1)
-    # all but the last part end with the separator; an empty part goes, and its separator with it
-    marked = F.transform(parts, lambda p, i: F.when(p == "", "").when(i < F.size(parts) - 1, F.concat(p, F.lit(sep))).otherwise(p))
-    pieces = F.filter(marked, lambda p: p != "")
-    return F.flatten(F.transform(pieces, lambda p: F.when(F.length(p) <= size, F.array(p)).otherwise(_cut(p, rest, size))))
+
+    def cut(parts: Column) -> Column:
+        # all but the last part end with the separator; an empty part goes, and its separator with it
+        marked = F.transform(parts, lambda p, i: F.when(p == "", "").when(i < F.size(parts) - 1, F.concat(p, F.lit(sep))).otherwise(p))
+        pieces = F.filter(marked, lambda p: p != "")
+        return F.flatten(F.transform(pieces, lambda p: F.when(F.length(p) <= size, F.array(p)).otherwise(_cut(p, rest, size))))
+
+    # as a lambda's variable the parts are made once, and not for each part
+    return F.flatten(F.transform(F.array(F.split(text, rf"\Q{sep}\E", -1)), cut))
 
 
 def recursive_chunks(text: Column, size: int = 1000, overlap: int = 200, separators: Sequence[str] = SEPARATORS) -> Column:

@@ -59,13 +59,13 @@ def _if_golds(golds: Column, score: Column) -> Column:
 
 
 def exact_match(text: Column, golds: Column) -> Column:
-    mine = T.normalize_answer(text)
-    return _if_golds(golds, T.best_over(golds, lambda g: (mine == T.normalize_answer(g)).cast("double")))
+    best = T.once(T.normalize_answer(text), lambda mine: T.best_over(golds, lambda g: (mine == T.normalize_answer(g)).cast("double")))
+    return _if_golds(golds, best)
 
 
 def token_f1(text: Column, golds: Column) -> Column:
-    mine = T.answer_tokens(text)
-    return _if_golds(golds, T.best_over(golds, lambda g: T.token_f1(mine, T.answer_tokens(g))))
+    best = T.once(T.numbered(T.answer_tokens(text)), lambda mine: T.best_over(golds, lambda g: T.token_f1(mine, T.numbered(T.answer_tokens(g)))))
+    return _if_golds(golds, best)
 
 
 def length_ratio(text: Column, golds: Column) -> Column:

@@ -7,6 +7,7 @@ by the score at six decimals and then by ``tie`` columns of the hits.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -17,8 +18,10 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.text import terms
 
-#: Bytes of queries that are broadcast at most; beyond it the join is left to Spark.
-BROADCAST_BYTES = 32 << 20
+#: Rows and bytes that are broadcast at most; beyond either the join is left to Spark.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 32 << 20
+#: Weights of a batch of chunks that are held as one matrix.
+MATRIX = 1 << 22
 
 
 def top_k(scored: DataFrame, k: int, *tie: str) -> DataFrame:
@@ -28,12 +31,14 @@ def top_k(scored: DataFrame, k: int, *tie: str) -> DataFrame:
     return scored.withColumn("rank", rank).where(F.col("rank") < k)
 
 
-def small(df: DataFrame, rows: int = 200_000) -> bool:
-    """Whether ``df`` has ``rows`` rows at most; it stops counting there."""
-    return df.limit(rows + 1).count() <= rows
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, most: int = BROADCAST_BYTES) -> bool:
+    """Whether ``df`` has ``rows`` rows at most, and ``most`` bytes as JSON; it stops counting there."""
+    size = F.sum(F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))))
+    n, total = df.limit(rows + 1).agg(F.count(F.lit(1)), size).first()
+    return n <= rows and (total or 0) <= most
 
 
-def broadcast_if_small(df: DataFrame, rows: int = 200_000) -> DataFrame:
+def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if small(df, rows) else df
 
 
@@ -68,21 +73,27 @@ def bm25_weight(tf: Column, dl: Column, df: Column, n: Column, avgdl: Column, k1
     return idf * (tf * (k1 + 1)) / (tf + k1 * norm)
 
 
+def _places(rows: pa.Array, vocabulary: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Row, number in the vocabulary and count of each row's different terms that are in it, and each row's number of terms."""
+    flat = rows.flatten()
+    of = np.diff(rows.offsets.to_numpy())
+    found = pc.index_in(flat, vocabulary).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+    known = found >= 0
+    keys, count = np.unique(np.repeat(np.arange(len(rows)), of)[known] * max(len(vocabulary), 1) + found[known], return_counts=True)
+    return keys // max(len(vocabulary), 1), keys % max(len(vocabulary), 1), count, of
+
+
 def term_counts(chunks: DataFrame, vocabulary: list[str]) -> tuple[dict[str, int], int, float]:
     """Chunks that hold each term of ``vocabulary``, chunks, and terms a chunk, in one scan; each task sends a row a term."""
-    words = frozenset(vocabulary)
+    words = pa.array(vocabulary, pa.string())
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df: dict[str, int] = dict.fromkeys(words, 0)
-        n = total = 0
+        df, n, total = np.zeros(len(words), np.int64), 0, 0
         for batch in batches:
-            for row in batch.column(0).to_pylist():
-                n += 1
-                total += len(row)
-                for t in words.intersection(row):
-                    df[t] += 1
-        keys, counts = [*df, "", " "], [*df.values(), n, total]
-        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts, pa.int64())], ["term", "n"])
+            _, term, _, size = _places(batch.column(0), words)
+            df += np.bincount(term, minlength=len(words))[: len(words)]
+            n, total = n + len(size), total + int(size.sum())
+        yield pa.RecordBatch.from_arrays([pa.concat_arrays([words, pa.array(["", " "])]), pa.array(np.append(df, [n, total]))], ["term", "n"])
 
     cut = chunks.select(terms(F.coalesce(F.col("text"), F.lit(""))).alias("terms"))
     rows = cut.mapInArrow(count, "term string, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect()  # a row a query term
@@ -92,17 +103,20 @@ def term_counts(chunks: DataFrame, vocabulary: list[str]) -> tuple[dict[str, int
 
 
 def _asked(queries: DataFrame, block: int) -> Iterator[dict]:
-    """Blocks of at most ``block`` queries: each one's terms with how often it has them."""
+    """Blocks of at most ``block`` queries, one at least: each one's terms with how often it has them.  Of rows with one query_id the first counts."""
     out: dict = {}
+    known: set = set()
     cut = queries.select("query_id", terms(F.coalesce(F.col("text"), F.lit(""))).alias("terms"))
     for r in cut.toLocalIterator():
-        counts = out.setdefault(r["query_id"], {})
-        for t in r["terms"]:
-            counts[t] = counts.get(t, 0) + 1
+        if r["query_id"] in known:
+            continue
+        known.add(r["query_id"])
+        out[r["query_id"]] = Counter(r["terms"])
         if len(out) == block:
             yield out
             out = {}
-    yield out
+    if out or not known:
+        yield out
 
 
 def arrow_type(df: DataFrame, column: str) -> pa.DataType:
@@ -137,20 +151,24 @@ def bm25(chunks: DataFrame, queries: DataFrame, k: int = 50, k1: float = 1.5, b:
                 if t in number:
                     matrix[q, number[t]] = c * idf[number[t]]
 
-        def score(batches: Iterable[pa.RecordBatch], ids=ids, number=number, matrix=matrix, avgdl=avgdl) -> Iterator[pa.RecordBatch]:
+        def score(batches: Iterable[pa.RecordBatch], ids=ids, words=list(number), matrix=matrix, avgdl=avgdl) -> Iterator[pa.RecordBatch]:
+            words = pa.array(words, pa.string())
             for whole in batches:
-                for lo in range(0, whole.num_rows, 2048):
-                    batch = whole.slice(lo, 2048)
-                    weights = np.zeros((batch.num_rows, max(len(number), 1)))
-                    for r, row in enumerate(batch.column(len(columns)).to_pylist()):
-                        found = np.array([number[t] for t in row if t in number], np.int64)
-                        if len(found):
-                            term, tf = np.unique(found, return_counts=True)
-                            norm = 1 - b + b * max(len(row), 1) / avgdl if avgdl > 0 else 1.0
-                            weights[r, term] = tf * (k1 + 1) / (tf + k1 * norm)
-                    rows = _best(matrix @ weights.T if len(number) else np.zeros((len(ids), batch.num_rows)), [batch.column(columns.index(c)) for c in tie], k)
-                    q, r, s = rows
-                    yield pa.RecordBatch.from_arrays([pa.array(ids, id_type).take(pa.array(q)), *(batch.column(i).take(pa.array(r)) for i in range(len(columns))), pa.array(s)], ["query_id", *columns, "score"])
+                row, term, tf, size = _places(whole.column(len(columns)), words)
+                norm = 1 - b + b * np.maximum(size, 1) / avgdl if avgdl > 0 else np.ones(len(size))
+                weight = tf * (k1 + 1) / (tf + k1 * norm[row])
+                # the terms of these rows alone, and as many rows as a bounded matrix holds
+                lo = 0
+                while lo < whole.num_rows:
+                    hi = min(lo + max(MATRIX // max(len(words), 1), 64), lo + 2048, whole.num_rows)
+                    i, j = np.searchsorted(row, [lo, hi])
+                    some, at = np.unique(term[i:j], return_inverse=True)
+                    weights = np.zeros((len(some), hi - lo))
+                    weights[at, row[i:j] - lo] = weight[i:j]
+                    batch = whole.slice(lo, hi - lo)
+                    q, r, s = _best(matrix[:, some] @ weights, [batch.column(columns.index(c)) for c in tie], k)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids, id_type).take(pa.array(q)), *(batch.column(c).take(pa.array(r)) for c in range(len(columns))), pa.array(s)], ["query_id", *columns, "score"])
+                    lo = hi
 
         part = chunks.select(*columns, terms(F.coalesce(F.col("text"), F.lit(""))).alias("_terms")).mapInArrow(score, schema)
         out = part if out is None else out.unionByName(part)
@@ -174,6 +192,45 @@ def _best(scores: np.ndarray, ties: list[pa.Array], k: int, above: float = 0.0)
     return q[good], r[good], scores[q[good], r[good]]
 
 
+def containing(documents: DataFrame, passages: DataFrame, block: int = 8 << 20) -> DataFrame:
+    """``query_id, doc_id`` of documents in whose text a passage (query_id, text) stands; passages are a stated set, looked for all at once, in blocks of ``block`` bytes."""
+    qkind, kind = (f.schema[c].dataType.simpleString() for f, c in ((passages, "query_id"), (documents, "doc_id")))
+    id_type, doc_type = arrow_type(passages, "query_id"), arrow_type(documents, "doc_id")
+
+    def blocks() -> Iterator[dict[str, list]]:
+        held: dict[str, list] = {}
+        size = 0
+        for r in passages.where("text is not null and text <> ''").select("query_id", "text").toLocalIterator():
+            held.setdefault(r["text"], []).append(r["query_id"])
+            size += len(r["text"])
+            if size >= block:
+                yield held
+                held, size = {}, 0
+        yield held
+
+    out = None
+    for held in blocks():
+
+        def look(batches: Iterable[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            import ahocorasick
+
+            automaton = ahocorasick.Automaton()
+            for text, ids in held.items():
+                automaton.add_word(text, ids)
+            automaton.make_automaton()
+            for batch in batches:
+                doc, found = [], []
+                for d, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    own = {i for _, ids in automaton.iter(text) for i in ids} if held and text else ()
+                    doc += [d] * len(own)
+                    found += own
+                yield pa.RecordBatch.from_arrays([pa.array(found, id_type), pa.array(doc, doc_type)], ["query_id", "doc_id"])
+
+        part = documents.select("doc_id", "text").mapInArrow(look, f"query_id {qkind}, doc_id {kind}")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)
 
@@ -211,15 +268,17 @@ def dense(vectors: DataFrame, queries: DataFrame, k: int = 50, block: int = 4096
 
 
 def query_blocks(queries: DataFrame, block: int) -> Iterator[tuple[list, np.ndarray, pa.DataType]]:
-    ids, rows = [], []
+    """Ids and vectors of at most ``block`` queries, one block at least."""
+    ids, rows, some = [], [], False
     id_type = arrow_type(queries, "query_id")
     for r in queries.where("embedding is not null").select("query_id", "embedding").toLocalIterator():
         ids.append(r["query_id"])
         rows.append(r["embedding"])
         if len(ids) == block:
             yield ids, np.array(rows, np.float64), id_type
-            ids, rows = [], []
-    yield ids, np.array(rows, np.float64).reshape(len(ids), -1), id_type
+            ids, rows, some = [], [], True
+    if ids or not some:
+        yield ids, np.array(rows, np.float64).reshape(len(ids), -1), id_type
 
 
 def embed(rows: DataFrame, encoder: Callable[[list[str]], np.ndarray], text: str = "text", normalize: bool = True, batch: int = 32) -> DataFrame:

@@ -179,10 +179,14 @@ def _benchmark(spark, sf_dir) -> DataFrame:
 
 
 def _hits(spark, sf_dir, k: int = 10) -> DataFrame:
-    chunks, queries = _chunks(spark, sf_dir), _benchmark(spark, sf_dir)
-    # hits are k a query, so the chunks' texts come to them and not the other way round
-    hits = retrieval.bm25(chunks, queries, k)
-    return chunks.select("chunk_id", "doc_id", "text").join(hits, "chunk_id").join(queries.withColumnRenamed("text", "query_text"), "query_id")
+    queries = _benchmark(spark, sf_dir)
+    hits = retrieval.bm25(_chunks(spark, sf_dir), queries, k, keep=("doc_id",)).withColumnRenamed("chunk_id", "_hit")
+    # hits are k a query, so that their number is known; only their documents are cut into chunks again
+    if queries.limit(retrieval.BROADCAST_ROWS).count() * k <= retrieval.BROADCAST_ROWS:
+        hits = F.broadcast(hits)
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text").join(hits, "doc_id")
+    found = chunkers.chunk_fixed(documents).where("chunk_id = _hit").drop("_hit", "position")
+    return found.join(queries.withColumnRenamed("text", "query_text"), "query_id")
 
 
 @query(f"WITH {_BM25} SELECT n AS n_chunks, round(avgdl, 6) AS avgdl, (SELECT count(*) FROM post) AS n_postings, (SELECT count(*) FROM df) AS n_terms FROM st")
@@ -285,8 +289,7 @@ def cost_estimate(spark, sf_dir):
 
 def _golds(spark, sf_dir) -> DataFrame:
     """Items with the documents that contain them: the items are a stated set, and each task holds them against its own documents."""
-    items = retrieval.broadcast_if_small(_benchmark(spark, sf_dir).withColumnRenamed("text", "question"))
-    found = table(spark, sf_dir, "documents").select("doc_id", "text").join(items, F.contains("text", "question")).select("query_id", F.col("doc_id").cast("string").alias("doc_id"))
+    found = retrieval.containing(table(spark, sf_dir, "documents"), _benchmark(spark, sf_dir)).select("query_id", F.col("doc_id").cast("string").alias("doc_id"))
     golds = found.groupBy("query_id").agg(F.array_sort(F.collect_list("doc_id")).alias("gold_passages"))
     return _benchmark(spark, sf_dir).select("query_id").join(golds, "query_id", "left")
 
