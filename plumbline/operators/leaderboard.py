@@ -36,19 +36,23 @@ def verbose(metrics: DataFrame, key: str = "pipeline_hash", threshold: float = V
     return metrics.groupBy(key).agg(F.coalesce(F.bool_or((F.col("metric") == "length_ratio") & (F.col("mean") > threshold)), F.lit(False)).alias("verbose"))
 
 
+#: Parts in which a frontier is looked for first.
+PARTS = 256
+
+
 def pareto(entries: DataFrame, quality: str = "quality", cost: str = "cost") -> DataFrame:
     """``entries`` with pareto: no other entry is as good and as cheap, and better in one.
 
-    Entries that tie in both are kept together.  The frontier is found over
-    distinct costs: best quality at each cost, then the best at any lower cost,
-    so a window runs over one row a cost, and entries meet it in a join.
+    Entries that tie in both are kept together.  Best qualities at each cost
+    are dealt to ``PARTS`` parts by hash; what is beaten in its own part by a
+    lower cost goes, and the frontier is found over the few that are left.
     """
-    best = entries.groupBy(cost).agg(F.max(quality).alias("_best"))
-    cheaper = F.max("_best").over(Window.orderBy(cost).rowsBetween(Window.unboundedPreceding, -1))
-    marked = best.withColumn("_cheaper", cheaper).withColumnRenamed(cost, "_cost")
-    joined = entries.join(marked, F.col(cost).eqNullSafe(F.col("_cost")))
-    on = (F.col(quality) == F.col("_best")) & (F.col("_cheaper").isNull() | (F.col("_cheaper") < F.col(quality)))
-    return joined.withColumn("pareto", on).drop("_best", "_cheaper", "_cost")
+    before = lambda *by: F.max("_best").over(Window.partitionBy(*by).orderBy(F.col("_cost").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1))
+    best = entries.groupBy(F.col(cost).alias("_cost")).agg(F.max(quality).alias("_best"))
+    for by in ([F.pmod(F.xxhash64("_cost"), F.lit(PARTS))], []):
+        best = best.withColumn("_cheaper", before(*by)).where("_cheaper is null or _cheaper < _best").drop("_cheaper")
+    joined = entries.join(best.withColumnRenamed("_best", "_front"), F.col(cost).eqNullSafe(F.col("_cost")), "left")
+    return joined.withColumn("pareto", F.coalesce(F.col(quality) == F.col("_front"), F.lit(False))).drop("_front", "_cost")
 
 
 def leaderboard(submissions: DataFrame, verified: DataFrame | None = None) -> DataFrame:

@@ -12,6 +12,7 @@ import json
 from collections.abc import Iterable, Mapping
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -70,16 +71,23 @@ def corpus_lines(documents: DataFrame) -> DataFrame:
 def task_data_hash(task_id: str, items: DataFrame, documents: DataFrame) -> DataFrame:
     """One row ``task_id, task_data_hash``, over the items and documents of one task in order of their ids.
 
-    Texts are hashed where they lie; what comes together is a line of fixed
-    length for each document, since one digest needs all lines in order.
+    Texts are hashed where they lie, and lines are sorted by ranges.  One
+    digest needs all lines in order, so one task reads the sorted ranges one
+    after the other and holds no more than a batch.
     """
-
-    def together(lines: DataFrame, name: str) -> DataFrame:
-        return lines.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "line"))), lambda x: x["line"]), "").alias(name))
-
-    both = together(item_lines(items), "i").crossJoin(together(corpus_lines(documents), "d"))  # one row each
-    whole = F.concat(F.lit(f"task_id:{task_id}\nitems:\n"), F.col("i"), F.lit("corpus:\n"), F.col("d"))
-    return both.select(F.lit(task_id).alias("task_id"), F.sha2(whole.cast("binary"), 256).alias("task_data_hash"))
+    spark = items.sparkSession
+    heads = spark.createDataFrame([(0, "", f"task_id:{task_id}\nitems:\n"), (2, "", "corpus:\n")], "part int, id string, line string")
+    lines = [heads, item_lines(items).select(F.lit(1).alias("part"), "id", "line"), corpus_lines(documents).select(F.lit(3).alias("part"), "id", "line")]
+
+    def digest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole = hashlib.sha256()
+        for batch in batches:
+            # a line with a null part is null, and stands for nothing
+            whole.update("".join(x for x in batch.column(0).to_pylist() if x is not None).encode())
+        yield pa.RecordBatch.from_arrays([pa.array([task_id]), pa.array([whole.hexdigest()])], ["task_id", "task_data_hash"])
+
+    every = lines[0].unionByName(lines[1]).unionByName(lines[2])
+    return every.orderBy("part", "id", "line").select("line").coalesce(1).mapInArrow(digest, "task_id string, task_data_hash string")
 
 
 def verify_run(submitted: DataFrame, rerun: DataFrame, tolerance: float = 0.0) -> DataFrame:

@@ -12,6 +12,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 RESAMPLES = 2000
+#: Draws that are held at once.
+HELD = 1 << 22
+#: A resample's weight of an item is the number of these limits that 32 bits of hash reach: a Poisson draw of mean 1.
+LIMITS = [int(2**32 * sum(math.exp(-1) / math.factorial(j) for j in range(k + 1))) for k in range(12)]
 
 
 def item_means(scores: DataFrame, keys: Sequence[str] = ("task_id", "metric")) -> DataFrame:
@@ -35,7 +39,9 @@ def bca_interval(x: np.ndarray, resamples: int = RESAMPLES, seed: int = 0, confi
 
 
 def _resampled(x: np.ndarray, resamples: int, seed: int) -> np.ndarray:
-    return x[np.random.default_rng(seed).integers(0, x.size, size=(resamples, x.size))].mean(axis=1)
+    """Means of the resamples; some at a time, in the order of one stream of draws, so that memory is bounded."""
+    draws, step = np.random.default_rng(seed), max(1, HELD // x.size)
+    return np.concatenate([x[draws.integers(0, x.size, size=(min(step, resamples - k), x.size))].mean(axis=1) for k in range(0, resamples, step)])
 
 
 def _interval(x: np.ndarray, resamples: int, seed: int, confidence: float, corrected: bool) -> tuple[float, float]:
@@ -88,38 +94,54 @@ def with_intervals(items: DataFrame, keys: Sequence[str] = ("task_id", "metric")
     return items.groupBy(*keys).applyInPandas(run, f"{kinds}, mean double, ci_lo double, ci_hi double, n bigint")
 
 
-def _draw(key: Column, n: Column) -> Column:
-    """A number below n from a hash of ``key``."""
-    return F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("long") % n
+def _resampled_means(items: DataFrame, keys: Sequence[str], resamples: int, seed: int, item: str) -> DataFrame:
+    """``keys, m``: a row a resample.  Items are weighed by a hash and added up where they lie: ``resamples`` sums a task are shuffled, never items."""
+    hashed = items.select(*keys, "score", F.col(item).cast("string").alias("_item"), F.explode(F.sequence(F.lit(0), F.lit(-(-resamples // 4) - 1))).alias("b"))
+    hashed = hashed.withColumn("h", F.md5(F.concat_ws(":", F.lit(seed).cast("string"), F.col("b").cast("string"), "_item").cast("binary")))
+    weight = lambda k: sum(((F.conv(F.substring("h", 8 * k + 1, 8), 16, 10).cast("long") >= limit).cast("int") for limit in LIMITS[1:]), (F.conv(F.substring("h", 8 * k + 1, 8), 16, 10).cast("long") >= LIMITS[0]).cast("int"))
+    weighed = hashed.select(*keys, "b", "score", *[weight(k).alias(f"w{k}") for k in range(4)])
+    sums = weighed.groupBy(*keys, "b").agg(*[F.sum(f"w{k}").alias(f"n{k}") for k in range(4)], *[F.sum(F.col(f"w{k}") * F.col("score")).alias(f"s{k}") for k in range(4)])
+    each = F.explode(F.array(*[F.struct((4 * F.col("b") + k).alias("b"), (F.col(f"s{k}") / F.when(F.col(f"n{k}") > 0, F.col(f"n{k}"))).alias("m")) for k in range(4)]))
+    return sums.select(*keys, each.alias("x")).where(F.col("x.b") < resamples).select(*keys, F.col("x.m").alias("m"))
 
 
-def native_intervals(items: DataFrame, keys: Sequence[str] = ("task_id", "metric"), resamples: int = RESAMPLES, seed: int = 0, order: str = "item_id") -> DataFrame:
-    """The same by hashed draws, in SQL functions alone: any number of items, spread over resamples.
+def native_intervals(items: DataFrame, keys: Sequence[str] = ("task_id", "metric"), resamples: int = RESAMPLES, seed: int = 0, item: str = "item_id") -> DataFrame:
+    """``keys, mean, ci_lo, ci_hi, n`` by the Poisson bootstrap, in SQL functions alone, for any number of items.
 
-    Draw j of resample b is item ``md5(seed:b:j)`` modulo n.  The draws of a
-    group are joined with its numbered items, so no task holds a group.
+    An item's weight in resample b comes from ``md5(seed:b/4:item)``, of which
+    each 32 bits give one resample's; a resample in which nothing was drawn
+    does not count.
     """
-    numbered = items.withColumn("_i", F.row_number().over(Window.partitionBy(*keys).orderBy(order)) - 1)
     sizes = items.groupBy(*keys).agg(F.avg("score").alias("mean"), F.count(F.lit(1)).alias("n"))
-    draws = (
-        sizes.select(*keys, "n", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("b"))
-        .select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("j"))
-        .select(*keys, "b", _draw(F.concat_ws(":", F.lit(seed), "b", "j").cast("binary"), F.col("n")).alias("_i"))
-    )
-    drawn = draws.join(numbered.select(*keys, "_i", "score"), [*keys, "_i"]).groupBy(*keys, "b").agg(F.avg("score").alias("m"))
+    drawn = _resampled_means(items, keys, resamples, seed, item)
     limits = drawn.groupBy(*keys).agg(F.expr("percentile(m, 0.025)").alias("ci_lo"), F.expr("percentile(m, 0.975)").alias("ci_hi"))
     return sizes.join(limits, list(keys)).select(*keys, "mean", "ci_lo", "ci_hi", "n")
 
 
-def native_paired_p(pairs: DataFrame, resamples: int = RESAMPLES, seed: int = 0, order: str = "item_id") -> DataFrame:
-    """One row ``p_value, n`` from item_id, a, b."""
-    d = pairs.select(F.lit(0).alias("g"), order, (F.col("a") - F.col("b")).alias("score"))
-    numbered = d.withColumn("_i", F.row_number().over(Window.partitionBy("g").orderBy(order)) - 1)
-    n = d.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
-    draws = n.select("n", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("b")).select("n", "b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("j"))
-    drawn = draws.select("b", _draw(F.concat_ws(":", F.lit(seed), "b", "j").cast("binary"), F.col("n")).alias("_i")).join(numbered.select("_i", "score"), "_i").groupBy("b").agg(F.round(F.avg("score"), 9).alias("m"))
-    p = 2 * F.least(F.avg((F.col("m") >= 0).cast("double")), F.avg((F.col("m") <= 0).cast("double")))
-    return drawn.agg(F.least(F.lit(1.0), p).alias("p_value")).crossJoin(F.broadcast(n.select("n")))
+def native_paired_p(pairs: DataFrame, resamples: int = RESAMPLES, seed: int = 0, item: str = "item_id") -> DataFrame:
+    """One row ``p_value, n`` from item_id, a, b, by the same weights."""
+    d = pairs.select(item, (F.col("a") - F.col("b")).alias("score"))
+    m = F.round("m", 9)
+    p = 2 * F.least(F.avg((m >= 0).cast("double")), F.avg((m <= 0).cast("double")))
+    return _resampled_means(d, [], resamples, seed, item).agg(F.least(F.lit(1.0), p).alias("p_value")).crossJoin(d.agg(F.count(F.lit(1)).alias("n")))  # one row each
+
+
+def nearest_rank(values: DataFrame, keys: Sequence[str], value: str, q: float = 0.95) -> DataFrame:
+    """``keys, mean, p95``: the value at place round(q * (n - 1)) of the sorted ones, halves to even.
+
+    A sketch with an error of n / 10,000 places gives two values between which
+    it lies; only those between them are counted and put in order.
+    """
+    known = values.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"))
+    near = F.percentile_approx("_v", [max(0.0, q - 5e-4), min(1.0, q + 5e-4)], 10_000)
+    edges = known.groupBy(*keys).agg(F.avg("_v").alias("mean"), F.count(F.lit(1)).alias("_n"), near.alias("_e"))
+    met = known.join(edges, list(keys)) if keys else known.crossJoin(edges)
+    # one row for all values below the first edge, and one a value between both
+    inside = F.col("_v") >= F.col("_e")[0]
+    counted = met.where(F.col("_v") <= F.col("_e")[1]).groupBy(*keys, F.when(inside, F.col("_v")).alias("_v")).agg(F.count(F.lit(1)).alias("_c"), F.first("mean").alias("mean"), F.first("_n").alias("_n"))
+    upto = F.sum("_c").over(Window.partitionBy(*keys).orderBy(F.col("_v").asc_nulls_first()))
+    at = F.bround(F.lit(q) * (F.col("_n") - 1), 0).cast("long")
+    return counted.withColumn("_upto", upto).groupBy(*keys).agg(F.first("mean").alias("mean"), F.min(F.when(F.col("_upto") > at, F.col("_v"))).alias("p95"))
 
 
 def nearest_rank(values: DataFrame, keys: Sequence[str], value: str, q: float = 0.95) -> DataFrame:

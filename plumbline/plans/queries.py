@@ -469,10 +469,10 @@ def alpha_by_family(spark, sf_dir):
 
 
 def _events(spark, sf_dir) -> DataFrame:
-    return table(spark, sf_dir, "events").select(F.lit("events").alias("task_id"), F.col("event_type").alias("metric"), F.col("user_id").alias("item_id"), (F.col("event_id") % 5).alias("seed"), F.when(F.col("event_id") % 7 != 0, F.col("value")).alias("score"))
+    return table(spark, sf_dir, "events").select(F.lit("events").alias("task_id"), F.col("event_type").alias("metric"), F.col("user_id").alias("item_id"), (F.col("event_id") % 5).alias("seed"), F.col("value").alias("score"))
 
 
-_ITEM = "im AS (SELECT event_type AS metric, user_id AS item_id, avg(value) AS score FROM events WHERE event_id % 7 <> 0 AND value IS NOT NULL GROUP BY ALL)"
+_ITEM = "im AS (SELECT event_type AS metric, user_id AS item_id, avg(value) AS score FROM events WHERE value IS NOT NULL GROUP BY ALL)"
 
 
 @query(f"WITH {_ITEM} SELECT metric, round(avg(score), 6) AS mean, count(*) AS n FROM im GROUP BY metric")
@@ -486,17 +486,24 @@ def latency_p95(spark, sf_dir):
     return stats.nearest_rank(table(spark, sf_dir, "events"), ["event_type"], "value").select("event_type", r6("mean", "mean"), r6("p95", "p95"))
 
 
-_LANGS = "it AS (SELECT lang AS metric, doc_id % 200 AS item_id, avg(quality) AS score FROM labels JOIN documents USING (doc_id) GROUP BY ALL)"
+_LANGS = "it AS (SELECT lang AS metric, doc_id AS item_id, avg(quality) AS score FROM labels JOIN documents USING (doc_id) GROUP BY ALL)"
 
 
 def _lang_items(spark, sf_dir) -> DataFrame:
     rows = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id")
-    return rows.groupBy(F.col("lang").alias("metric"), (F.col("doc_id") % 200).alias("item_id")).agg(F.avg("quality").alias("score"))
+    return rows.groupBy(F.col("lang").alias("metric"), F.col("doc_id").alias("item_id")).agg(F.avg("quality").alias("score"))
 
 
-@query(f"""WITH {_LANGS}, nu AS (SELECT *, row_number() OVER (PARTITION BY metric ORDER BY item_id) - 1 AS i FROM it), sz AS (SELECT metric, avg(score) AS mean, count(*) AS n FROM it GROUP BY metric),
-dr AS (SELECT metric, b, CAST('0x' || substr(md5('0:' || b || ':' || j), 1, 8) AS BIGINT) % n AS i FROM (SELECT metric, n, b, unnest(range(0, n)) AS j FROM (SELECT metric, n, unnest(range(0, 2000)) AS b FROM sz))),
-bm AS (SELECT metric, b, avg(score) AS m FROM dr JOIN nu USING (metric, i) GROUP BY ALL)
+def _drawn(items: str, key: str) -> str:
+    """CTEs hs, ws and bm (key, b, m): means of the items' resamples."""
+    hs = f"hs AS (SELECT {key}, score, b, md5('0:' || b || ':' || item_id) AS h FROM (SELECT {key}, score, item_id, unnest(range(0, {stats.RESAMPLES // 4})) AS b FROM {items}))"
+    draw = "CAST('0x' || substr(h, 8 * k + 1, 8) AS BIGINT)"
+    weight = " + ".join(f"CAST(u >= {limit} AS INTEGER)" for limit in stats.LIMITS)
+    ws = f"ws AS (SELECT {key}, score, 4 * b + k AS b, {weight} AS w FROM (SELECT {key}, score, b, k, {draw} AS u FROM (SELECT *, unnest(range(0, 4)) AS k FROM hs)))"
+    return f"{hs}, {ws}, bm AS (SELECT {key}, b, sum(w * score) / nullif(sum(w), 0) AS m FROM ws GROUP BY ALL)"
+
+
+@query(f"""WITH {_LANGS}, sz AS (SELECT metric, avg(score) AS mean, count(*) AS n FROM it GROUP BY metric), {_drawn("it", "metric")}
 SELECT metric, round(any_value(mean), 6) AS mean, round(quantile_cont(m, 0.025), 6) AS ci_lo, round(quantile_cont(m, 0.975), 6) AS ci_hi, any_value(n) AS n FROM bm JOIN sz USING (metric) GROUP BY metric""")
 def bootstrap_ci(spark, sf_dir):
     return stats.native_intervals(_lang_items(spark, sf_dir), ["metric"]).select("metric", r6("mean", "mean"), r6("ci_lo", "ci_lo"), r6("ci_hi", "ci_hi"), "n")
@@ -512,11 +519,9 @@ def bootstrap_bca(spark, sf_dir):
     return stats.with_intervals(_lang_items(spark, sf_dir), ["metric"], method="bca")
 
 
-@query("""WITH pr AS (SELECT source AS item_id, avg(quality) AS a, avg(1 - toxic) AS b FROM labels JOIN documents USING (doc_id) GROUP BY source),
-nu AS (SELECT a - b AS score, row_number() OVER (ORDER BY item_id) - 1 AS i, count(*) OVER () AS n FROM pr),
-dr AS (SELECT b, CAST('0x' || substr(md5('0:' || b || ':' || j), 1, 8) AS BIGINT) % n AS i FROM (SELECT n, b, unnest(range(0, n)) AS j FROM (SELECT (SELECT count(*) FROM pr) AS n, unnest(range(0, 2000)) AS b))),
-bm AS (SELECT b, round(avg(score), 9) AS m FROM dr JOIN nu USING (i) GROUP BY b)
-SELECT round(least(1.0, 2 * least(avg(CAST(m >= 0 AS DOUBLE)), avg(CAST(m <= 0 AS DOUBLE)))), 6) AS p_value, (SELECT count(*) FROM pr) AS n FROM bm""")
+@query(f"""WITH pr AS (SELECT source AS item_id, avg(quality) - avg(1 - toxic) AS score, 0 AS g FROM labels JOIN documents USING (doc_id) GROUP BY source), {_drawn("pr", "g")},
+rm AS (SELECT round(m, 9) AS m FROM bm)
+SELECT round(least(1.0, 2 * least(avg(CAST(m >= 0 AS DOUBLE)), avg(CAST(m <= 0 AS DOUBLE)))), 6) AS p_value, (SELECT count(*) FROM pr) AS n FROM rm""")
 def paired_bootstrap(spark, sf_dir):
     rows = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id")
     pairs = rows.groupBy(F.col("source").alias("item_id")).agg(F.avg("quality").alias("a"), F.avg(1 - F.col("toxic")).alias("b"))
@@ -552,13 +557,13 @@ def _runs(spark, sf_dir) -> DataFrame:
 _METRIC_NAME = "CASE WHEN n % 2 = 0 THEN 'token_f1' ELSE 'length_ratio' END"
 
 
-@query(f"""WITH {_RUNS}, s AS (SELECT task_id || '-' || pipeline_hash AS task_id, 'm' AS metric, ci_lo, ci_hi FROM runs), re AS (SELECT e.event_type || '-' || e.user_id AS task_id, CASE WHEN e.user_id % 3 = 0 THEN 'other' ELSE 'm' END AS metric, median(value) AS mean FROM events e WHERE e.user_id % 5 <> 0 GROUP BY ALL)
+@query(f"""WITH {_RUNS}, s AS (SELECT task_id || '-' || pipeline_hash AS task_id, 'm' AS metric, ci_lo, ci_hi FROM runs), re AS (SELECT e.event_type || '-' || e.user_id AS task_id, 'm' AS metric, median(value) * 3 AS mean FROM events e GROUP BY ALL)
 SELECT task_id, CASE WHEN t THEN 'm' END AS metric, CASE WHEN NOT t THEN task_id || ': re-run missing' WHEN mean IS NULL THEN task_id || '/m: re-run metric missing' ELSE 'outside' END AS kind
 FROM (SELECT s.task_id, re.mean, s.ci_lo, s.ci_hi, s.task_id IN (SELECT task_id FROM re) AS t FROM s LEFT JOIN re ON re.task_id = s.task_id AND re.metric = s.metric) WHERE NOT t OR mean IS NULL OR mean < ci_lo OR mean > ci_hi""")
 def verify_run(spark, sf_dir):
     name = F.concat_ws("-", "task_id", "pipeline_hash")
     submitted = _runs(spark, sf_dir).select(name.alias("task_id"), F.lit("m").alias("metric"), "ci_lo", "ci_hi")
-    rerun = table(spark, sf_dir, "events").where("user_id % 5 <> 0").groupBy(F.concat_ws("-", "event_type", F.col("user_id").cast("string")).alias("task_id"), F.when(F.col("user_id") % 3 == 0, "other").otherwise("m").alias("metric")).agg(F.median("value").alias("mean"))
+    rerun = table(spark, sf_dir, "events").groupBy(F.concat_ws("-", "event_type", F.col("user_id").cast("string")).alias("task_id"), F.lit("m").alias("metric")).agg((F.median("value") * 3).alias("mean"))
     return repro.verify_run(submitted, rerun).select("task_id", "metric", F.when(F.contains("reason", F.lit("outside")), "outside").otherwise(F.col("reason")).alias("kind"))
 
 
@@ -620,10 +625,10 @@ def corpus_first(spark, sf_dir):
     return tasks.first_of_each(c.select(F.concat_ws("-", "role", F.col("turn").cast("string")).alias("doc_id"), "text", F.col("conv_id").alias("record"), F.col("turn").alias("place"))).select("doc_id", "text")
 
 
-@query(f"WITH {_BOARD} SELECT pipeline_hash, row_number() OVER (ORDER BY quality DESC, pipeline_hash) AS place FROM e WHERE CAST(pipeline_hash AS BIGINT) % 3 = 0")
+@query(f"WITH {_BOARD} SELECT pipeline_hash, row_number() OVER (ORDER BY quality DESC, pipeline_hash) AS place FROM e WHERE NOT is_verbose")
 def leaderboard_view(spark, sf_dir):
     """Verified entries in the order of the site, numbered."""
-    board = _board(spark, sf_dir).select("pipeline_hash", "quality", F.struct(F.col("cost").alias("cost_per_query_usd_mean"), F.col("latency").alias("latency_ms_p95")).alias("operational"), (F.col("pipeline_hash").cast("long") % 3 == 0).alias("verified"))
+    board = _board(spark, sf_dir).select("pipeline_hash", "quality", F.struct(F.col("cost").alias("cost_per_query_usd_mean"), F.col("latency").alias("latency_ms_p95")).alias("operational"), (~F.col("is_verbose")).alias("verified"))
     from pyspark.sql import Window
 
     # one row a published pipeline
