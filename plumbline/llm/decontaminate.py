@@ -31,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 #: Edits allowed for each character of an item.
 RATE = 0.05
@@ -160,7 +161,8 @@ class Matcher:
             for lo, hi in spans:
                 distance, begin, end = pattern.best(text[lo:hi])
                 if distance <= budget and (best is None or distance < best[0]):
-                    best = (distance, lo + begin, lo + end)
+                    # an item without a budget was looked for with the spaces around it
+                    best = (distance, lo + begin + (not budget), lo + end - (not budget))
             if best:
                 out.append((item_id, best[0], max(best[1] - 1, 0), best[2] - 1))
         return out
@@ -210,7 +212,7 @@ def matches(docs: DataFrame, items: DataFrame, rate: float = RATE) -> DataFrame:
                 item, distance, begin, end = zip(*got, strict=True) if got else ((), (), (), ())
                 yield pa.RecordBatch.from_arrays([ids, pa.array(item, item_type), *(pa.array(x, pa.int32()) for x in (distance, begin, end))], ["doc_id", "item_id", "distance", "begin", "end"])
 
-        item_type = pa.string() if item_kind == "string" else pa.int32() if item_kind == "int" else pa.int64()
+        item_type = to_arrow_type(items.schema["item_id"].dataType)
         part = docs.select("doc_id", "text").mapInArrow(find, f"doc_id {doc_kind}, item_id {item_kind}, distance int, begin int, end int")
         out = part if out is None else out.unionByName(part)
     return out

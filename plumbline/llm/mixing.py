@@ -112,12 +112,15 @@ def _pivotal(items: Column, seed: int, level: int) -> Column:
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, budget: float = BUDGET, most: float = MOST, seed: int = 17) -> DataFrame:
     """``doc_id, size, source, source_size, target, copies, taken``: one row for each row of ``docs`` (doc_id, source, text)."""
-    sized = checkpointed(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")))
-    sums = sized.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("source_size"))
+    # rows that agree in all are numbered, so that they are dealt to different blocks, the same in every run
+    every = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), F.xxhash64("text").alias("t")).groupBy("doc_id", "source", "size", "t").agg(F.count(F.lit(1)).alias("times"))
+    sized = checkpointed(every)
+    sums = sized.groupBy("source").agg(F.sum("times").alias("n"), F.sum(F.col("size") * F.col("times")).alias("source_size"))
     goals = checkpointed(targets(sums, weights, budget, most))
     largest = goals.agg(F.max("n")).first()[0] or 0
     each = (
-        sized.join(goals.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")), "left")
+        sized.withColumn("time", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
+        .join(goals.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")), "left")
         .drop("_s")
         .withColumn("r", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
         .withColumn("whole", F.floor("r").cast("int"))
@@ -128,7 +131,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, budget: float = B
     result = each.where(~open_).select("doc_id", "size", *of, F.when(F.col("size") > 0, F.col("whole")).otherwise(0).alias("copies"))
     blocks_of = F.greatest(F.lit(1), F.ceil(F.col("n") / FAN_IN))
     left = each.where(open_).select(
-        *of, F.pmod(F.xxhash64(F.lit(seed), "doc_id", "size"), blocks_of).alias("block"), F.struct((-F.col("size")).alias("order"), "doc_id", "size", "p").alias("item"))
+        *of, F.pmod(F.xxhash64(F.lit(seed), "doc_id", "size", "t", "time"), blocks_of).alias("block"), F.struct((-F.col("size")).alias("order"), "doc_id", "size", "p").alias("item"))
     level, most_blocks = 0, max(1, -(-largest // FAN_IN))
     while True:
         blocks = checkpointed(

@@ -1,4 +1,5 @@
 import random
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -327,3 +328,41 @@ def test_a_hot_key_is_ordered_by_ranges(spark):
             assert len([q for q in pairs if q <= {1000 + i, 1001 + i, 1002 + i}]) >= 2
         assert all(len(q) == 2 for q in pairs)
         assert not [q for q in pairs if min(q) < 1000 or len({(x - 1000) // 3 for x in q}) > 1]
+
+
+def test_items_without_a_budget_are_found_as_words_and_at_their_place(spark):
+    docs = spark.createDataFrame([(1, "a x b"), (2, "axb"), (3, "X"), (4, "b, x!")], "doc_id long, text string")
+    items = spark.createDataFrame([("q", "x"), ("none", "y")], "item_id string, text string")
+    got = {r["doc_id"]: r for r in decontaminate.matches(docs, items).collect()}
+    assert set(got) == {1, 3, 4}
+    for i, t in ((1, "a x b"), (3, "X"), (4, "b, x!")):
+        r = got[i]
+        assert r["item_id"] == "q" and r["distance"] == 0 and decontaminate.normal(t)[r["begin"] : r["end"]] == "x"
+
+
+def test_prefixes_are_shortened_until_each_text_has_the_recall():
+    forest = jaccard_join.Forest()
+    rng = np.random.default_rng(2)
+    below = np.cumsum(rng.integers(0, 9, (200, forest.trees, forest.deepest - forest.least + 1))[:, :, ::-1], axis=2)[:, :, ::-1] + 1
+    below[0] = 1
+    depth = forest.depths(below)
+    assert forest.least == 3 and depth.min() >= forest.least and depth.max() <= forest.deepest and len(np.unique(depth)) > 1
+    met = 1 - np.prod(1 - forest.threshold**depth, axis=1)
+    assert (met >= forest.recall).all()
+    # the last prefix that was shortened was needed
+    longer = np.log1p(-(forest.threshold ** depth.astype(float))).sum(axis=1) - np.log1p(-(forest.threshold**3)) + np.log1p(-(forest.threshold**4))
+    assert (longer > np.log(1 - forest.recall)).mean() > 0.5
+
+
+def test_rows_without_ids_take_linear_time(spark):
+    rows = [(None, cases.prose(80_000 + i // 2, 30) + (" end" if i % 2 else "")) for i in range(4000)]
+    began = time.perf_counter()
+    got = jaccard_join.similar(spark.createDataFrame(rows, "doc_id long, text string")).groupBy("n_links").count().collect()
+    assert {r["n_links"]: r["count"] for r in got} == {1: 4000} and time.perf_counter() - began < 60
+
+
+def test_components_with_a_hub(spark, monkeypatch):
+    monkeypatch.setattr("plumbline.llm.components.FEW", 5)
+    links = [(0, i) for i in range(1, 60)] + [(100 + i, 101 + i) for i in range(9)] + [(59, 200)]
+    got = {r["node"]: r["root"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {i: 0 for i in (*range(1, 60), 200)} | {i: 100 for i in range(101, 110)}
