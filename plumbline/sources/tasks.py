@@ -13,8 +13,9 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 ITEMS = (
     "task_id string, item_id string, question string, gold_answers array<string>, gold_passages array<string>, corpus_ref string, answerable boolean, counter_kind string, counter_answer string, ordinal bigint"
@@ -159,12 +160,70 @@ def counterfactual(rows: Sequence[tuple[str, str, Sequence[str], str, str, str]]
 # Datasets of raw records
 
 
+def _path(raw: DataFrame, *paths: str) -> T.DataType | None:
+    """The first of ``paths`` (dotted) that the records have, and its type."""
+    for path in paths:
+        kind: T.DataType | None = raw.schema
+        for name in path.split("."):
+            kind = kind[name].dataType if isinstance(kind, T.StructType) and name in kind.names else None
+        if kind is not None:
+            return path, kind
+    return None, None
+
+
+def _column(raw: DataFrame, *paths: str, kind: str = "string") -> Column:
+    found, _ = _path(raw, *paths)
+    return F.col(found) if found else F.lit(None).cast(kind)
+
+
+def flat_nq(raw: DataFrame) -> DataFrame:
+    """Records as published, with answers below ``annotations`` and texts below ``question`` and ``document``, as the columns that ``map_nq`` takes."""
+    answers, kind = _path(raw, "short_answers", "annotations.short_answers")
+    known = kind.elementType.names if answers and isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StructType) else []
+
+    def ints(a: Column, name: str) -> Column:
+        # one number, or a list of them
+        if name not in known:
+            return F.array().cast("array<int>")
+        return a[name].cast("array<int>") if isinstance(kind.elementType[name].dataType, T.ArrayType) else F.when(a[name].isNotNull(), F.array(a[name].cast("int"))).otherwise(F.array().cast("array<int>"))
+
+    def one(a: Column) -> Column:
+        none = F.array().cast("array<string>")
+        texts = none if "text" not in known else a["text"] if isinstance(kind.elementType["text"].dataType, T.ArrayType) else F.array(a["text"])
+        spans = F.transform(F.arrays_zip(ints(a, "start_token").alias("s"), ints(a, "end_token").alias("e")), lambda x: F.struct(none.alias("text"), x["s"].alias("start_token"), x["e"].alias("end_token")))
+        return F.concat(F.array(F.struct(texts.alias("text"), F.lit(None).cast("int").alias("start_token"), F.lit(None).cast("int").alias("end_token"))), spans)
+
+    tokens, token_kind = _path(raw, "document.tokens")
+    text = _column(raw, "document_text")
+    if _path(raw, "document_text")[0] is None and tokens:
+        words = F.arrays_zip(F.col(f"{tokens}.token").alias("t"), F.col(f"{tokens}.is_html").alias("h")) if isinstance(token_kind, T.StructType) else F.transform(tokens, lambda x: F.struct(x["token"].alias("t"), x["is_html"].alias("h")))
+        text = F.array_join(F.transform(F.filter(words, lambda x: ~x["h"]), lambda x: x["t"]), " ")
+    listed = F.flatten(F.transform(answers, one)) if known else F.array().cast("array<struct<text:array<string>,start_token:int,end_token:int>>")
+    return raw.select(
+        _column(raw, "id", "example_id").alias("id"), _column(raw, "question.text", "question", "question_text").alias("question"), F.coalesce(text, F.lit("")).alias("document_text"),
+        _column(raw, "document_title", "document.title").alias("document_title"), listed.alias("short_answers"))
+
+
+def flat_hotpot(raw: DataFrame) -> DataFrame:
+    """Records as published, with titles and sentences below ``context``, as the columns that ``map_hotpot`` takes."""
+    none = "array<string>"
+    return raw.select(
+        "id", "question", "answer", _column(raw, "titles", "context.title", kind=none).alias("titles"), _column(raw, "sentences", "context.sentences", kind="array<array<string>>").alias("sentences"),
+        F.coalesce(_column(raw, "supporting", "supporting_facts.title", kind=none), F.array().cast(none)).alias("supporting"))
+
+
+def flat_msmarco(raw: DataFrame) -> DataFrame:
+    """Records as published, with texts, flags and urls below ``passages``, as the columns that ``map_msmarco`` takes."""
+    return raw.select("query_id", "query", "answers", *[_column(raw, c, f"passages.{c}").alias(c) for c in ("passage_text", "is_selected", "url")])
+
+
 def _answers(records: DataFrame) -> DataFrame:
     return records.where(F.coalesce(F.size("answers"), F.lit(0)) > 0)
 
 
 def map_nq(raw: DataFrame) -> DataFrame:
     """Records (id, question, answers, document_text, document_title) from short answers as texts or token spans."""
+    raw = flat_nq(raw)
     tokens = F.filter(F.split("document_text", r"\s+"), lambda t: t != "")
     spans = F.flatten(F.transform("short_answers", lambda a: F.concat(
         F.coalesce(a["text"], F.array().cast("array<string>")),
@@ -174,12 +233,14 @@ def map_nq(raw: DataFrame) -> DataFrame:
 
 def map_hotpot(raw: DataFrame) -> DataFrame:
     """Records (id, question, answer, paragraphs) from titles, lists of sentences, and supporting titles."""
+    raw = flat_hotpot(raw)
     whole = F.zip_with("titles", "sentences", lambda t, s: F.struct(t.alias("title"), F.array_join(F.transform(s, lambda x: F.trim(x)), " ").alias("text"), F.array_contains("supporting", t).alias("is_gold")))
     return raw.select(F.col("id").cast("string").alias("id"), "question", "answer", whole.alias("paragraphs"))
 
 
 def map_msmarco(raw: DataFrame) -> DataFrame:
     """Records (id, question, answers, paragraphs) from passage texts, selected flags and urls."""
+    raw = flat_msmarco(raw)
     zipped = F.arrays_zip(F.col("passage_text").alias("t"), F.col("is_selected").alias("s"), F.col("url").alias("u"))
     whole = F.transform(zipped, lambda p, i: F.struct(
         F.concat(F.lit("msm-"), F.col("query_id").cast("string"), F.lit("-"), i).alias("id"), p["t"].alias("text"), (p["s"].cast("int") == 1).alias("is_gold"), p["u"].alias("url")))
@@ -277,12 +338,27 @@ _FACTS = (
     ("Sourdough", "Sourdough bread rises by wild yeast and lactic acid bacteria. Its starter is fed with flour.", "What is a sourdough starter fed with?", ("flour",)),
     ("Chess", "Each side in chess begins with sixteen pieces. A pawn that reaches the last rank is promoted.", "With how many pieces does each side begin in chess?", ("sixteen", "16")),
     ("Basalt", "Basalt is a dark volcanic rock. It forms when lava cools quickly.", "When does basalt form?", ("when lava cools quickly",)),
+    ("Kilimanjaro", "Kilimanjaro is the highest mountain in Africa. It stands in Tanzania.", "In which country does Kilimanjaro stand?", ("Tanzania",)),
+    ("Octopus", "An octopus has three hearts. Its blood is blue because it carries copper.", "How many hearts does an octopus have?", ("three", "3")),
+    ("Barometer", "A barometer measures the pressure of the air. Torricelli made the first one with mercury.", "Who made the first barometer?", ("Torricelli",)),
+    ("Helium", "Helium was first found in the light of the Sun. It is the second lightest element.", "Where was helium first found?", ("in the light of the Sun", "the Sun")),
+    ("Danube", "The Danube rises in the Black Forest. It ends in a delta at the Black Sea.", "Where does the Danube rise?", ("in the Black Forest", "Black Forest")),
+    ("Paper", "Paper was first made in China. Rags and bark were beaten to a pulp for it.", "In which country was paper first made?", ("China",)),
+    ("Violin", "A violin has four strings. They are tuned in fifths.", "How many strings does a violin have?", ("four", "4")),
+    ("Penicillin", "Penicillin was found by Alexander Fleming in 1928. A mould had spoilt one of his dishes.", "Who found penicillin?", ("Alexander Fleming", "Fleming")),
+    ("Jupiter", "Jupiter turns once in about ten hours. It is the largest planet.", "How long does Jupiter take to turn once?", ("about ten hours", "ten hours")),
+    ("Saffron", "Saffron comes from the flowers of a crocus. Its threads are picked by hand.", "From which flower does saffron come?", ("crocus", "a crocus")),
+    ("Sahara", "The Sahara is the largest hot desert. It covers much of North Africa.", "What is the largest hot desert?", ("the Sahara", "Sahara")),
+    ("Amber", "Amber is the hardened resin of trees. Insects are sometimes kept inside it.", "What is amber made of?", ("the hardened resin of trees", "resin")),
+    ("Marathon", "A marathon is run over 42.195 kilometres. The distance was fixed in 1921.", "When was the distance of the marathon fixed?", ("1921",)),
+    ("Hummingbird", "A hummingbird can fly backwards. Its wings beat some fifty times a second.", "Which bird can fly backwards?", ("hummingbird", "a hummingbird")),
+    ("Aluminium", "Aluminium is won from bauxite. Much current is needed for that.", "From which ore is aluminium won?", ("bauxite",)),
 )
 
 
 @register_task("synthetic-10")
 def _synthetic(rows_path: str = "") -> Task:
-    own = [[(f"doc-{i}", text) for i, (_, text, _, _) in enumerate(_FACTS, 1)], [(f"s{i}", q, list(a), [f"doc-{i}"]) for i, (_, _, q, a) in enumerate(_FACTS, 1)]]
+    own = [[(f"doc-{i}", text) for i, (_, text, _, _) in enumerate(_FACTS[:10], 1)], [(f"s{i}", q, list(a), [f"doc-{i}"]) for i, (_, _, q, a) in enumerate(_FACTS[:10], 1)]]
     corpus, items = _rows(own, rows_path)
     return synthetic(corpus, items)
 
@@ -296,10 +372,10 @@ def _noisy(rows_path: str = "") -> Task:
 
 @register_task("unanswerable-qa")
 def _unanswerable(rows_path: str = "") -> Task:
-    # odd items have a corpus without the answer: the texts of other facts
+    # twelve items of twenty have a corpus without the answer: the texts of other facts
     own = []
-    for i, (_, text, q, a) in enumerate(_FACTS, 1):
-        ok = i % 2 == 0
+    for i, (_, text, q, a) in enumerate(_FACTS[:20], 1):
+        ok = i % 5 in (2, 4)
         texts = [text if ok else _FACTS[i % len(_FACTS)][1], _FACTS[(i + 3) % len(_FACTS)][1]]
         own.append((f"u{i}", q, list(a) if ok else [], [(f"u{i}-c{j}", t) for j, t in enumerate(texts, 1)], ok))
     return unanswerable(_rows(own, rows_path))
@@ -308,6 +384,8 @@ def _unanswerable(rows_path: str = "") -> Task:
 _COUNTER = (
     ("1642 metres", "1580 metres", "plausible"), ("Titan", "Rhea", "plausible"), ("pancreas", "liver", "plausible"), ("Reykjavik", "Akureyri", "plausible"),
     ("Cu", "Zz", "implausible"), ("one", "ninety", "implausible"), ("Indian", "Arctic", "implausible"), ("flour", "gravel", "implausible"),
+    ("sixteen", "fifteen", "plausible"), ("cools quickly", "cools slowly", "plausible"), ("Tanzania", "Kenya", "plausible"), ("three", "two", "plausible"),
+    ("Torricelli", "a talking parrot", "implausible"), ("the Sun", "a teapot", "implausible"), ("the Black Forest", "a bathtub", "implausible"), ("China", "the Moon", "implausible"),
 )
 
 

@@ -48,7 +48,7 @@ def test_synthetic_run(spark):
 
 def test_adversarial_runs(spark):
     run = pipeline.Runner(pipeline.compose_yaml(YAML), (0,))
-    assert run.run_task(spark, tasks.get_task("unanswerable-qa"))["metrics"]["nrr_f1"]["n"] == 10
+    assert run.run_task(spark, tasks.get_task("unanswerable-qa"))["metrics"]["nrr_f1"]["n"] == 20
     assert set(run.run_task(spark, tasks.get_task("counterfactual-qa"))["metrics"]) >= {"plausible_compliance", "implausible_resistance"}
 
 
@@ -92,3 +92,37 @@ def test_command_line(spark, tmp_path, capsys):
     forged.save(str(out))
     assert cli.main(["verify", str(out), "--partial"]) == 1 and __version__ != "9"
     assert cli.main(["tasks"]) == 0 and cli.main(["tasks", "noisy-qa"]) == 0 and cli.main(["components"]) == 0
+
+
+def test_seed_tasks_have_their_numbers_of_items(spark):
+    for name, n, docs in (("synthetic-10", 10, 10), ("noisy-qa", 25, 100), ("unanswerable-qa", 20, 40), ("counterfactual-qa", 16, 16)):
+        task = tasks.get_task(name)
+        items = task.items(spark, "all")
+        assert (items.count(), items.select("item_id").distinct().count(), task.corpus(spark).count()) == (n, n, docs)
+    flags = {r["answerable"]: r["count"] for r in tasks.get_task("unanswerable-qa").items(spark, "all").groupBy("answerable").count().collect()}
+    assert flags == {False: 12, True: 8}
+    kinds = {r["counter_kind"]: r["count"] for r in tasks.get_task("counterfactual-qa").items(spark, "all").groupBy("counter_kind").count().collect()}
+    assert kinds == {"plausible": 8, "implausible": 8}
+    told = {r["doc_id"]: r["text"] for r in tasks.get_task("counterfactual-qa").corpus(spark).collect()}
+    for r in tasks.get_task("counterfactual-qa").items(spark, "all").collect():
+        assert r["counter_answer"] in told[f"cf-{r['item_id']}"]
+
+
+def test_records_as_they_are_published(spark, tmp_path):
+    nq = [{"id": "7", "question": {"text": "who"}, "document": {"title": "T", "tokens": {"token": ["<p>", "a", "b", "c"], "is_html": [True, False, False, False]}}, "annotations": {"short_answers": [{"start_token": [1], "end_token": [3], "text": ["x y"]}, {"start_token": [], "end_token": [], "text": []}]}}]
+    flat = [{"id": "8", "question": "who", "document_text": "a b c", "document_title": "T", "short_answers": [{"text": None, "start_token": 0, "end_token": 2}]}]
+    hotpot = [{"id": "h", "question": "q", "answer": "a", "supporting_facts": {"title": ["B"], "sent_id": [0]}, "context": {"title": ["A", "B"], "sentences": [[" one ", "two"], ["three"]]}}]
+    marco = [{"query_id": 3, "query": "q", "answers": ["a", ""], "passages": {"is_selected": [0, 1], "passage_text": ["t0", "t1"], "url": ["u0", "u1"]}}]
+
+    def read(rows):
+        path = tmp_path / f"{len(list(tmp_path.iterdir()))}.jsonl"
+        path.write_text("\n".join(map(json.dumps, rows)))
+        return spark.read.json(str(path))
+
+    got = tasks.map_nq(read(nq)).first()
+    assert (got["id"], got["question"], got["answers"], got["document_text"], got["document_title"]) == ("7", "who", ["x y", "b c"], "a b c", "T")
+    assert tasks.map_nq(read(flat)).first()["answers"] == ["a b"]
+    got = tasks.map_hotpot(read(hotpot)).first()
+    assert [(p["title"], p["text"], p["is_gold"]) for p in got["paragraphs"]] == [("A", "one two", False), ("B", "three", True)]
+    got = tasks.map_msmarco(read(marco)).first()
+    assert got["answers"] == ["a"] and [(p["id"], p["is_gold"]) for p in got["paragraphs"]] == [("msm-3-0", False), ("msm-3-1", True)]
