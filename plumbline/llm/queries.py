@@ -117,3 +117,62 @@ WITH RECURSIVE d AS (
 )
 SELECT d.doc_id, (SELECT min(root) FROM r WHERE r.doc_id = d.doc_id) AS class_id, (SELECT count(*) FROM l WHERE l.x = d.doc_id) AS n_links FROM d
 """
+
+
+def _values(rows: list[tuple]) -> str:
+    quoted = lambda v: str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'"
+    return ", ".join("(" + ", ".join(map(quoted, r)) + ")" for r in rows)
+
+
+def _license_sql(index: license_scan.Index) -> str:
+    """All words of all files against all postings, grouped by template and relative position."""
+    posts = [(w, k, p) for w, own in zip(index.vocabulary, index.postings, strict=True) for k, p in own]
+    templates = [(k, t.label, index.need[k], index.most[k]) for k, t in enumerate(index.templates)]
+    mandatory = [(k, f" {m} ") for k, t in enumerate(index.templates) for m in t.mandatory]
+    base = [(f" {phrase} ", label, len(phrase.split()), phrase.split()[0]) for phrase, label in license_scan.BASE]
+    return rf"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{license_scan.UPPER}', '{license_scan.LOWER}'), '{license_scan.WORD}') AS w FROM documents
+), t AS (
+  SELECT doc_id, w[i + 1] AS word, i FROM (SELECT doc_id, w, unnest(range(0, len(w))) AS i FROM d)
+), n AS (
+  SELECT doc_id, k, count(*) AS n FROM t JOIN (VALUES {_values(posts)}) v(word, k, p) USING (word) GROUP BY doc_id, k, i - p
+), best AS (
+  SELECT doc_id, k, max(n) AS n FROM n GROUP BY ALL
+), found AS (
+  SELECT doc_id, label FROM best JOIN (VALUES {_values(templates)}) v(k, label, need, most) USING (k) JOIN d USING (doc_id)
+  WHERE n >= need AND k NOT IN (SELECT m.k FROM (VALUES {_values(mandatory)}) m(k, phrase) WHERE NOT contains(' ' || array_to_string(w, ' ') || ' ', phrase))
+), places AS (
+  SELECT doc_id, i, label FROM t JOIN d USING (doc_id) JOIN (VALUES {_values(base)}) b(phrase, label, size, word) USING (word)
+  WHERE ' ' || array_to_string(w[i + 1 : i + size], ' ') || ' ' = phrase
+), score AS (
+  SELECT doc_id, max(n / most) AS score FROM best JOIN (VALUES {_values(templates)}) v(k, label, need, most) USING (k) GROUP BY doc_id
+), b AS (
+  SELECT doc_id, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word FROM places GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
+       coalesce((SELECT string_agg(DISTINCT label, ',' ORDER BY label) FROM places p WHERE p.doc_id = d.doc_id), '') AS base_labels,
+       coalesce((SELECT string_agg(DISTINCT label, ',' ORDER BY label) FROM (SELECT doc_id, label FROM places UNION ALL SELECT doc_id, label FROM found) x WHERE x.doc_id = d.doc_id), '') AS labels,
+       coalesce(score, CAST(0 AS DOUBLE)) AS score
+FROM d LEFT JOIN b USING (doc_id) LEFT JOIN score USING (doc_id)
+"""
+
+
+ORACLE_SQL["op9_license_scan"] = _license_sql(license_scan.Index())
+
+#: All pairs of lines that follow each other, against the first place of each.
+ORACLE_SQL["op10_line_dedup"] = r"""
+WITH d AS (
+  SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents
+), p AS (
+  SELECT doc_id, i, l[i] || chr(10) || l[i + 1] AS pair FROM (SELECT doc_id, l, unnest(range(1, len(l))) AS i FROM d) WHERE regexp_matches(l[i] || l[i + 1], '[^ 	-]')
+), f AS (
+  SELECT *, first_value(doc_id) OVER w AS first_doc, first_value(i) OVER w AS first_i FROM p WINDOW w AS (PARTITION BY pair ORDER BY doc_id, i)
+), gone AS (
+  SELECT doc_id, list_distinct(flatten(list([i, i + 1]))) AS g FROM f
+  WHERE (doc_id, i) <> (first_doc, first_i) AND NOT (doc_id = first_doc AND i = first_i + 1) GROUP BY doc_id
+)
+SELECT doc_id, CAST(coalesce(len(g), 0) AS BIGINT) AS removed_lines,
+       CASE WHEN g IS NULL THEN text ELSE array_to_string(list_filter(l, lambda x, i: NOT list_contains(g, i)), chr(10)) END AS text
+FROM d LEFT JOIN gone USING (doc_id)
+"""
