@@ -176,7 +176,7 @@ def shuffled_context(hits: DataFrame, seed: Column | None = None) -> DataFrame:
     """``query_id, context``: the numbered hits of each query in a random but fixed order."""
     seed = F.lit(0) if seed is None else seed
     # hits of a query are at most the k of the ranking
-    texts = F.transform(F.array_sort(F.collect_list(F.struct(F.xxhash64(seed, "rank").alias("o"), F.col("text").alias("t")))), lambda x: x["t"])
+    texts = F.transform(F.array_sort(F.collect_list(F.struct(F.md5(F.concat_ws(":", seed.cast("string"), "rank").cast("binary")).alias("o"), F.col("text").alias("t")))), lambda x: x["t"])
     listed = hits.groupBy("query_id").agg(texts.alias("texts"))
     return listed.select("query_id", F.array_join(F.transform("texts", lambda t, i: F.concat(F.lit("["), i + 1, F.lit("] "), t)), "\n\n").alias("context"))
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from plumbline.functions import text as T
 from plumbline.functions.partitions import spread
 from plumbline.operators import chunkers, generate, leaderboard, metrics, repro, rerank, retrieval, stats
-from plumbline.sources import tasks
+from plumbline.sources import submissions, tasks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -435,7 +435,8 @@ def parse_verdict(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", metrics.parse_verdict(said).alias("verdict"))
 
 
-@query()
+@query(f"""WITH {_BM25}, o AS (SELECT query_id, text, row_number() OVER (PARTITION BY query_id ORDER BY md5('0:' || rank), text) AS i FROM hits)
+SELECT query_id, string_agg('[' || i || '] ' || text, chr(10) || chr(10) ORDER BY i) AS context FROM o GROUP BY query_id""")
 def shuffled_context(spark, sf_dir):
     return metrics.shuffled_context(_hits(spark, sf_dir))
 
@@ -633,3 +634,125 @@ def leaderboard_view(spark, sf_dir):
 
     # one row a published pipeline
     return leaderboard.view(board).withColumn("place", F.row_number().over(Window.orderBy(F.desc("quality"), "pipeline_hash"))).select("pipeline_hash", "place")
+
+
+# Records, models and files
+
+
+_WORDS = _tokens("coalesce(text, '')")
+
+
+@query(f"SELECT CAST(doc_id AS VARCHAR) AS id, lang AS question, array_to_string(t[1:3], ' ') AS answer, text AS document_text, source AS document_title FROM (SELECT *, {_WORDS} AS t FROM documents) WHERE len(t) > 0")
+def nq_records(spark, sf_dir):
+    """Documents as published records of questions, whose answer is the span of their first three words."""
+    span = F.struct(F.array().cast("array<string>").alias("text"), F.array(F.lit(0)).alias("start_token"), F.array(F.lit(3)).alias("end_token"))
+    raw = table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("id"), F.struct(F.col("lang").alias("text")).alias("question"), F.col("text").alias("document_text"), F.struct(F.col("source").alias("title")).alias("document"),
+        F.struct(F.array(span).alias("short_answers")).alias("annotations"))
+    return tasks.map_nq(raw).select("id", "question", F.col("answers")[0].alias("answer"), "document_text", "document_title")
+
+
+_TURNS = "SELECT conv_id, list(role || turn ORDER BY turn) AS ts, list(coalesce(text, '') ORDER BY turn) AS xs FROM conversations GROUP BY conv_id"
+
+
+def _turns(spark, sf_dir) -> DataFrame:
+    listed = F.array_sort(F.collect_list(F.struct("turn", "role", F.coalesce("text", F.lit("")).alias("text"))))
+    return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(listed.alias("x"))
+
+
+@query(f"""SELECT CAST(conv_id AS VARCHAR) AS id, ts[i] AS title, trim(xs[i], ' ') || ' end' AS text, i = 2 AS is_gold FROM (SELECT *, unnest(range(1, len(ts) + 1)) AS i FROM ({_TURNS}))""")
+def hotpot_records(spark, sf_dir):
+    """Conversations as published records of titles and sentences, whose second turn supports the answer."""
+    titles = F.transform("x", lambda t: F.concat(t["role"], t["turn"].cast("string")))
+    raw = _turns(spark, sf_dir).select(
+        F.col("conv_id").alias("id"), F.lit("q").alias("question"), F.lit("a").alias("answer"), F.struct(F.filter(F.array(F.get(titles, F.lit(1))), lambda t: t.isNotNull()).alias("title")).alias("supporting_facts"),
+        F.struct(titles.alias("title"), F.transform("x", lambda t: F.array(t["text"], F.lit(" end"))).alias("sentences")).alias("context"))
+    return tasks.map_hotpot(raw).select("id", F.explode("paragraphs").alias("p")).select("id", "p.title", "p.text", "p.is_gold")
+
+
+@query(f"""SELECT 'msm-' || conv_id || '-' || (i - 1) AS id, xs[i] AS text, i = 1 AS is_gold, ts[i] AS url FROM (SELECT *, unnest(range(1, len(ts) + 1)) AS i FROM ({_TURNS}))""")
+def msmarco_records(spark, sf_dir):
+    """Conversations as published records of passages, of which the first is selected."""
+    passages = F.struct(
+        F.transform("x", lambda t, i: (i == 0).cast("int")).alias("is_selected"), F.transform("x", lambda t: t["text"]).alias("passage_text"), F.transform("x", lambda t: F.concat(t["role"], t["turn"].cast("string"))).alias("url"))
+    raw = _turns(spark, sf_dir).select(F.col("conv_id").alias("query_id"), F.lit("q").alias("query"), F.array(F.lit("a"), F.lit("")).alias("answers"), passages.alias("passages"))
+    return tasks.map_msmarco(raw).select(F.explode("paragraphs").alias("p")).select("p.id", "p.text", "p.is_gold", "p.url")
+
+
+@query("SELECT * FROM (VALUES ('synthetic-10', 10, 10), ('noisy-qa', 25, 100), ('unanswerable-qa', 20, 40), ('counterfactual-qa', 16, 16)) t(task_id, n_items, n_docs)")
+def seed_tasks(spark, sf_dir):
+    """Items and documents of the tasks that come with their rows."""
+    out = None
+    for name in ("synthetic-10", "noisy-qa", "unanswerable-qa", "counterfactual-qa"):
+        task = tasks.get_task(name)
+        items, docs = task.items(spark, "all").agg(F.count(F.lit(1)).cast("int").alias("n_items")), task.corpus(spark).agg(F.count(F.lit(1)).cast("int").alias("n_docs"))
+        row = items.crossJoin(docs).select(F.lit(name).alias("task_id"), "n_items", "n_docs")  # one row each
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@query(f"WITH {_BM25}, s AS (SELECT query_id, chunk_id, CAST(-abs(length(query_text) - length(text)) AS DOUBLE) AS score, rank AS r FROM hits) SELECT query_id, chunk_id, score, CAST(i AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, r) - 1 AS i FROM s) WHERE i < 3")
+def rerank_model(spark, sf_dir):
+    """Hits by a model that likes chunks of the query's length."""
+    return rerank.cross_encoder(_hits(spark, sf_dir), lambda pairs: [-abs(len(q) - len(t)) for q, t in pairs], 3).select("query_id", "chunk_id", "score", "rank")
+
+
+def _one_of_seven(texts: list[str]):
+    import numpy as np
+
+    return np.eye(7)[[len(t) % 7 for t in texts]] * 3.0
+
+
+@query("""WITH s AS (SELECT b.item_id AS query_id, d.doc_id AS chunk_id, CAST(length(b.text) % 7 = length(coalesce(d.text, '')) % 7 AS DOUBLE) AS score FROM benchmark b CROSS JOIN documents d)
+SELECT query_id, chunk_id, score, CAST(i AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) - 1 AS i FROM s) WHERE i < 5""")
+def dense_embedded(spark, sf_dir):
+    """Nearest documents by an encoder that knows a text's length alone."""
+    vectors = retrieval.embed(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text"), _one_of_seven)
+    return retrieval.dense(vectors, retrieval.embed(_benchmark(spark, sf_dir), _one_of_seven), 5).select("query_id", "chunk_id", "score", "rank")
+
+
+_RATE_4O = next((i, o) for m, i, o in generate.RATES if m == "gpt-4o")
+
+
+@query(f"SELECT doc_id, trim(upper(left(coalesce(text, ''), 12)), ' ' || chr(10) || chr(9)) AS answer, CAST(length(coalesce(text, '')) // 4 AS INTEGER) AS prompt_tokens, round((length(coalesce(text, '')) // 4 * {_RATE_4O[0]} + 5 * {_RATE_4O[1]}) / 1e6, 9) AS cost_usd FROM documents WHERE lang = 'en'")
+def model_answers(spark, sf_dir):
+    """Answers of a model that says the first characters of its prompt in capitals."""
+    prompted = table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", F.lit(0).alias("seed"), F.col("text").alias("prompt"))
+    said = generate.by_model(prompted, lambda: lambda prompt, o: (prompt[:12].upper(), len(prompt) // 4, 5), {"model": "gpt-4o", "temperature": 0.0, "max_tokens": 5}, "openai")
+    return said.select("doc_id", F.col("text").alias("answer"), "prompt_tokens", F.round("cost_usd", 9).alias("cost_usd"))
+
+
+@query("""SELECT 'sha256:' || sha256('{"judge_fingerprint":"none","seeds":[0,1],"task_data_hashes":{"t":"x"},"version":"1","yaml":"a: 2\\nb: 1\\n"}') AS pipeline_hash,
+'sha256:' || sha256('[{"model":"m","name":"a","prompt_hash":"p"},{"model":"m","name":"b","prompt_hash":"p"}]') AS judge_fingerprint""")
+def fingerprints(spark, sf_dir):
+    """The hash of a pipeline and the fingerprint of two judges."""
+    judges = [{"name": n, "model": "m", "prompt_hash": "p", "family": "f"} for n in ("b", "a")]
+    digest = repro.pipeline_hash("b: 1 # note\na: 2\n", {"t": "x"}, seeds=(1, 0), version="1")
+    return spark.range(1).select(F.lit(digest).alias("pipeline_hash"), F.lit(repro.judge_fingerprint(judges)).alias("judge_fingerprint"))
+
+
+@query("""WITH r AS (SELECT source, lang, avg(quality) AS q, count(*) AS n, avg(n_chars) / 1000.0 AS cost FROM labels JOIN documents USING (doc_id) GROUP BY ALL),
+e AS (SELECT coalesce(source, 'none') AS pipeline_hash, avg(q) AS quality, avg(cost) AS cost FROM r GROUP BY ALL)
+SELECT pipeline_hash, round(quality, 6) AS quality, round(cost, 6) AS cost, array_to_string(list_filter([CASE WHEN NOT EXISTS (SELECT 1 FROM e b WHERE b.quality >= a.quality AND b.cost <= a.cost AND (b.quality > a.quality OR b.cost < a.cost)) THEN 'pareto' END], lambda t: t IS NOT NULL), ',') AS tags FROM e a""")
+def leaderboard_from_files(spark, sf_dir):
+    """Sources as pipelines and languages as tasks, written as submission files and read back."""
+    import tempfile
+    import uuid
+
+    rows = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars"), "doc_id")
+    runs = rows.groupBy(F.coalesce("source", F.lit("none")).alias("source"), "lang").agg(F.avg("quality").alias("q"), F.count(F.lit(1)).alias("n"), (F.avg("n_chars") / 1000.0).alias("cost"))
+    metric = F.create_map(F.lit("token_f1"), F.struct(F.col("q").alias("mean"), F.array("q", "q").alias("ci_95"), "n"))
+    figure = F.struct(F.col("cost").alias("mean"), F.col("cost").alias("p95"))
+    task = F.struct(F.lit("x").alias("task_data_hash"), F.col("n").alias("n_items"), F.array(F.lit(0)).alias("seeds"), metric.alias("metrics"), figure.alias("cost_per_query_usd"), figure.alias("latency_ms"), F.lit(1.0).alias("wall_time_s"))
+    subs = runs.groupBy("source").agg(F.map_from_entries(F.collect_list(F.struct(F.col("lang").alias("k"), task.alias("v")))).alias("tasks"))
+    subs = subs.select(
+        F.lit("1").alias("version"), F.col("source").alias("pipeline_hash"), F.lit("name: x").alias("pipeline_yaml"), F.col("source").alias("pipeline_name"), F.struct(F.lit("n").alias("name"), F.lit("").alias("contact")).alias("submitter"),
+        F.array(F.lit(0)).alias("seeds"), "tasks", F.lit(1.0).alias("total_wall_time_s"), F.lit("2020-01-01T00:00:00Z").alias("submitted_at"))
+    # a file a pipeline, of which there are few, in the folder that driver and executors share
+    shared = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir()
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+    folder = f"{shared or 'file://' + tempfile.gettempdir()}/submissions-{uuid.uuid4().hex}"
+    subs.write.option("maxRecordsPerFile", 1).json(folder)
+    board = leaderboard.leaderboard(submissions.read_submissions(spark, folder))
+    return board.select("pipeline_hash", r6("quality", "quality"), r6("operational.cost_per_query_usd_mean", "cost"), F.array_join("tags", ",").alias("tags"))
