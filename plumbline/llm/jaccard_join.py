@@ -4,8 +4,9 @@ Every text has a set of shingles of five words, and a signature of min-hashes
 dealt to trees.  In each tree the signatures' labels are a sorted prefix trie:
 texts below one node of it have a prefix in common.  Each text starts with its
 longest prefix in every tree and shortens one after the other, always the one
-that meets the fewest more texts for what it adds to the recall, until a text
-at the threshold would meet it in some tree with the target recall.  Nothing is
+that meets the fewest more texts (in steps of ``MANY``) for what it adds to the
+recall, until a text at the threshold would meet it in some tree with the
+target recall.  Nothing is
 capped: at ``least`` min-hashes in all trees every text has the recall.  A pair
 is a candidate where either text's prefix reaches the other.  Candidates are
 verified by the exact Jaccard similarity of their shingle sets.
@@ -51,6 +52,8 @@ BLOCK = 256
 _SEEDS = np.random.Generator(np.random.PCG64(7)).integers(0, 2**64, 512, dtype=np.uint64) | np.uint64(1)
 
 
+#: Texts that a shorter prefix meets, below which it costs nothing.
+MANY = 64
 #: Bits of each min-hash of a twig.
 _TWIG = 20
 
@@ -88,7 +91,8 @@ class Forest:
                 return depth + self.least
             at = depth[short]
             one_less = np.maximum(at - 1, 0)
-            more = below[short[:, None], every, one_less] - below[short[:, None], every, at]
+            # a few texts more or less must not count: a tree where a text meets its one match would be left for those where it is alone
+            more = (below[short[:, None], every, one_less] - below[short[:, None], every, at]) // MANY
             cost = np.where(at > 0, (more + 1e-3) / np.maximum(miss[at] - miss[one_less], 1e-12), np.inf)
             depth[short, cost.argmin(axis=1)] -= 1
 
