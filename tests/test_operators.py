@@ -226,3 +226,78 @@ def test_submissions_and_leaderboard(spark, tmp_path):
 
     follow(spark, str(folder), str(tmp_path / "live.json"), str(tmp_path / "ck"), once=True).awaitTermination()
     assert len(json.loads((tmp_path / "live.json").read_text())["entries"]) == 3
+
+
+def test_passages_are_looked_for_all_at_once(spark):
+    docs = spark.createDataFrame([(1, "one two three"), (2, "two"), (3, None), (4, ""), (5, "THREE one")], "doc_id long, text string")
+    asked = spark.createDataFrame([("a", "two"), ("b", "one two"), ("c", "none"), ("d", ""), ("e", None), ("f", "two")], "query_id string, text string")
+    want = {("a", 1), ("a", 2), ("b", 1), ("f", 1), ("f", 2)}
+    for block in (1, 1 << 20):
+        assert {(r["query_id"], r["doc_id"]) for r in retrieval.containing(docs, asked, block).collect()} == want
+    assert retrieval.containing(docs, asked.limit(0)).count() == 0 and retrieval.containing(docs.limit(0), asked).count() == 0
+
+
+def test_queries_in_blocks(spark):
+    chunks = spark.createDataFrame([(f"c{i}", f"w{i % 5} w{i % 3} x") for i in range(40)], "chunk_id string, text string")
+    queries = spark.createDataFrame([(i, f"w{i % 4} x x") for i in range(6)] + [(2, "w9")], "query_id long, text string")
+    whole = {tuple(r) for r in retrieval.bm25(chunks, queries, 3).select("query_id", "chunk_id", F.round("score", 9), "rank").collect()}
+    assert len(whole) == 18
+    for block in (2, 3, 4):
+        assert {tuple(r) for r in retrieval.bm25(chunks, queries, 3, block=block).select("query_id", "chunk_id", F.round("score", 9), "rank").collect()} == whole
+    assert [len(x) for x in retrieval._asked(queries, 3)] == [3, 3] and [len(x) for x in retrieval._asked(queries.limit(0), 3)] == [0]
+
+
+def test_broadcasts_are_bounded_by_bytes(spark):
+    rows = spark.createDataFrame([("x" * 1000,)] * 20, "text string")
+    assert retrieval.small(rows) and not retrieval.small(rows, rows=19) and not retrieval.small(rows, most=10_000)
+
+
+def test_resamples_in_blocks(monkeypatch):
+    x = np.random.default_rng(1).random(37)
+    whole = stats._resampled(x, 200, 7)
+    assert np.array_equal(whole, x[np.random.default_rng(7).integers(0, 37, size=(200, 37))].mean(axis=1))
+    monkeypatch.setattr(stats, "HELD", 100)
+    assert np.array_equal(stats._resampled(x, 200, 7), whole)
+
+
+def test_intervals_by_weights_are_near_those_by_draws(spark):
+    x = np.random.default_rng(3).random(400)
+    items = spark.createDataFrame([("m", f"i{i}", float(v)) for i, v in enumerate(x)] + [("one", "i", 2.0)], "metric string, item_id string, score double")
+    got = {r["metric"]: r for r in stats.native_intervals(items, ["metric"]).collect()}
+    lo, hi = stats.percentile_interval(x)
+    assert abs(got["m"]["ci_lo"] - lo) < 0.01 and abs(got["m"]["ci_hi"] - hi) < 0.01 and got["m"]["n"] == 400
+    assert (got["one"]["ci_lo"], got["one"]["ci_hi"], got["one"]["n"]) == (2.0, 2.0, 1)
+
+
+def test_nearest_rank_of_any_values(spark):
+    r = np.random.default_rng(5)
+    rows = [(k, float(v)) for k, n in (("a", 1), ("b", 2), ("c", 30), ("d", 3000)) for v in r.integers(0, 40 if k == "c" else 10**6, n)] + [("e", 7.0)] * 500 + [("a", None)]
+    got = {x["k"]: (x["mean"], x["p95"]) for x in stats.nearest_rank(spark.createDataFrame(rows, "k string, v double"), ["k"], "v").collect()}
+    for k in "abcde":
+        v = sorted(y for x, y in rows if x == k and y is not None)
+        assert got[k] == (pytest.approx(sum(v) / len(v)), v[round(0.95 * (len(v) - 1))])
+
+
+def test_frontier_against_all_pairs(spark):
+    r = np.random.default_rng(6)
+    rows = [(i, float(q), float(c)) for i, (q, c) in enumerate(zip(r.integers(0, 9, 300), r.integers(0, 60, 300), strict=True))] + [(300, 9.0, 60.0), (301, 9.0, 60.0)]
+    got = {x["i"]: x["pareto"] for x in leaderboard.pareto(spark.createDataFrame(rows, "i int, quality double, cost double")).collect()}
+    for i, q, c in rows:
+        assert got[i] == (not any(b >= q and d <= c and (b > q or d < c) for _, b, d in rows))
+
+
+def test_task_hash_is_that_of_its_lines_in_order(spark):
+    import hashlib
+
+    docs = [(f"d{i}", f"text {i}") for i in range(50)]
+    items = [("i2", "q2", ["x", "y"], None), ("i1", "q1", ["z"], ["d1"])]
+    got = repro.task_data_hash("t", spark.createDataFrame(items, "item_id string, question string, gold_answers array<string>, gold_passages array<string>").repartition(2), spark.createDataFrame(docs, "doc_id string, text string").repartition(5)).first()
+    lines = "task_id:t\nitems:\ni1|q1|z,;d1,\ni2|q2|x,y,;\ncorpus:\n" + "".join(f"{d}|{hashlib.sha256(t.encode()).hexdigest()}\n" for d, t in sorted(docs))
+    assert got["task_data_hash"] == hashlib.sha256(lines.encode()).hexdigest()
+
+
+def test_reruns_that_miss_a_task_or_a_metric(spark):
+    submitted = spark.createDataFrame([("a", "m", 0.0, 1.0), ("b", "m", 0.0, 1.0), ("c", "m", 0.0, 1.0), ("d", "m", 0.0, 1.0)], "task_id string, metric string, ci_lo double, ci_hi double")
+    rerun = spark.createDataFrame([("a", "m", 0.5), ("b", "other", 0.5), ("c", "m", 2.0)], "task_id string, metric string, mean double")
+    got = {r["task_id"]: r["reason"] for r in repro.verify_run(submitted, rerun).collect()}
+    assert set(got) == {"b", "c", "d"} and "missing" in got["b"] and "outside" in got["c"] and "missing" in got["d"]
