@@ -262,6 +262,19 @@ def openai_judge(model: str = "gpt-4o-mini", name: str = "openai-B") -> Judge:
     return model_judge(name, "openai", model, openai_client)
 
 
+#: Judges by the name under which they are asked for.
+JUDGES: dict[str, Callable[[], Judge]] = {"dummy": lambda: Judge("dummy"), "anthropic": anthropic_judge, "openai": openai_judge}
+
+
+def named_judges(names: str) -> list[Judge]:
+    """The judges of a comma-separated list."""
+    listed = [n for n in map(str.strip, names.split(",")) if n]
+    unknown = [n for n in listed if n not in JUDGES]
+    if unknown:
+        raise ValueError(f"no such judge: {', '.join(unknown)}; there are {', '.join(JUDGES)}")
+    return [JUDGES[n]() for n in listed]
+
+
 def calibrate(items: DataFrame, judges: list[Judge]) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Every judge on every calibration item (task_family, claim, context, gold_verdict): alpha by judge, alpha by family and judge, and verdict counts."""
     from plumbline.operators.stats import calibration

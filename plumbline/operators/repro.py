@@ -123,6 +123,7 @@ def validate(submissions: DataFrame, require_suite: bool = True) -> DataFrame:
     tasks = s.select("pipeline_hash", F.explode("tasks").alias("task_id", "task"))
     metrics = tasks.select("pipeline_hash", "task_id", F.explode("task.metrics").alias("metric", "m"))
     of = F.concat(F.lit("Task "), F.col("task_id"))
+    # The sentences by which a submission is told what is wrong with it
     out = [
         found(s, ~F.startswith("pipeline_hash", F.lit("sha256:")), "error", F.concat(F.lit("Bad pipeline_hash format: "), F.col("pipeline_hash"))),
         found(s, F.trim(F.coalesce("pipeline_yaml", F.lit(""))) == "", "error", F.lit("pipeline_yaml is empty")),

@@ -1,4 +1,4 @@
-"""Command line: eval, show, submit, verify, tasks, components, leaderboard."""
+"""Command line: eval, calibrate, show, submit, verify, tasks, components, leaderboard."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ import time
 from pyspark.sql import SparkSession
 
 from plumbline import __version__
-from plumbline.operators import leaderboard, repro
+from plumbline.operators import leaderboard, metrics, repro
 from plumbline.plans import pipeline as plans
 from plumbline.plans.registry import components
 from plumbline.sources import submissions, tasks
@@ -37,13 +37,26 @@ def run_eval(a: argparse.Namespace) -> int:
         if a.data and name in ("nq-1k", "hotpotqa-1k", "msmarco-1k"):
             options["raw_path"] = f"{a.data}/{name}.parquet"
         found.append(tasks.get_task(name, **options))
-    record = plans.Runner(pipe, seeds, a.split).run(spark, found)
-    done = submissions.build(text, pipe.name, record, list(seeds), __version__, time.perf_counter() - began)
+    judges = metrics.named_judges(a.judges)
+    record = plans.Runner(pipe, seeds, a.split, judges=tuple(judges)).run(spark, found)
+    named = [{"name": j.name, "family": j.family, "model": j.model, "prompt_hash": j.prompt_hash} for j in judges]
+    done = submissions.build(text, pipe.name, record, list(seeds), __version__, time.perf_counter() - began, named or None)
     done.save(a.out)
     print(f"wrote {a.out}\n{_table(submissions.summary(done))}")
     return 0
 
 
+def run_calibrate(a: argparse.Namespace) -> int:
+    """Agreement of judges with given verdicts: a few rows for each judge and family."""
+    items = submissions.read_calibration(_session(), a.items)
+    found = metrics.calibrate(items, metrics.named_judges(a.judges))
+    out = {name: [r.asDict() for r in rows.orderBy(*[c for c in rows.columns if c not in ("alpha", "n")]).collect()] for name, rows in zip(("overall", "by_family", "verdicts"), found, strict=True)}
+    with open(a.out, "w", encoding="utf-8") as f:
+        json.dump(out, f, indent=2)
+    print(_table([(r["judge"], "-" if r["alpha"] is None else f"{r['alpha']:.4f}", r["n"]) for r in out["overall"]]))
+    return 0
+
+
 def run_show(a: argparse.Namespace) -> int:
     print(_table(submissions.summary(submissions.Submission.load(a.result))))
     return 0
@@ -108,7 +121,8 @@ def parser() -> argparse.ArgumentParser:
     partial = (("--partial",), {"action": "store_true"})
     command(
         "eval", run_eval, (("pipeline",), {}), (("--tasks",), {"required": True}), (("--seeds",), {"type": int, "default": 5}), (("--split",), {"choices": tasks.SPLITS, "default": "public"}),
-        (("--out",), {"default": "result.json"}), (("--max-items",), {"type": int}), (("--smoke",), {"action": "store_true"}), (("--data",), {"default": ""}))
+        (("--out",), {"default": "result.json"}), (("--max-items",), {"type": int}), (("--smoke",), {"action": "store_true"}), (("--data",), {"default": ""}), (("--judges",), {"default": ""}))
+    command("calibrate", run_calibrate, (("items",), {}), (("--judges",), {"default": "dummy"}), (("--out",), {"default": "calibration.json"}))
     command("show", run_show, (("result",), {}))
     command("submit", run_submit, (("result",), {}), (("--folder",), {"default": "submissions"}), (("--name",), {"required": True}), (("--contact",), {"default": ""}), partial)
     command("verify", run_verify, (("result",), {}), partial)

@@ -15,6 +15,9 @@ from plumbline.plans.registry import fingerprint, make, register
 from plumbline.sources.tasks import Task, metric_names
 
 
+# The names of components and of their fields, and the defaults of these, are those that YAML files rely on
+
+
 @register("chunker", "recursive")
 @dataclass(frozen=True)
 class Recursive:
@@ -317,6 +320,8 @@ class Runner:
     seeds: tuple[int, ...] = (0,)
     split: str = "public"
     resamples: int = stats.RESAMPLES
+    #: Who judges whether answers follow from their contexts; without judges ``faithfulness`` is not reported.
+    judges: tuple[metrics.Judge, ...] = ()
 
     def run_task(self, spark: SparkSession, task: Task, names: Sequence[str] | None = None) -> dict[str, Any]:
         began = time.perf_counter()
@@ -324,7 +329,12 @@ class Runner:
         corpus = task.corpus(spark)
         items = task.items(spark, self.split).withColumn("query_id", F.col("item_id"))
         result = self.pipeline.index(corpus).answer(items, self.seeds)
-        scored = scores(result, items, names).withColumnRenamed("query_id", "item_id")
+        scored = scores(result, items, names)
+        if self.judges:
+            judged = metrics.faithfulness(result.answers, generate.context(result.reranked), list(self.judges))
+            scored = scored.unionByName(judged.select("query_id", "seed", F.lit("faithfulness").alias("metric"), F.col("faithfulness").alias("score")))
+            names.append("faithfulness")
+        scored = scored.withColumnRenamed("query_id", "item_id")
         # intervals are drawn by place, so items stand in the task's own order
         means = stats.item_means(scored, ["metric"]).join(items.select("item_id", "ordinal"), "item_id")
         found = {r["metric"]: {"mean": r["mean"], "ci_95": [r["ci_lo"], r["ci_hi"]], "n": r["n"]} for r in stats.with_intervals(means, ["metric"], self.resamples, order=("ordinal", "item_id")).collect()}  # a row a metric

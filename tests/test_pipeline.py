@@ -126,3 +126,23 @@ def test_records_as_they_are_published(spark, tmp_path):
     assert [(p["title"], p["text"], p["is_gold"]) for p in got["paragraphs"]] == [("A", "one two", False), ("B", "three", True)]
     got = tasks.map_msmarco(read(marco)).first()
     assert got["answers"] == ["a"] and [(p["id"], p["is_gold"]) for p in got["paragraphs"]] == [("msm-3-0", False), ("msm-3-1", True)]
+
+
+def test_judges_in_a_run_and_their_calibration(spark, tmp_path, capsys):
+    config, out = tmp_path / "p.yaml", tmp_path / "result.json"
+    config.write_text(YAML)
+    assert cli.main(["eval", str(config), "--tasks", "smoke", "--smoke", "--judges", "dummy", "--out", str(out)]) == 0
+    done = submissions.Submission.load(str(out))
+    score = done.tasks["synthetic-10"]["metrics"]["faithfulness"]
+    # the echo says what stands in its context
+    assert score["n"] == 10 and score["mean"] > 0.5 and done.judge_ensemble["judges"][0]["name"] == "dummy"
+    assert cli.main(["verify", str(out), "--partial"]) == 0
+    items = tmp_path / "items.jsonl"
+    rows = [("1", "f", "Titan circles Saturn", "Titan circles Saturn in two weeks", "supported"), ("2", "f", "NOT-true", "anything", "refuted"), ("3", "g", "Venus has rings", "Saturn has rings", "supported")]
+    items.write_text("\n".join(json.dumps(dict(zip(("item_id", "task_family", "claim", "context", "gold_verdict"), r, strict=True))) for r in rows))
+    assert cli.main(["calibrate", str(items), "--out", str(tmp_path / "c.json")]) == 0
+    got = json.loads((tmp_path / "c.json").read_text())
+    assert [(r["judge"], r["n"]) for r in got["overall"]] == [("dummy", 3)] and {(r["task_family"], r["n"]) for r in got["by_family"]} == {("f", 2), ("g", 1)}
+    assert sum(r["n"] for r in got["verdicts"]) == 3
+    with pytest.raises(ValueError):
+        cli.main(["calibrate", str(items), "--judges", "nobody"])
