@@ -33,6 +33,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from plumbline.llm import words as W
+
 #: Edits allowed for each character of an item.
 RATE = 0.05
 #: Characters of items that are searched for in one scan.
@@ -227,6 +229,7 @@ def clean(docs: DataFrame, items: DataFrame, rate: float = RATE) -> DataFrame:
             for batch in batches:
                 texts = batch.column(batch.num_columns - 1)
                 yield batch.filter(pa.array([not own.find(t.as_py()) for t in texts], pa.bool_())).select(range(batch.num_columns - 1))
+            W.give_back()
 
         columns = [F.col(f"`{c}`") for c in docs.columns]
         docs = docs.select(*columns, F.col("text").alias("__text")).mapInArrow(keep, docs.schema)
