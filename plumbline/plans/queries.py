@@ -639,10 +639,10 @@ def leaderboard_view(spark, sf_dir):
 # Records, models and files
 
 
-_WORDS = _tokens("coalesce(text, '')")
+_SPLIT = _tokens("coalesce(text, '')")
 
 
-@query(f"SELECT CAST(doc_id AS VARCHAR) AS id, lang AS question, array_to_string(t[1:3], ' ') AS answer, text AS document_text, source AS document_title FROM (SELECT *, {_WORDS} AS t FROM documents) WHERE len(t) > 0")
+@query(f"SELECT CAST(doc_id AS VARCHAR) AS id, lang AS question, array_to_string(t[1:3], ' ') AS answer, text AS document_text, source AS document_title FROM (SELECT *, {_SPLIT} AS t FROM documents) WHERE len(t) > 0")
 def nq_records(spark, sf_dir):
     """Documents as published records of questions, whose answer is the span of their first three words."""
     span = F.struct(F.array().cast("array<string>").alias("text"), F.array(F.lit(0)).alias("start_token"), F.array(F.lit(3)).alias("end_token"))
@@ -652,30 +652,30 @@ def nq_records(spark, sf_dir):
     return tasks.map_nq(raw).select("id", "question", F.col("answers")[0].alias("answer"), "document_text", "document_title")
 
 
-_TURNS = "SELECT conv_id, list(role || turn ORDER BY turn) AS ts, list(coalesce(text, '') ORDER BY turn) AS xs FROM conversations GROUP BY conv_id"
+_LISTED = "SELECT conv_id, list(role || turn ORDER BY turn) AS ts, list(coalesce(text, '') ORDER BY turn) AS xs FROM conversations GROUP BY conv_id"
 
 
-def _turns(spark, sf_dir) -> DataFrame:
+def _conversations(spark, sf_dir) -> DataFrame:
     listed = F.array_sort(F.collect_list(F.struct("turn", "role", F.coalesce("text", F.lit("")).alias("text"))))
     return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(listed.alias("x"))
 
 
-@query(f"""SELECT CAST(conv_id AS VARCHAR) AS id, ts[i] AS title, trim(xs[i], ' ') || ' end' AS text, i = 2 AS is_gold FROM (SELECT *, unnest(range(1, len(ts) + 1)) AS i FROM ({_TURNS}))""")
+@query(f"""SELECT CAST(conv_id AS VARCHAR) AS id, ts[i] AS title, trim(xs[i], ' ') || ' end' AS text, i = 2 AS is_gold FROM (SELECT *, unnest(range(1, len(ts) + 1)) AS i FROM ({_LISTED}))""")
 def hotpot_records(spark, sf_dir):
     """Conversations as published records of titles and sentences, whose second turn supports the answer."""
     titles = F.transform("x", lambda t: F.concat(t["role"], t["turn"].cast("string")))
-    raw = _turns(spark, sf_dir).select(
+    raw = _conversations(spark, sf_dir).select(
         F.col("conv_id").alias("id"), F.lit("q").alias("question"), F.lit("a").alias("answer"), F.struct(F.filter(F.array(F.get(titles, F.lit(1))), lambda t: t.isNotNull()).alias("title")).alias("supporting_facts"),
         F.struct(titles.alias("title"), F.transform("x", lambda t: F.array(t["text"], F.lit(" end"))).alias("sentences")).alias("context"))
     return tasks.map_hotpot(raw).select("id", F.explode("paragraphs").alias("p")).select("id", "p.title", "p.text", "p.is_gold")
 
 
-@query(f"""SELECT 'msm-' || conv_id || '-' || (i - 1) AS id, xs[i] AS text, i = 1 AS is_gold, ts[i] AS url FROM (SELECT *, unnest(range(1, len(ts) + 1)) AS i FROM ({_TURNS}))""")
+@query(f"""SELECT 'msm-' || conv_id || '-' || (i - 1) AS id, xs[i] AS text, i = 1 AS is_gold, ts[i] AS url FROM (SELECT *, unnest(range(1, len(ts) + 1)) AS i FROM ({_LISTED}))""")
 def msmarco_records(spark, sf_dir):
     """Conversations as published records of passages, of which the first is selected."""
     passages = F.struct(
         F.transform("x", lambda t, i: (i == 0).cast("int")).alias("is_selected"), F.transform("x", lambda t: t["text"]).alias("passage_text"), F.transform("x", lambda t: F.concat(t["role"], t["turn"].cast("string"))).alias("url"))
-    raw = _turns(spark, sf_dir).select(F.col("conv_id").alias("query_id"), F.lit("q").alias("query"), F.array(F.lit("a"), F.lit("")).alias("answers"), passages.alias("passages"))
+    raw = _conversations(spark, sf_dir).select(F.col("conv_id").alias("query_id"), F.lit("q").alias("query"), F.array(F.lit("a"), F.lit("")).alias("answers"), passages.alias("passages"))
     return tasks.map_msmarco(raw).select(F.explode("paragraphs").alias("p")).select("p.id", "p.text", "p.is_gold", "p.url")
 
 
