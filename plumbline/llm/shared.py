@@ -14,10 +14,14 @@ import contextlib
 import gc
 import os
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Seconds between the driver's collections of garbage.
+LET_GO = 0.1
+
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -57,7 +61,9 @@ def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     df.write.options(**options).parquet(path)
     del df
     gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # what the first finds is let go of before the second
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(LET_GO)
     return spark.read.schema(schema).parquet(path)
 
 
