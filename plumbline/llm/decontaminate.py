@@ -229,7 +229,7 @@ def clean(docs: DataFrame, items: DataFrame, rate: float = RATE) -> DataFrame:
             for batch in batches:
                 texts = batch.column(batch.num_columns - 1)
                 yield batch.filter(pa.array([not own.find(t.as_py()) for t in texts], pa.bool_())).select(range(batch.num_columns - 1))
-            W.give_back()
+            W.give_back(True)
 
         columns = [F.col(f"`{c}`") for c in docs.columns]
         docs = docs.select(*columns, F.col("text").alias("__text")).mapInArrow(keep, docs.schema)

@@ -151,7 +151,7 @@ def signed(docs: DataFrame, forest: Forest) -> DataFrame:
                 full[1:] = np.cumsum(has * forest.trees)
                 lists = [pa.ListArray.from_arrays(pa.array(full), pa.array(x.ravel().view(np.int64))) for x in labels(h, at, forest)]
                 yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], batch.column(1)[i:j], pa.array(node, mask=~has), *lists], ["doc_id", "t", "node", "trunks", "twigs"])
-        W.give_back()
+        W.give_back(True)
 
     return docs.select("doc_id", F.xxhash64("text").alias("t"), "text").mapInArrow(sign, f"doc_id {kind}, t bigint, node bigint, trunks array<bigint>, twigs array<bigint>")
 
@@ -212,7 +212,7 @@ def sets_of(rows: DataFrame, forest: Forest) -> DataFrame:
                 node, has = node_numbers(h, at)
                 good = np.flatnonzero(has & (node == asked[i:j]))
                 yield pa.RecordBatch.from_arrays([pa.array(node[good]), pa.array([h[at[r] : at[r + 1]].tobytes() for r in good.tolist()], pa.binary())], ["node", "shingles"])
-        W.give_back()
+        W.give_back(True)
 
     return rows.select("node", "text").mapInArrow(make, "node bigint, shingles binary").groupBy("node").agg(F.first("shingles").alias("shingles"))
 

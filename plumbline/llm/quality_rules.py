@@ -345,6 +345,6 @@ def cascade(docs: DataFrame, rules: Sequence[Rule] | None = None, text: str = "t
             why = np.where(whole[1] < 0, None, labels[np.maximum(whole[1], 0)] if len(labels) else None)
             columns = [*batch.columns[: len(names)], pa.array(whole[0]), pa.array(why, pa.string()), *map(pa.array, whole[2:])]
             yield pa.RecordBatch.from_arrays(columns, [*names, *[f.name for f in added]])
-        W.give_back()
+        W.give_back(True)
 
     return source.mapInArrow(judge, schema)

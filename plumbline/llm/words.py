@@ -27,9 +27,10 @@ SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
 
 
-def give_back() -> None:
-    """Hand memory that has been freed back to the system; a worker's peak is then that of one batch."""
-    pa.default_memory_pool().release_unused()
+def give_back(arrow: bool = False) -> None:
+    """Hand memory that has been freed back to the system, with ``arrow`` that of Arrow's pool too; a worker's peak is then that of one batch."""
+    if arrow:
+        pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
     except (OSError, AttributeError):  # not glibc
