@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import decontaminate, jaccard_join, license_scan, line_dedup, mixing, quality_model, quality_rules, substring_dedup, token_count, token_output
+from plumbline.llm import decontaminate, jaccard_join, license_scan, line_dedup, mixing, quality_model, quality_rules, spelling, substring_dedup, token_count, token_output
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,9 +55,13 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup(_table(spark, sf_dir, "documents"), extend=True).select("doc_id", "removed_lines", "text")
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_decontaminate, op2_quality_model, op3_mixing, op4_token_output, op5_substring_dedup, op6_jaccard_join, op7_token_count, op8_quality_rules, op9_license_scan, op10_line_dedup)
+    for f in (op1_decontaminate, op2_quality_model, op3_mixing, op4_token_output, op5_substring_dedup, op6_jaccard_join, op7_token_count, op8_quality_rules, op9_license_scan, op10_line_dedup, op13_spelling_variants)
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -165,7 +169,8 @@ ORACLE_SQL["op10_line_dedup"] = r"""
 WITH d AS (
   SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents
 ), p AS (
-  SELECT doc_id, i, l[i] || chr(10) || l[i + 1] AS pair FROM (SELECT doc_id, l, unnest(range(1, len(l))) AS i FROM d) WHERE regexp_matches(l[i] || l[i + 1], '[^ 	-]')
+  SELECT doc_id, i, l[i] || chr(10) || l[i + 1] AS pair FROM (SELECT doc_id, l, unnest(range(1, len(l))) AS i FROM d) WHERE regexp_matches(l[i] || l[i + 1], '[^ 	-
+]')
 ), f AS (
   SELECT *, first_value(doc_id) OVER w AS first_doc, first_value(i) OVER w AS first_i FROM p WINDOW w AS (PARTITION BY pair ORDER BY doc_id, i)
 ), gone AS (
