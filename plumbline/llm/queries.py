@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import decontaminate, jaccard_join, license_scan, line_dedup, mixing, quality_model, quality_rules, spelling, substring_dedup, token_count, token_output
+from plumbline.llm import decontaminate, divergence, jaccard_join, license_scan, line_dedup, mixing, quality_model, quality_rules, sentence_pieces, spelling, substring_dedup, token_count, token_output
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,13 +55,21 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup(_table(spark, sf_dir, "documents"), extend=True).select("doc_id", "removed_lines", "text")
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_table(spark, sf_dir, "documents"))
+
+
+def op12_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentence_pieces.digests(_table(spark, sf_dir, "documents"))
+
+
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(_table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_decontaminate, op2_quality_model, op3_mixing, op4_token_output, op5_substring_dedup, op6_jaccard_join, op7_token_count, op8_quality_rules, op9_license_scan, op10_line_dedup, op13_spelling_variants)
+    for f in (op1_decontaminate, op2_quality_model, op3_mixing, op4_token_output, op5_substring_dedup, op6_jaccard_join, op7_token_count, op8_quality_rules, op9_license_scan, op10_line_dedup, op11_source_divergence, op12_sentence_pieces, op13_spelling_variants)
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -123,6 +131,74 @@ SELECT d.doc_id, (SELECT min(root) FROM r WHERE r.doc_id = d.doc_id) AS class_id
 """
 
 
+#: Every kept term in every group, whether it occurs there or not.
+ORACLE_SQL["op11_source_divergence"] = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS k, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM documents
+), t AS (
+  SELECT k, lang, source, unnest(w) AS term FROM d
+), kept AS (
+  SELECT lang, term, count(*) AS n FROM t GROUP BY lang, term HAVING count(DISTINCT k) >= 30
+), g AS (
+  SELECT DISTINCT lang, source FROM d
+), c AS (
+  SELECT lang, source, term, count(*) AS n FROM t GROUP BY ALL
+), l AS (
+  SELECT lang, count(*) AS v, sum(n) AS total FROM kept GROUP BY lang
+), f AS (
+  SELECT g.lang, g.source, kept.term, coalesce(c.n, 0) AS n, kept.n AS lang_n, l.v, l.total, sum(coalesce(c.n, 0)) OVER (PARTITION BY g.lang, g.source) AS own
+  FROM g JOIN kept USING (lang) JOIN l USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = kept.term
+), p AS (
+  SELECT lang, source, term, n, CAST(1 + (1000000000 * CAST(n + 5 AS HUGEINT)) // CAST(own + 5 * v AS HUGEINT) AS BIGINT) AS p,
+         CAST(1 + (1000000000 * CAST(lang_n + 5 AS HUGEINT)) // CAST(total + 5 * v AS HUGEINT) AS BIGINT) AS q
+  FROM f
+), pairs AS (
+  SELECT a.lang, a.source, b.source AS item, coalesce((SELECT sum(abs(x.p - y.p)) FROM p x JOIN p y USING (lang, term) WHERE x.lang = a.lang AND x.source = a.source AND y.source = b.source), 0) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+), r AS (
+  SELECT lang, source, 'pair' AS part, item, CAST(value AS BIGINT) AS value FROM pairs
+  UNION ALL SELECT lang, source, 'term', term, p - q FROM p WHERE n > 0 AND p > q
+)
+SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM r) WHERE part = 'pair' OR rank <= 50
+"""
+
+#: Noise by crc32 over bytes, near words by wildcards and deletions in all places, chains by recursion.
+ORACLE_SQL["op13_spelling_variants"] = r"""
+WITH RECURSIVE k(i, x, s) AS (
+  SELECT i, i, 0 FROM range(256) r(i) UNION ALL SELECT i, CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END, s + 1 FROM k WHERE s < 8
+), crc AS MATERIALIZED (
+  SELECT list(x ORDER BY i) AS c FROM k WHERE s = 8
+), o AS MATERIALIZED (
+  SELECT CAST(doc_id AS VARCHAR) || ':' || w AS key, w, count(*) AS n FROM (
+    SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{C0}-\x{FF}]+')) AS w FROM documents
+  ) WHERE length(w) >= 5 GROUP BY ALL
+), h AS (
+  SELECT w, n, xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(octet_length(encode(key))), lambda i: CAST('0x' || substr(hex(encode(key)), 2 * i + 1, 2) AS BIGINT))),
+         lambda a, b: xor(a >> 8, c[(xor(a, b) & 255) + 1]))) AS h
+  FROM o, crc
+), words AS MATERIALIZED (
+  SELECT word, CAST(sum(n) AS BIGINT) AS n FROM (
+    SELECT CASE WHEN h % 97 = 0 THEN substr(w, 1, CAST(h % length(w) AS BIGINT)) || substr(w, CAST(h % length(w) AS BIGINT) + 2) ELSE w END AS word, n FROM h
+  ) WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3
+), p AS (
+  SELECT word, n, i, substr(word, 1, i) AS a, substr(word, i + 2) AS b FROM (SELECT word, n, unnest(range(length(word))) AS i FROM words)
+), near AS MATERIALIZED (
+  SELECT x.word, y.word AS near, y.n AS near_n FROM p x JOIN p y ON x.i = y.i AND x.a = y.a AND x.b = y.b AND x.word <> y.word
+  UNION SELECT p.word, w.word, w.n FROM p JOIN words w ON w.word = p.a || p.b
+  UNION SELECT w.word, p.word, p.n FROM p JOIN words w ON w.word = p.a || p.b
+), best AS (
+  SELECT word, count(*) AS n_near, first(near ORDER BY near_n DESC, near) AS form, max(near_n) AS form_n FROM near GROUP BY word
+), f AS MATERIALIZED (
+  SELECT w.word, CASE WHEN form_n >= 2 * n THEN form END AS form, n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= 2 * n THEN form_n END AS form_n FROM words w LEFT JOIN best USING (word)
+), chain(word, root) AS (
+  SELECT word, word FROM f UNION ALL SELECT chain.word, f.form FROM chain JOIN f ON f.word = chain.root WHERE f.form IS NOT NULL
+)
+SELECT f.word, f.form, (SELECT max_by(c.root, g.n) FROM chain c JOIN f g ON g.word = c.root WHERE c.word = f.word) AS root, f.n, f.n_near, f.form_n FROM f
+"""
+
+
 def _values(rows: list[tuple]) -> str:
     quoted = lambda v: str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'"
     return ", ".join("(" + ", ".join(map(quoted, r)) + ")" for r in rows)
