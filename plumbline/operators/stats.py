@@ -126,32 +126,32 @@ def native_paired_p(pairs: DataFrame, resamples: int = RESAMPLES, seed: int = 0,
     return _resampled_means(d, [], resamples, seed, item).agg(F.least(F.lit(1.0), p).alias("p_value")).crossJoin(d.agg(F.count(F.lit(1)).alias("n")))  # one row each
 
 
+#: Values of a group up to which a sketch is not needed to find a rank among them.
+SKETCHED = 20_000
+
+
 def nearest_rank(values: DataFrame, keys: Sequence[str], value: str, q: float = 0.95) -> DataFrame:
-    """``keys, mean, p95``: the value at place round(q * (n - 1)) of the sorted ones, halves to even.
+    """``keys, mean, p95``: the value at place round(q * (n - 1)) of the sorted ones, halves to even; nulls do not count.
 
-    A sketch with an error of n / 10,000 places gives two values between which
-    it lies; only those between them are counted and put in order.
+    A sketch that errs by n / 10,000 places gives two values between which it
+    lies.  All that is below the first is counted as one, what is above the
+    second is left out, and the values between both, a thousandth of them, are
+    counted by value and put in order: no rows are sorted.
     """
     known = values.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"))
     near = F.percentile_approx("_v", [max(0.0, q - 5e-4), min(1.0, q + 5e-4)], 10_000)
     edges = known.groupBy(*keys).agg(F.avg("_v").alias("mean"), F.count(F.lit(1)).alias("_n"), near.alias("_e"))
-    met = known.join(edges, list(keys)) if keys else known.crossJoin(edges)
-    # one row for all values below the first edge, and one a value between both
-    inside = F.col("_v") >= F.col("_e")[0]
-    counted = met.where(F.col("_v") <= F.col("_e")[1]).groupBy(*keys, F.when(inside, F.col("_v")).alias("_v")).agg(F.count(F.lit(1)).alias("_c"), F.first("mean").alias("mean"), F.first("_n").alias("_n"))
+    edges = edges.select(*[F.col(k).alias(f"_k_{k}") for k in keys], "mean", "_n", "_e")
+    same = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
+    met = known.join(edges, same) if keys else known.crossJoin(edges)  # without keys one row
+    every = F.col("_n") <= SKETCHED
+    inside = every | (F.col("_v") >= F.col("_e")[0])
+    counted = met.where(every | (F.col("_v") <= F.col("_e")[1])).groupBy(*keys, F.when(inside, F.col("_v")).alias("_v")).agg(F.count(F.lit(1)).alias("_c"), F.first("mean").alias("mean"), F.first("_n").alias("_n"))
     upto = F.sum("_c").over(Window.partitionBy(*keys).orderBy(F.col("_v").asc_nulls_first()))
     at = F.bround(F.lit(q) * (F.col("_n") - 1), 0).cast("long")
     return counted.withColumn("_upto", upto).groupBy(*keys).agg(F.first("mean").alias("mean"), F.min(F.when(F.col("_upto") > at, F.col("_v"))).alias("p95"))
 
 
-def nearest_rank(values: DataFrame, keys: Sequence[str], value: str, q: float = 0.95) -> DataFrame:
-    """``keys, mean, p95``: the value at place round(q * (n - 1)) of the sorted ones, halves to even."""
-    order = Window.partitionBy(*keys)
-    ranked = values.where(F.col(value).isNotNull()).withColumn("_i", F.row_number().over(order.orderBy(value)) - 1).withColumn("_n", F.count(F.lit(1)).over(order))
-    at = F.bround(F.lit(q) * (F.col("_n") - 1), 0).cast("long")
-    return ranked.groupBy(*keys).agg(F.avg(value).alias("mean"), F.max(F.when(F.col("_i") == at, F.col(value))).alias("p95"))
-
-
 def krippendorff(ratings: DataFrame, keys: Sequence[str] = (), a: str = "a", b: str = "b") -> DataFrame:
     """``keys, alpha, n``: nominal agreement of two raters; null without ratings."""
     keys = list(keys)

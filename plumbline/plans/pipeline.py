@@ -10,7 +10,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.operators import chunkers, generate, metrics, repro, rerank, retrieval, stats
+from plumbline.operators import chunkers, generate, metrics, repro, rerank, retrieval, rouge, stats
 from plumbline.plans.registry import fingerprint, make, register
 from plumbline.sources.tasks import Task, metric_names
 
@@ -303,8 +303,10 @@ def scores(result: Result, items: DataFrame, names: Sequence[str]) -> DataFrame:
     """``query_id, seed, metric, score`` of the named metrics; null where a metric does not apply."""
     by_text = [n for n in names if n in metrics.TEXT_METRICS]
     rows = result.answers.select("query_id", "seed", "text").join(items.drop("text"), "query_id")
-    out = rows.select("query_id", "seed", *[metrics.TEXT_METRICS[n]().alias(n) for n in by_text])
-    ranked = [n for n in names if n not in metrics.TEXT_METRICS]
+    if "rouge_l" in names:
+        rows = rouge.with_rouge_l(rows)
+    out = rows.select("query_id", "seed", *[metrics.TEXT_METRICS[n]().alias(n) for n in by_text], *(["rouge_l"] if "rouge_l" in names else []))
+    ranked = [n for n in names if n not in metrics.TEXT_METRICS and n != "rouge_l"]
     for k, suffix in sorted({(int(n.split("@")[1].removesuffix("_reranked")), "_reranked" if n.endswith("_reranked") else "") for n in ranked}):
         hits = result.reranked if suffix else result.retrieved
         out = out.join(metrics.retrieval_scores(items, hits, k, suffix), "query_id", "left")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import text as T
 from plumbline.functions.partitions import spread
-from plumbline.operators import chunkers, generate, leaderboard, metrics, repro, rerank, retrieval, stats
+from plumbline.operators import chunkers, generate, leaderboard, metrics, repro, rerank, retrieval, rouge, stats
 from plumbline.sources import submissions, tasks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -355,6 +355,21 @@ def answer_metrics(spark, sf_dir):
     return _turns(spark, sf_dir).select("conv_id", "turn", r6(metrics.exact_match(text, golds), "exact_match"), r6(metrics.token_f1(text, golds), "token_f1"), r6(metrics.length_ratio(text, golds), "length_ratio"))
 
 
+# the lengths of common subsequences by rows, one token of the answer a step
+@query(f"""WITH RECURSIVE {_TURNS}, tk AS (SELECT conv_id, turn, {_answer("coalesce(text, '')")} AS p, unnest(list_transform(gold_answers, lambda g: {_answer("g")})) AS g FROM turns),
+numbered AS MATERIALIZED (SELECT row_number() OVER () AS k, * FROM tk),
+step(k, i, l) AS (
+  SELECT k, 0, list_transform(range(len(g) + 1), lambda x: CAST(0 AS BIGINT)) FROM numbered
+  UNION ALL
+  SELECT s.k, s.i + 1, list_reduce(list_prepend([CAST(0 AS BIGINT)], list_transform(range(1, len(g) + 1), lambda j: [greatest(l[j + 1], l[j] + CAST(p[s.i + 1] = g[j] AS BIGINT))])),
+    lambda acc, e: list_append(acc, greatest(acc[-1], e[1]))) FROM step s JOIN numbered n ON n.k = s.k WHERE s.i < len(p)
+)
+SELECT conv_id, turn, round(max(CASE WHEN len(p) = 0 OR len(g) = 0 THEN CAST(len(p) = len(g) AS DOUBLE) ELSE 2.0 * l[-1] / (len(p) + len(g)) END), 6) AS rouge_l
+FROM step s JOIN numbered n ON n.k = s.k AND s.i = len(p) GROUP BY conv_id, turn""")
+def rouge_l(spark, sf_dir):
+    return rouge.with_rouge_l(_turns(spark, sf_dir)).select("conv_id", "turn", r6("rouge_l", "rouge_l"))
+
+
 @query(f"SELECT conv_id, turn, {_norm("coalesce(text, '')")} AS text FROM conversations")
 def normalize_answer(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", T.normalize_answer(F.coalesce("text", F.lit(""))).alias("text"))
