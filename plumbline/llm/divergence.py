@@ -173,7 +173,7 @@ def audit(docs: DataFrame, min_documents: int = MIN_DOCUMENTS, k: int = TOP) ->
     # distances of unordered pairs, from base shares, from each source's own terms, and from terms of both
     one, two = groups.select("lang", F.col("source").alias("a"), "terms", F.col("size").alias("size_a"), F.col("base").alias("base_a")), groups.select("lang", F.col("source").alias("b"), F.col("size").alias("size_b"), F.col("base").alias("base_b"))
     bases = one.join(two, "lang").where("a < b").select("lang", "a", "b", F.expr("(terms - size_a - size_b) * abs(base_a - base_b)").alias("v"))
-    flat = shares.groupBy("lang", "source", "p").count().join(groups.select("lang", F.col("source").alias("other"), F.col("base").alias("of_other")), "lang").where("source <> other")
+    flat = shares.groupBy("lang", "source", "p").count().join(_sent(groups.select("lang", F.col("source").alias("other"), F.col("base").alias("of_other"))), "lang").where("source <> other")
     alone = flat.select("lang", F.least("source", "other").alias("a"), F.greatest("source", "other").alias("b"), F.expr("count * abs(p - of_other)").alias("v"))
     x, y = shares.select("lang", "term", F.col("source").alias("a"), F.col("p").alias("p_a"), F.col("base").alias("base_a")), shares.select("lang", "term", F.col("source").alias("b"), F.col("p").alias("p_b"), F.col("base").alias("base_b"))
     both = x.join(y, ["lang", "term"]).where("a < b").select("lang", "a", "b", F.expr("abs(p_a - p_b) - abs(p_a - base_b) - abs(p_b - base_a) + abs(base_a - base_b)").alias("v"))
