@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import text as T
 from plumbline.functions.partitions import spread
-from plumbline.operators import chunkers, generate, leaderboard, metrics, repro, rerank, retrieval, rouge, stats
+from plumbline.operators import chunkers, generate, index, leaderboard, metrics, repro, rerank, retrieval, rouge, stats
 from plumbline.sources import submissions, tasks
+from plumbline.sources.scratch import work_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -199,7 +200,9 @@ def bm25_stats(spark, sf_dir):
 
 @query(f"WITH {_BM25} SELECT query_id, chunk_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM ranked WHERE rank < 10")
 def bm25_topk(spark, sf_dir):
-    return retrieval.bm25(_chunks(spark, sf_dir), _benchmark(spark, sf_dir), 10).select("query_id", "chunk_id", r6("score", "score"), "rank")
+    """From an index of blocks of postings, of which the search skips those that cannot matter."""
+    built = index.build(_chunks(spark, sf_dir)).save(work_dir(spark, "index"))
+    return index.search(built, _benchmark(spark, sf_dir), 10).hits.select("query_id", "chunk_id", r6("score", "score"), "rank")
 
 
 @query("""WITH s AS (SELECT q.vec_id AS query_id, e.vec_id AS chunk_id, list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])) AS score FROM embeddings q CROSS JOIN embeddings e WHERE q.vec_id % 20 = 0)
@@ -751,8 +754,6 @@ e AS (SELECT coalesce(source, 'none') AS pipeline_hash, avg(q) AS quality, avg(c
 SELECT pipeline_hash, round(quality, 6) AS quality, round(cost, 6) AS cost, array_to_string(list_filter([CASE WHEN NOT EXISTS (SELECT 1 FROM e b WHERE b.quality >= a.quality AND b.cost <= a.cost AND (b.quality > a.quality OR b.cost < a.cost)) THEN 'pareto' END], lambda t: t IS NOT NULL), ',') AS tags FROM e a""")
 def leaderboard_from_files(spark, sf_dir):
     """Sources as pipelines and languages as tasks, written as submission files and read back."""
-    import tempfile
-    import uuid
 
     rows = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars"), "doc_id")
     runs = rows.groupBy(F.coalesce("source", F.lit("none")).alias("source"), "lang").agg(F.avg("quality").alias("q"), F.count(F.lit(1)).alias("n"), (F.avg("n_chars") / 1000.0).alias("cost"))
@@ -764,10 +765,7 @@ def leaderboard_from_files(spark, sf_dir):
         F.lit("1").alias("version"), F.col("source").alias("pipeline_hash"), F.lit("name: x").alias("pipeline_yaml"), F.col("source").alias("pipeline_name"), F.struct(F.lit("n").alias("name"), F.lit("").alias("contact")).alias("submitter"),
         F.array(F.lit(0)).alias("seeds"), "tasks", F.lit(1.0).alias("total_wall_time_s"), F.lit("2020-01-01T00:00:00Z").alias("submitted_at"))
     # a file a pipeline, of which there are few, in the folder that driver and executors share
-    shared = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir()
-    if not shared and not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-    folder = f"{shared or 'file://' + tempfile.gettempdir()}/submissions-{uuid.uuid4().hex}"
+    folder = work_dir(spark, "submissions")
     subs.write.option("maxRecordsPerFile", 1).json(folder)
     board = leaderboard.leaderboard(submissions.read_submissions(spark, folder))
     return board.select("pipeline_hash", r6("quality", "quality"), r6("operational.cost_per_query_usd_mean", "cost"), F.array_join("tags", ",").alias("tags"))
