@@ -53,19 +53,19 @@ def canonical_task_json(spec: Mapping[str, Any]) -> str:
     return canonical_json(dict(spec))
 
 
-def item_lines(items: DataFrame) -> DataFrame:
-    """``id, line`` of each item of (item_id, question, gold_answers, gold_passages)."""
+def item_lines(items: DataFrame, *keys: str) -> DataFrame:
+    """``keys, id, line`` of each item of (item_id, question, gold_answers, gold_passages)."""
 
     def listed(c: str):
         return F.coalesce(F.concat(F.array_join(F.transform(c, lambda x: F.concat(x, F.lit(","))), "")), F.lit(""))
 
     line = F.concat(F.col("item_id"), F.lit("|"), F.col("question"), F.lit("|"), listed("gold_answers"), F.lit(";"), listed("gold_passages"), F.lit("\n"))
-    return items.select(F.col("item_id").alias("id"), line.alias("line"))
+    return items.select(*keys, F.col("item_id").alias("id"), line.alias("line"))
 
 
-def corpus_lines(documents: DataFrame) -> DataFrame:
+def corpus_lines(documents: DataFrame, *keys: str) -> DataFrame:
     doc_id = F.col("doc_id").cast("string")
-    return documents.select(doc_id.alias("id"), F.concat(doc_id, F.lit("|"), F.sha2(F.col("text").cast("binary"), 256), F.lit("\n")).alias("line"))
+    return documents.select(*keys, doc_id.alias("id"), F.concat(doc_id, F.lit("|"), F.sha2(F.col("text").cast("binary"), 256), F.lit("\n")).alias("line"))
 
 
 def task_data_hash(task_id: str, items: DataFrame, documents: DataFrame) -> DataFrame:
@@ -90,6 +90,34 @@ def task_data_hash(task_id: str, items: DataFrame, documents: DataFrame) -> Data
     return every.orderBy("part", "id", "line").select("line").coalesce(1).mapInArrow(digest, "task_id string, task_data_hash string")
 
 
+def task_data_hashes(items: DataFrame, documents: DataFrame) -> DataFrame:
+    """``task_id, task_data_hash`` of each task that has items, in one plan; items and documents have a task_id.
+
+    A task's lines are sorted where they meet, spilled as they need be, and
+    its digest is made from a stream of them.
+    """
+    named = [items.select("task_id").distinct().select("task_id", *x) for x in ((F.lit(0).alias("part"), F.lit("").alias("id"), F.concat(F.lit("task_id:"), "task_id", F.lit("\nitems:\n")).alias("line")), (F.lit(2).alias("part"), F.lit("").alias("id"), F.lit("corpus:\n").alias("line")))]
+    own = item_lines(items, "task_id").select("task_id", F.lit(1).alias("part"), "id", "line")
+    texts = corpus_lines(documents, "task_id").select("task_id", F.lit(3).alias("part"), "id", "line")
+    every = named[0].unionByName(named[1]).unionByName(own).unionByName(texts)
+
+    def digest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, whole = None, None
+        done: list[tuple[str, str]] = []
+        for batch in batches:
+            for task, line in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if task != now:
+                    if whole:
+                        done.append((now, whole.hexdigest()))
+                    now, whole = task, hashlib.sha256()
+                whole.update((line or "").encode())
+        if whole:
+            done.append((now, whole.hexdigest()))
+        yield pa.RecordBatch.from_arrays([pa.array([d[k] for d in done], pa.string()) for k in (0, 1)], ["task_id", "task_data_hash"])
+
+    return every.repartition("task_id").sortWithinPartitions("task_id", "part", "id", "line").select("task_id", "line").mapInArrow(digest, "task_id string, task_data_hash string")
+
+
 def verify_run(submitted: DataFrame, rerun: DataFrame, tolerance: float = 0.0) -> DataFrame:
     """``task_id, metric, reason`` of what a rerun does not bear out; no rows: verified.
 

@@ -175,6 +175,28 @@ def bm25(chunks: DataFrame, queries: DataFrame, k: int = 50, k1: float = 1.5, b:
     return top_k(out, k, *tie).select("query_id", "chunk_id", *[c for c in columns if c != "chunk_id"], "score", "rank")
 
 
+def bm25_by_scope(chunks: DataFrame, queries: DataFrame, k: int = 50, k1: float = 1.5, b: float = 0.75, scope: str = "task_id", tie: tuple[str, ...] = ("chunk_id",), keep: tuple[str, ...] = ()) -> DataFrame:
+    """Hits of BM25 where chunks and queries belong to scopes, each a corpus of its own; query ids are unique over all.
+
+    For many corpora at once: the scope is part of every key, and the plan is
+    one, without a job of the driver's.  Postings of the queries' terms are
+    shuffled, so that a large corpus is better searched by ``bm25`` or an index.
+    """
+    columns = list(dict.fromkeys(["chunk_id", *tie, *keep]))
+    asked = queries.select("query_id", scope, F.explode(terms(F.coalesce(F.col("text"), F.lit("")))).alias("term")).groupBy("query_id", scope, "term").agg(F.count(F.lit(1)).alias("qtf"))
+    cut = chunks.select(scope, *columns, terms(F.coalesce(F.col("text"), F.lit(""))).alias("_terms"))
+    stats = cut.groupBy(scope).agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("_terms")).alias("avgdl"))
+    # terms are counted within the chunk's row
+    counted = F.transform(F.array_distinct("_terms"), lambda t: F.struct(t.alias("term"), F.size(F.filter("_terms", lambda x: x == t)).alias("tf")))
+    posts = cut.select(scope, *columns, F.size("_terms").alias("dl"), F.explode(counted).alias("p")).select(scope, *columns, "dl", "p.term", "p.tf")
+    df = posts.groupBy(scope, "term").agg(F.count(F.lit(1)).alias("df"))
+    weighed = asked.join(df, [scope, "term"]).join(stats, scope)
+    met = posts.join(weighed, [scope, "term"])
+    part = F.col("qtf") * bm25_weight(F.col("tf"), F.col("dl"), F.col("df"), F.col("n"), F.col("avgdl"), k1, b)
+    scored = met.select("query_id", scope, *columns, part.alias("w")).groupBy("query_id", scope, *columns).agg(F.sum("w").alias("score"))
+    return top_k(scored, k, *tie).select("query_id", "chunk_id", *[c for c in columns if c != "chunk_id"], "score", "rank")
+
+
 def _best(scores: np.ndarray, ties: list[pa.Array], k: int, above: float = 0.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Query, row and score of the k best rows above a limit of each query, by the score at six decimals and then by ``ties``."""
     place = np.empty(scores.shape[1], np.int64)
@@ -241,8 +263,8 @@ def unit(v: Column) -> Column:
     return F.when(norm > 0, F.transform(v, lambda x: x.cast("double") / norm)).otherwise(v.cast("array<double>"))
 
 
-def dense(vectors: DataFrame, queries: DataFrame, k: int = 50, block: int = 4096) -> DataFrame:
-    """Exact nearest vectors by dot product.
+def dense(vectors: DataFrame, queries: DataFrame, k: int = 50, block: int = 4096, scope: str | None = None) -> DataFrame:
+    """Exact nearest vectors by dot product; with ``scope`` (a column of both) of a query's own scope alone.
 
     ``vectors``: chunk_id, embedding; ``queries``: query_id, embedding, a stated
     set that is taken in blocks of ``block``.  Each task multiplies its rows by
@@ -250,35 +272,38 @@ def dense(vectors: DataFrame, queries: DataFrame, k: int = 50, block: int = 4096
     """
     kind, qkind = vectors.schema["chunk_id"].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
     out = None
-    for ids, matrix, id_type in query_blocks(queries, block):
+    for ids, matrix, id_type, scopes in query_blocks(queries, block, scope):
 
-        def score(batches: Iterable[pa.RecordBatch], ids=ids, matrix=matrix, id_type=id_type) -> Iterator[pa.RecordBatch]:
+        def score(batches: Iterable[pa.RecordBatch], ids=ids, matrix=matrix, id_type=id_type, scopes=scopes) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 if not batch.num_rows:
                     continue
                 e = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
                 e = e.reshape(batch.num_rows, -1)
                 s = matrix @ e.T if matrix.size else np.zeros((len(ids), batch.num_rows))
+                if scope:
+                    s[np.array(scopes, object)[:, None] != np.array(batch.column(2).to_pylist(), object)[None, :]] = -np.inf
                 q, r, _ = _best(s, [batch.column(0)], k, -np.inf)
                 yield pa.RecordBatch.from_arrays([pa.array(ids, id_type).take(pa.array(q)), batch.column(0).take(pa.array(r)), pa.array(s[q, r])], ["query_id", "chunk_id", "score"])
 
-        part = vectors.where("chunk_id is not null and embedding is not null").select("chunk_id", "embedding").mapInArrow(score, f"query_id {qkind}, chunk_id {kind}, score double")
+        part = vectors.where("chunk_id is not null and embedding is not null").select("chunk_id", "embedding", *([scope] if scope else [])).mapInArrow(score, f"query_id {qkind}, chunk_id {kind}, score double")
         out = part if out is None else out.unionByName(part)
     return top_k(out, k)
 
 
-def query_blocks(queries: DataFrame, block: int) -> Iterator[tuple[list, np.ndarray, pa.DataType]]:
-    """Ids and vectors of at most ``block`` queries, one block at least."""
-    ids, rows, some = [], [], False
+def query_blocks(queries: DataFrame, block: int, scope: str | None = None) -> Iterator[tuple[list, np.ndarray, pa.DataType, list]]:
+    """Ids, vectors and scopes of at most ``block`` queries, one block at least."""
+    ids, rows, scopes, some = [], [], [], False
     id_type = arrow_type(queries, "query_id")
-    for r in queries.where("embedding is not null").select("query_id", "embedding").toLocalIterator():
+    for r in queries.where("embedding is not null").select("query_id", "embedding", *([scope] if scope else [])).toLocalIterator():
         ids.append(r["query_id"])
         rows.append(r["embedding"])
+        scopes.append(r[scope] if scope else None)
         if len(ids) == block:
-            yield ids, np.array(rows, np.float64), id_type
-            ids, rows, some = [], [], True
+            yield ids, np.array(rows, np.float64), id_type, scopes
+            ids, rows, scopes, some = [], [], [], True
     if ids or not some:
-        yield ids, np.array(rows, np.float64).reshape(len(ids), -1), id_type
+        yield ids, np.array(rows, np.float64).reshape(len(ids), -1), id_type, scopes
 
 
 def embed(rows: DataFrame, encoder: Callable[[list[str]], np.ndarray], text: str = "text", normalize: bool = True, batch: int = 32) -> DataFrame:

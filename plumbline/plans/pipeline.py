@@ -55,6 +55,10 @@ class Sentence:
         return chunkers.chunk_sentence(documents, self.chunk_size, self.overlap_sentences)
 
 
+#: The column that tells corpora apart where several are indexed at once.
+SCOPE = "task_id"
+
+
 #: Hits that score the same are ranked by the place of their document and chunk, where documents have an ordinal.
 def _tie(chunks: DataFrame) -> tuple[tuple[str, ...], tuple[str, ...]]:
     order = ("ordinal", "position") if "ordinal" in chunks.columns else ("chunk_id",)
@@ -70,6 +74,8 @@ class BM25:
 
     def run(self, chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
         tie, keep = _tie(chunks)
+        if SCOPE in chunks.columns:
+            return retrieval.bm25_by_scope(chunks, queries, k, self.k1, self.b, SCOPE, tie, keep)
         return retrieval.bm25(chunks, queries, k, self.k1, self.b, tie, keep)
 
 
@@ -101,9 +107,10 @@ class Dense:
 
     def run(self, chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
         encoder = ENCODERS.get(self.model, sentence_encoder)(self.model)
-        vectors = retrieval.embed(chunks.select("chunk_id", "text"), encoder, "text", self.normalize, self.batch_size)
-        asked = retrieval.embed(queries.select("query_id", "text"), encoder, "text", self.normalize, self.batch_size)
-        return retrieval.dense(vectors, asked, k)
+        scope = [SCOPE] if SCOPE in chunks.columns else []
+        vectors = retrieval.embed(chunks.select("chunk_id", "text", *scope), encoder, "text", self.normalize, self.batch_size)
+        asked = retrieval.embed(queries.select("query_id", "text", *scope), encoder, "text", self.normalize, self.batch_size)
+        return retrieval.dense(vectors, asked, k, scope=SCOPE if scope else None)
 
 
 @register("retriever", "hybrid")
@@ -235,7 +242,7 @@ class Pipeline:
     chunks: DataFrame | None = None
 
     def index(self, documents: DataFrame) -> "Pipeline":
-        """Chunk a corpus; chunks are kept (in memory, or on disk where they don't fit) for all queries."""
+        """Chunk a corpus, or several with a task_id; chunks are kept (in memory, or on disk where they don't fit) for all queries."""
         if self.chunks is not None:
             self.chunks.unpersist()
         self.chunks = self.chunker.run(documents).persist()
@@ -250,10 +257,12 @@ class Pipeline:
             raise RuntimeError("index a corpus before asking")
         if "query_id" not in items.columns:
             items = items.withColumn("query_id", F.col("item_id"))
-        queries = items.select("query_id", F.col("question").alias("text"))
+        scope = [SCOPE] if SCOPE in self.chunks.columns else []
+        queries = items.select("query_id", F.col("question").alias("text"), *scope)
         found = self.retriever.run(self.chunks, queries, self.retriever_top_k)
-        texts = self.chunks.select("chunk_id", "doc_id", "text")
-        hits = found.select("query_id", "chunk_id", "score", "rank").join(texts, "chunk_id").join(queries.select("query_id", F.col("text").alias("query_text")), "query_id")
+        texts = self.chunks.select("chunk_id", "doc_id", "text", *scope)
+        asked = queries.select("query_id", F.col("text").alias("query_text"), *scope)
+        hits = found.select("query_id", "chunk_id", "score", "rank").join(asked, "query_id").join(texts, ["chunk_id", *scope]).drop(*scope)
         reranked = self.reranker.run(hits, self.reranker_top_k)
         seeded = items.select("query_id", "question").crossJoin(F.broadcast(items.sparkSession.createDataFrame([(s,) for s in seeds], "seed int")))  # the seeds are a stated list
         answers = self.generator.run(seeded, reranked)
@@ -326,28 +335,64 @@ class Runner:
     judges: tuple[metrics.Judge, ...] = ()
 
     def run_task(self, spark: SparkSession, task: Task, names: Sequence[str] | None = None) -> dict[str, Any]:
+        return self.run(spark, [task], names)[task.spec.id]
+
+    def run(self, spark: SparkSession, tasks: Iterable[Task], names: Sequence[str] | None = None) -> dict[str, dict[str, Any]]:
+        """All tasks and seeds in one plan and one action: the task is part of every key.
+
+        ``wall_time_s`` is that of all tasks together.
+        """
         began = time.perf_counter()
-        names = list(names or metric_names(task.spec))
-        corpus = task.corpus(spark)
-        items = task.items(spark, self.split).withColumn("query_id", F.col("item_id"))
+        listed = list(tasks)
+        if not listed:
+            return {}
+        wanted = {t.spec.id: [*(names or metric_names(t.spec)), *(["faithfulness"] if self.judges else [])] for t in listed}
+        corpus = _together(t.corpus(spark).withColumn(SCOPE, F.lit(t.spec.id)) for t in listed)
+        items = _together(t.items(spark, self.split).withColumn(SCOPE, F.lit(t.spec.id)) for t in listed)
+        items = items.withColumn("query_id", F.concat_ws("/", SCOPE, "item_id"))
         result = self.pipeline.index(corpus).answer(items, self.seeds)
-        scored = scores(result, items, names)
+        # what several parts of the plan read is kept until its rows are there
+        held = Result(result.retrieved.persist(), result.reranked.persist(), result.answers.persist())
+        scored = scores(held, items, list(dict.fromkeys(n for own in wanted.values() for n in own if n != "faithfulness")))
         if self.judges:
-            judged = metrics.faithfulness(result.answers, generate.context(result.reranked), list(self.judges))
+            judged = metrics.faithfulness(held.answers, generate.context(held.reranked), list(self.judges))
             scored = scored.unionByName(judged.select("query_id", "seed", F.lit("faithfulness").alias("metric"), F.col("faithfulness").alias("score")))
-            names.append("faithfulness")
-        scored = scored.withColumnRenamed("query_id", "item_id")
+        of = items.select("query_id", SCOPE, "item_id", "ordinal")
+        reported = spark.createDataFrame([(t, n) for t, own in wanted.items() for n in own], f"{SCOPE} string, metric string")
+        scored = scored.join(of, "query_id").join(F.broadcast(reported), [SCOPE, "metric"])  # a row a task and metric
         # intervals are drawn by place, so items stand in the task's own order
-        means = stats.item_means(scored, ["metric"]).join(items.select("item_id", "ordinal"), "item_id")
-        found = {r["metric"]: {"mean": r["mean"], "ci_95": [r["ci_lo"], r["ci_hi"]], "n": r["n"]} for r in stats.with_intervals(means, ["metric"], self.resamples, order=("ordinal", "item_id")).collect()}  # a row a metric
-        flat = result.answers.select(F.explode(F.array(*[F.struct(F.lit(c).alias("what"), F.col(c).alias("v")) for c in ("cost_usd", "latency_ms")])).alias("x")).select("x.*")
-        ops = {r["what"]: {"mean": r["mean"], "p95": r["p95"]} for r in stats.nearest_rank(flat, ["what"], "v").collect()}
-        digest = repro.task_data_hash(task.spec.id, task.items(spark, "all"), corpus).first()["task_data_hash"]
-        zero = {"mean": 0.0, "p95": 0.0}
-        return {
-            "task_data_hash": digest, "n_items": items.count(), "seeds": list(self.seeds), "metrics": {n: found[n] for n in names if n in found},
-            "cost_per_query_usd": ops.get("cost_usd", zero), "latency_ms": ops.get("latency_ms", zero), "wall_time_s": time.perf_counter() - began,
-        }
-
-    def run(self, spark: SparkSession, tasks: Iterable[Task]) -> dict[str, dict[str, Any]]:
-        return {t.spec.id: self.run_task(spark, t) for t in tasks}
+        means = scored.where("score is not null").groupBy(SCOPE, "metric", "item_id", "ordinal").agg(F.avg("score").alias("score"))
+        parts = [_rows("metric", stats.with_intervals(means, [SCOPE, "metric"], self.resamples, order=("ordinal", "item_id")), "metric", "mean", "ci_lo", "ci_hi", "n")]
+        flat = held.answers.join(of.select("query_id", SCOPE), "query_id").select(SCOPE, F.explode(F.array(*[F.struct(F.lit(c).alias("what"), F.col(c).alias("v")) for c in ("cost_usd", "latency_ms")])).alias("x")).select(SCOPE, "x.*")
+        parts.append(_rows("cost", stats.nearest_rank(flat, [SCOPE, "what"], "v"), "what", "mean", "p95"))
+        every = _together(t.items(spark, "all").withColumn(SCOPE, F.lit(t.spec.id)) for t in listed)
+        parts.append(_rows("hash", repro.task_data_hashes(every, corpus), "task_data_hash"))
+        parts.append(_rows("items", items.groupBy(SCOPE).agg(F.count(F.lit(1)).alias("n")), None, n="n"))
+        found: dict[tuple[str, str], dict[str, Any]] = {}
+        for r in _together(parts).collect():  # a row a task and metric, and four a task
+            found.setdefault((r[SCOPE], r["kind"]), {})[r["name"]] = r
+        for part in (held.retrieved, held.reranked, held.answers):
+            part.unpersist()
+        took, zero, out = time.perf_counter() - began, {"mean": 0.0, "p95": 0.0}, {}
+        for t in wanted:
+            rows, ops = found.get((t, "metric"), {}), {n: {"mean": r["a"], "p95": r["b"]} for n, r in found.get((t, "cost"), {}).items()}
+            digest = next(iter(found.get((t, "hash"), {})), None)
+            out[t] = {
+                "task_data_hash": digest, "n_items": next((r["n"] for r in found.get((t, "items"), {}).values()), 0), "seeds": list(self.seeds),
+                "metrics": {n: {"mean": rows[n]["a"], "ci_95": [rows[n]["b"], rows[n]["c"]], "n": rows[n]["n"]} for n in wanted[t] if n in rows},
+                "cost_per_query_usd": ops.get("cost_usd", zero), "latency_ms": ops.get("latency_ms", zero), "wall_time_s": took,
+            }
+        return out
+
+
+def _together(frames: Iterable[DataFrame]) -> DataFrame:
+    out = None
+    for f in frames:
+        out = f if out is None else out.unionByName(f, allowMissingColumns=True)
+    return out
+
+
+def _rows(kind: str, rows: DataFrame, name: str | None, a: str | None = None, b: str | None = None, c: str | None = None, n: str | None = None) -> DataFrame:
+    """Rows of any part of a result in one shape."""
+    column = lambda x, t: (F.col(x) if x else F.lit(None)).cast(t)
+    return rows.select(SCOPE, F.lit(kind).alias("kind"), column(name, "string").alias("name"), *[column(x, "double").alias(y) for x, y in ((a, "a"), (b, "b"), (c, "c"))], column(n, "bigint").alias("n"))

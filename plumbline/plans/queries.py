@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions import text as T
-from plumbline.functions.partitions import spread
+from plumbline.functions.partitions import numbered, spread
 from plumbline.operators import chunkers, generate, index, leaderboard, metrics, repro, rerank, retrieval, rouge, stats
 from plumbline.sources import submissions, tasks
 from plumbline.sources.scratch import work_dir
@@ -648,10 +648,7 @@ def corpus_first(spark, sf_dir):
 def leaderboard_view(spark, sf_dir):
     """Verified entries in the order of the site, numbered."""
     board = _board(spark, sf_dir).select("pipeline_hash", "quality", F.struct(F.col("cost").alias("cost_per_query_usd_mean"), F.col("latency").alias("latency_ms_p95")).alias("operational"), (~F.col("is_verbose")).alias("verified"))
-    from pyspark.sql import Window
-
-    # one row a published pipeline
-    return leaderboard.view(board).withColumn("place", F.row_number().over(Window.orderBy(F.desc("quality"), "pipeline_hash"))).select("pipeline_hash", "place")
+    return numbered(leaderboard.view(board), [F.desc("quality"), "pipeline_hash"], "place").select("pipeline_hash", "place")
 
 
 # Records, models and files

@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from plumbline.functions.partitions import numbered
+
 ITEMS = (
     "task_id string, item_id string, question string, gold_answers array<string>, gold_passages array<string>, corpus_ref string, answerable boolean, counter_kind string, counter_answer string, ordinal bigint"
 )
@@ -112,11 +114,10 @@ def split_items(items: DataFrame, split: str, key: str = "item_id", share: float
         raise ValueError(f"split must be one of {SPLITS}, not {split!r}")
     if split == "all":
         return items
-    # one row an item: a task has thousands, so one sort of their ids
-    order = Window.orderBy(F.col(key).cast("string"))
-    n = F.count(F.lit(1)).over(Window.partitionBy())
-    marked = items.withColumn("_held", F.row_number().over(order) > n - F.floor(n * F.lit(share)))
-    return marked.where("_held" if split == "holdout" else "not _held").drop("_held")
+    placed = numbered(items.withColumn("_key", F.col(key).cast("string")), ["_key"], "_place").drop("_key")
+    n = placed.agg(F.count(F.lit(1)).alias("_n"))
+    marked = placed.crossJoin(F.broadcast(n)).withColumn("_held", F.col("_place") > F.col("_n") - F.floor(F.col("_n") * F.lit(share)))  # one row
+    return marked.where("_held" if split == "holdout" else "not _held").drop("_held", "_place", "_n")
 
 
 def _row(task_id: str, item_id: str, question: str, answers: Sequence[str], passages: Sequence[str] | None, ref: str, answerable: bool | None = None, kind: str | None = None, counter: str | None = None) -> tuple:
