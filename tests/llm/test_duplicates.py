@@ -366,3 +366,44 @@ def test_components_with_a_hub(spark, monkeypatch):
     links = [(0, i) for i in range(1, 60)] + [(100 + i, 101 + i) for i in range(9)] + [(59, 200)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {i: 0 for i in (*range(1, 60), 200)} | {i: 100 for i in range(101, 110)}
+
+
+@pytest.mark.parametrize(("n", "edits"), [(100, 2), (300, 6)])
+def test_edited_passages_are_told_whole(spark, n, edits):
+    """Of passages with inserted, deleted and changed words the words in common are reported, beside an exact passage too, and not their equal part alone."""
+    r, rows, spans = random.Random(n), [], {}
+    for k in range(40):
+        q, other = cases.prose(10**7 * n + k, n).split(), []
+        while not other or cases.jaccard(cases.shingles(" ".join(q)), cases.shingles(" ".join(other))) < 0.8:
+            other = list(q)
+            for _ in range(edits):
+                at, kind = r.randrange(len(other)), r.choice("sid")
+                other[at : at + (kind != "i")] = [] if kind == "d" else [f"x{r.random()}"]
+        exact = cases.prose(10**8 + k, 70).split() if k % 2 else []
+        for half, own in ((0, q), (1, other)):
+            before = cases.prose(10**9 + 2 * k + half, r.randint(0, 60)).split()
+            rows.append((2 * k + half, " ".join([*before, *own, *cases.prose(10**10 + 2 * k + half, 45).split(), *exact, *cases.prose(10**11 + 2 * k + half, 30).split()])))
+            at = len(before)
+            spans[2 * k + half] = [set(range(at, at + len(own)))] + ([set(range(at + len(own) + 45, at + len(own) + 115))] if exact else [])
+    told = {i: set() for i in spans}
+    for g in substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        assert g["doc_id"] // 2 == g["other_id"] // 2
+        told[g["doc_id"]] |= set(range(g["begin_word"], g["end_word"]))
+        told[g["other_id"]] |= set(range(g["other_begin"], g["other_end"]))
+    share = [len(told[i] & own) / len(own) for i in spans for own in spans[i]]
+    assert sum(x >= 0.9 for x in share) >= 0.95 * len(share)
+    # nothing but the passages is told, except some words at their edges
+    assert all(len(told[i] - set().union(*spans[i])) <= 12 for i in spans)
+
+
+def test_flanks_tell_whether_texts_go_on_alike():
+    rng = np.random.default_rng(4)
+    a = rng.integers(1, 2**16, (6, substring_dedup._FLANK)).astype(np.uint16)
+    b = a.copy()
+    b[1, 3] ^= 1  # one word differs
+    b[2, 3:] = rng.integers(1, 2**16, substring_dedup._FLANK - 3)  # nothing in common behind it
+    b[3, 4:] = a[3, 3:-1]  # a word inserted
+    b[4, 5:-1] = a[4, 6:]  # a word deleted
+    a[5, 2:] = b[5, 2:] = 0  # both texts end
+    equal, again = substring_dedup._goes_on(a, b, 5)
+    assert equal.tolist() == [substring_dedup._FLANK, 3, 3, equal[3], 5, 2] and equal[3] >= 4 and again.tolist() == [True, True, False, True, True, False]
