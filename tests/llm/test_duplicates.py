@@ -373,7 +373,7 @@ def test_edited_passages_are_told_whole(spark, n, edits):
     """Of passages with inserted, deleted and changed words the words in common are reported, beside an exact passage too, and not their equal part alone."""
     r, rows, spans = random.Random(n), [], {}
     for k in range(40):
-        q, other = cases.prose(10**7 * n + k, n).split(), []
+        q, other = cases.prose(10**13 + 1000 * n + k, n).split(), []
         while not other or cases.jaccard(cases.shingles(" ".join(q)), cases.shingles(" ".join(other))) < 0.8:
             other = list(q)
             for _ in range(edits):
