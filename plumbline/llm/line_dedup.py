@@ -5,22 +5,27 @@ of the last ``window`` lines.  A chunk ends after a line at which the rolling
 hash falls on one residue of ``lines``, unless it does so at the line before
 too; so chunks have two lines at least (but for a text's last one) and
 ``lines`` + 1 or so on average, and an inserted or deleted line moves the
-boundaries next to it alone.  Chunks of two lines or more, with a word, that
+boundaries next to it alone.  A text is cut ``cuts`` times, by as many
+functions of the rolling hash, so that a short run that no chunk of one cut
+lies in holds one of another.  Chunks of two lines or more, with a word, that
 occur anywhere else, in the same text or another, are removed after their
 bytes have been compared with those of the first occurrence, which stays:
 first by doc_id, then by the text's hash, then by place.
 
-Boundaries leave the lines of a repeated block that share a chunk with others.
-With ``extend`` the units are therefore all pairs of lines that follow each
-other, with a word: a line goes if it stands in a pair that occurs before, in
-the same order, so whole runs of two repeated lines or more go, wherever they
-begin.  Pairs that share a line with their first occurrence stay.  A removed
-line always has an equal one before it, so one of each stays.  A single line
-between lines that differ is no run and stays.
+A chunk at the border of a repeated block has lines of its surroundings in it.
+So a chunk that goes takes with it the lines before and behind it, up to
+``REACH`` on either side, as long as each equals the line at the same distance
+from the first occurrence.  A removed line always has an equal one before it,
+so one of each stays.  A single line between lines that differ is no run and
+stays, and so does a chunk that overlaps its first occurrence.
+
+``pairs`` takes all pairs of lines that follow each other for the units
+instead, which finds every run of two lines at the cost of a row for each line.
 
 Counting moves a few numbers for each chunk.  Bytes move for chunks whose hash
 occurs twice.  A chunk in a third of all documents is added up before the
-shuffle, and its members meet the one that stays in a join that can be split.
+shuffle, and where its members meet the one that stays, it is dealt to
+``SALTS`` places.
 
 Defined cases: a null text stays null and has no lines; an empty text has one
 empty line and stays; chunks without a word stay; rows that agree in doc_id
@@ -41,14 +46,16 @@ from pyspark.sql import functions as F
 from plumbline.llm import shared
 from plumbline.llm import words as W
 
-#: Lines between boundaries on average, and lines that the rolling hash sees.
-LINES, WINDOW = 3, 2
+#: Lines between boundaries on average, lines that the rolling hash sees, and how often a text is cut.
+LINES, WINDOW, CUTS = 2, 2, 4
+#: Lines on either side of a chunk that go with it.
+REACH = 8
+#: Occurrences of a chunk from which they are dealt to several places, and how many.
+HOT, SALTS = 5000, 32
 
 
-def chunk_spans(data: np.ndarray, first: np.ndarray, last: np.ndarray, lines: int = LINES, window: int = WINDOW, pairs: bool = False) -> tuple[np.ndarray, ...]:
-    """Row, number, begin and end in the row's bytes, lines and hash of each chunk of two lines or more that has a word; with ``pairs``, of each two lines that follow each other."""
-    data, base = data[first[0] : last[-1]], first[0]
-    first, last = first - base, last - base
+def line_spans(data: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Row, begin, end and hash of each line of rows that begin with the first byte of ``data``."""
     breaks = np.flatnonzero(data == 10)
     # every row has a line at its start, and one after each break
     row = np.concatenate([np.arange(len(first)), np.searchsorted(last, breaks, "right")])
@@ -59,6 +66,14 @@ def chunk_spans(data: np.ndarray, first: np.ndarray, last: np.ndarray, lines: in
     h = np.zeros(len(row), np.uint64)
     full = end > begin
     h[full] = W.span_hashes(data, begin[full], end[full])
+    return row, begin, end, h
+
+
+def chunk_spans(data: np.ndarray, first: np.ndarray, last: np.ndarray, lines: int = LINES, window: int = WINDOW, pairs: bool = False, cuts: int = CUTS) -> tuple[np.ndarray, ...]:
+    """Row, number of the first line, begin and end in the row's bytes, lines and hash of each chunk of two lines or more that has a word; with ``pairs``, of each two lines that follow each other."""
+    data, base = data[first[0] : last[-1]], first[0]
+    first, last = first - base, last - base
+    row, begin, end, h = line_spans(data, first, last)
     worded = np.append(0, np.cumsum(~W.SPACE[data]))
     if pairs:
         at = np.flatnonzero(row[1:] == row[:-1])
@@ -69,19 +84,27 @@ def chunk_spans(data: np.ndarray, first: np.ndarray, last: np.ndarray, lines: in
     for k in range(window):
         same = row[k:] == row[: len(row) - k]
         rolling[k:][same] += h[: len(h) - k][same] * W._PLACE[k]
-    cut = W.mix(rolling) % np.uint64(lines) == 0
     head = np.append(True, row[1:] != row[:-1])
-    cut &= ~head
-    cut[1:] &= ~cut[:-1]  # not at two lines next to each other
-    starts = head.copy()
-    starts[1:] |= cut[:-1]
-    at = np.flatnonzero(starts)
-    stop = np.append(at[1:], len(row))
-    b, e, n, of = begin[at], end[stop - 1], stop - at, row[at]
-    number = np.arange(len(at)) - np.searchsorted(of, of)
-    good = (n > 1) & (worded[e] > worded[b])
-    b, e, n, of, number = b[good], e[good], n[good], of[good], number[good]
-    return of, number, b - first[of], e - first[of], n, W.span_hashes(data, b, e)
+    own = np.arange(len(row)) - np.searchsorted(row, row)
+    found = []
+    for k in range(cuts):
+        cut = (W.mix(rolling + W._PLACE[window + k]) % np.uint64(lines) == 0) & ~head
+        # of several lines in a row that would end a chunk every second one does, so that chunks have two lines
+        run = np.arange(len(cut)) - np.maximum.accumulate(np.where(cut, -1, np.arange(len(cut))))
+        cut &= run % 2 == 1
+        starts = head.copy()
+        starts[1:] |= cut[:-1]
+        at = np.flatnonzero(starts)
+        stop = np.append(at[1:], len(row))
+        good = (stop - at > 1) & (worded[end[stop - 1]] > worded[begin[at]])
+        found.append(at[good] * (len(row) + 1) + stop[good])
+    at, stop = np.divmod(np.unique(np.concatenate(found)) if found else np.empty(0, np.int64), len(row) + 1)
+    # a chunk's hash is made from those of its lines
+    up, down = W.powers(len(h) + 1)
+    sums = np.zeros(len(h) + 1, np.uint64)
+    np.cumsum(W.mix(h) * up[: len(h)], out=sums[1:])
+    value = W.mix((sums[stop] - sums[at]) * down[at] + (stop - at).astype(np.uint64))
+    return row[at], own[at], begin[at] - first[row[at]], end[stop - 1] - first[row[at]], stop - at, value
 
 
 def chunks(docs: DataFrame, pairs: bool = False) -> DataFrame:
@@ -104,50 +127,111 @@ def _same(spans: DataFrame, docs: DataFrame) -> Column:
     return docs["doc_id"].eqNullSafe(spans["__cut_id"]) & (F.xxhash64(docs["text"]) == spans["__cut_t"])
 
 
+def _suspects(every: DataFrame) -> DataFrame:
+    """Chunks whose hash occurs twice, with its number of occurrences."""
+    return every.join(every.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "h")
+
+
+def _pieces(docs: DataFrame, suspects: DataFrame) -> DataFrame:
+    """``suspects`` with the bytes of each chunk, and the hashes and places of the lines before and behind it, nearest first."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    names = ["number", "begin", "end", "n_lines", "h", "n"]
+
+    def make(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw, spans = batch.column(2), batch.column(3)
+            ends = np.cumsum(spans.value_lengths().to_numpy())
+            own = {c: spans.flatten().field(c).to_numpy() for c in names}
+            for i in range(batch.num_rows):
+                part = slice(int(ends[i - 1]) if i else 0, int(ends[i]))
+                text = raw[i].as_py()
+                data = np.frombuffer(text, np.uint8)
+                _, begin, end, h = line_spans(data, np.zeros(1, np.int64), np.array([len(data)]))
+                h = h.view(np.int64)
+                low = np.maximum(own["number"][part] - REACH, 0)
+                high = own["number"][part] + own["n_lines"][part]
+                sides = list(zip(low.tolist(), own["number"][part].tolist(), high.tolist(), strict=True))
+                lists = [[x[a:b][::-1] for a, b, _ in sides] for x in (h, begin)] + [[x[c : c + REACH] for _, _, c in sides] for x in (h, end)]
+                m = len(sides)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(pa.array([i] * m)), batch.column(1).take(pa.array([i] * m)), *(pa.array(own[c][part]) for c in names),
+                     pa.array([text[x:y] for x, y in zip(own["begin"][part].tolist(), own["end"][part].tolist(), strict=True)], pa.binary()),
+                     *(pa.array(x, pa.list_(t)) for x, t in zip(lists, (pa.int64(), pa.int32(), pa.int64(), pa.int32()), strict=True))],
+                    ["doc_id", "t", *names, "piece", "fore", "fore_at", "aft", "aft_at"])
+
+    spans = suspects.groupBy(F.col("doc_id").alias("__cut_id"), F.col("t").alias("__cut_t")).agg(F.collect_list(F.struct(*names)).alias("spans"))
+    raw = docs.select("doc_id", "text")
+    met = raw.join(spans, _same(spans, raw)).select(F.col("__cut_id").alias("doc_id"), F.col("__cut_t").alias("t"), F.col("text").cast("binary").alias("raw"), "spans")
+    return met.mapInArrow(make, f"doc_id {kind}, t bigint, number int, begin int, end int, n_lines int, h bigint, n bigint, piece binary, fore array<bigint>, fore_at array<int>, aft array<bigint>, aft_at array<int>")
+
+
+def _equal(a: str, b: str) -> Column:
+    """How many first values of two arrays are equal."""
+    return F.expr(f"aggregate(zip_with({a}, {b}, (x, y) -> coalesce(x = y, false)), named_struct('n', 0, 'on', true), (s, x) -> named_struct('n', s.n + int(s.on AND x), 'on', s.on AND x), s -> s.n)")
+
+
 def repeated(docs: DataFrame, pairs: bool = False) -> DataFrame:
-    """``doc_id, t, number, begin, end, n_lines`` of each chunk that goes, or of each pair of lines."""
+    """``doc_id, t, number, begin, end, n_lines`` of each chunk that goes with the lines around it, or of each pair of lines."""
     every = shared.written(chunks(docs, pairs).distinct(), "chunks")
+    suspects = shared.written(_suspects(every), "suspects")
+    pieces = shared.written(_pieces(docs, suspects).distinct(), "pieces")
     spot = F.struct("doc_id", "t", "number")
-    first = every.groupBy("h").agg(F.min(spot).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    suspects = shared.written(every.join(first, "h"), "suspects")
-    spans = suspects.groupBy(F.col("doc_id").alias("__cut_id"), F.col("t").alias("__cut_t")).agg(F.collect_list(F.struct("h", "number", "begin", "end", "n_lines", "first")).alias("spans"))
-    raw = docs.select("doc_id", "text")
-    pieces = (
-        raw.join(spans, _same(spans, raw))
-        .select(F.col("__cut_id").alias("doc_id"), F.col("__cut_t").alias("t"), F.col("text").cast("binary").alias("raw"), F.explode("spans").alias("s"))
-        .select("doc_id", "t", "s.*", F.substring("raw", F.col("s.begin") + 1, F.col("s.end") - F.col("s.begin")).alias("piece"))
-    )
-    pieces = shared.written(pieces, "pieces")
-    stays = pieces.where(F.struct("doc_id", "t", "number").eqNullSafe(F.col("first"))).groupBy("h").agg(F.first("piece").alias("_piece"))
-    goes = pieces.where(~F.struct("doc_id", "t", "number").eqNullSafe(F.col("first"))).join(stays, "h").where(F.col("piece") == F.col("_piece"))
-    if pairs:
-        # a line that is three times in a row does not make the second pair a repeat of the first
-        goes = goes.where(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("t") == F.col("first.t")) & (F.col("number") == F.col("first.number") + 1)))
+    hot = F.col("n") > HOT
+    stays = pieces.groupBy("h").agg(F.min_by(F.struct("doc_id", "t", "number", "piece", "fore", "aft"), spot).alias("first"), F.first("n").alias("n"))
+    stays = stays.select("h", F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))).alias("salt"), "first")
+    dealt = pieces.withColumn("salt", F.when(hot, F.pmod(F.xxhash64("t", "number"), F.lit(SALTS)).cast("int")).otherwise(0))
+    met = dealt.join(stays, ["h", "salt"]).where(F.col("piece") == F.col("first.piece"))
+    itself = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("t") == F.col("first.t"))
+    # neither the first occurrence nor one that overlaps it: a line that is three times in a row does not make the second pair a repeat of the first
+    goes = met.where(~(itself & (F.col("number") < F.col("first.number") + F.col("n_lines"))))
+    if not pairs:
+        goes = goes.withColumns({"ahead": _equal("fore", "first.fore"), "behind": _equal("aft", "first.aft")})
+        goes = goes.withColumns({
+            "begin": F.when(F.col("ahead") > 0, F.expr("get(fore_at, ahead - 1)")).otherwise(F.col("begin")), "end": F.when(F.col("behind") > 0, F.expr("get(aft_at, behind - 1)")).otherwise(F.col("end")),
+            "number": F.col("number") - F.col("ahead"), "n_lines": F.col("n_lines") + F.col("ahead") + F.col("behind"),
+        })
     return goes.select("doc_id", "t", "number", "begin", "end", "n_lines").distinct()
 
 
-def without(raw: Column, gone: Column) -> Column:
-    """The lines of a text's bytes that are in none of the spans ``gone`` (begin, end; in order; they may overlap)."""
-    cut = lambda a, b: F.decode(F.substring(raw, a + 1, b - a), "UTF-8")
-    size = F.octet_length(raw)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("kept"))
+def _merged(gone: DataFrame, kind: str) -> DataFrame:
+    """``__cut_id, __cut_t, __cut_gone, __cut_lines`` from lists of spans: in order, those that overlap or touch made one, and the lines in them."""
+
+    def merge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(2)
+            ends = np.cumsum(lists.value_lengths().to_numpy()).astype(np.int64)
+            number, n, begin, end = (lists.flatten().field(c).to_numpy() for c in ("number", "n_lines", "begin", "end"))
+            spans, lines = [], []
+            for i in range(batch.num_rows):
+                part = slice(int(ends[i - 1]) if i else 0, int(ends[i]))
+                order = np.lexsort((n[part], number[part]))
+                a, b = number[part][order], (number[part] + n[part])[order]
+                x, y = begin[part][order], end[part][order]
+                upto = np.maximum.accumulate(b)
+                head = np.flatnonzero(np.append(True, a[1:] > upto[:-1]))
+                last = np.append(head[1:], len(a)) - 1
+                lines.append(int((upto[last] - a[head]).sum()))
+                reach = np.maximum.accumulate(y)
+                spans.append([{"begin": p, "end": q} for p, q in zip(x[head].tolist(), reach[last].tolist(), strict=True)])
+            of = pa.struct([("begin", pa.int32()), ("end", pa.int32())])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(spans, pa.list_(of)), pa.array(lines, pa.int64())], ["__cut_id", "__cut_t", "__cut_gone", "__cut_lines"])
+
+    listed = gone.groupBy("doc_id", "t").agg(F.collect_list(F.struct("number", "n_lines", "begin", "end")).alias("spans"))
+    return listed.mapInArrow(merge, f"__cut_id {kind}, __cut_t bigint, __cut_gone array<struct<begin:int,end:int>>, __cut_lines bigint")
 
-    def step(acc: Column, g: Column) -> Column:
-        kept = F.when(g["begin"] > acc["at"], F.array_append(acc["kept"], cut(acc["at"], g["begin"] - 1))).otherwise(acc["kept"])
-        return F.struct(F.greatest(acc["at"], g["end"] + 1).alias("at"), kept.alias("kept"))
 
-    return F.aggregate(
-        gone, start, step,
-        lambda acc: F.array_join(F.when(acc["at"] <= size, F.array_append(acc["kept"], cut(acc["at"], size))).otherwise(acc["kept"]), "\n"),
-    )
+def without(raw: Column, gone: Column) -> Column:
+    """The lines of a text's bytes that are in none of the spans ``gone`` (begin, end; in order, none touches another); each piece is copied once."""
+    starts = F.concat(F.array(F.lit(0)), F.transform(gone, lambda g: g["end"] + 1))
+    stops = F.concat(F.transform(gone, lambda g: g["begin"] - 1), F.array(F.octet_length(raw)))
+    spans = F.filter(F.arrays_zip(starts.alias("a"), stops.alias("b")), lambda x: x["b"] >= x["a"])
+    # a line break stands before and behind each span, so that one of them is left between two pieces
+    return F.array_join(F.transform(spans, lambda x: F.decode(F.substring(raw, x["a"] + 1, x["b"] - x["a"]), "UTF-8")), "\n")
 
 
 def dedup(docs: DataFrame, extend: bool = False) -> DataFrame:
-    """``docs`` with repeated chunks taken out of the text, and ``removed_lines`` long; with ``extend``, the whole of each repeated run of two lines or more."""
-    goes = repeated(docs, extend)
-    lines = F.size(F.array_union(F.collect_set("number"), F.transform(F.collect_set("number"), lambda x: x + 1))) if extend else F.sum("n_lines")
-    gone = goes.groupBy(F.col("doc_id").alias("__cut_id"), F.col("t").alias("__cut_t")).agg(
-        F.sort_array(F.collect_list(F.struct("begin", "end"))).alias("__cut_gone"), lines.alias("__cut_lines"))
+    """``docs`` with repeated chunks of lines taken out of the text, and ``removed_lines`` long; with ``extend``, by all pairs of lines that follow each other."""
+    gone = _merged(repeated(docs, extend), docs.schema["doc_id"].dataType.simpleString())
     joined = docs.join(gone, _same(gone, docs), "left")
     text = F.when(F.col("__cut_gone").isNull(), docs["text"]).otherwise(without(docs["text"].cast("binary"), F.col("__cut_gone")))
     others = [text.alias("text") if c == "text" else docs[f"`{c}`"] for c in docs.columns if c.lower() != "removed_lines"]

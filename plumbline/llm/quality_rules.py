@@ -33,9 +33,9 @@ from pyspark.sql import types as T
 
 from plumbline.llm import words as W
 
-#: The sample: the first rows among those whose hash falls on one residue of SAMPLE_OF, and the longest text in bytes that
-#: counts for it, so that the driver gets 32 MB at most.
-SAMPLE_ROWS, SAMPLE_OF, SAMPLE_BYTES = 500, 16, 1 << 16
+#: The sample: the rows of the smallest hashes of their texts, in whatever order they lie, among those with so many bytes at
+#: most.  The order of rules changes no verdict.
+SAMPLE_ROWS, SAMPLE_BYTES = 500, 1 << 16
 
 #: A block is packed anew when less than this share of its rows is left.
 REPACK = 0.75
@@ -284,8 +284,8 @@ def ordered(rules: Sequence[Rule], texts: Texts, made: Iterable[str] = ()) -> li
 def plan(docs: DataFrame, rules: Sequence[Rule] = RULES, text: str = "text", made: Iterable[str] = (), sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
     """The rules in the order in which the cascade runs them, from a sample of ``sample_rows`` rows at most; ``made``: counts that are made in any case."""
     column = F.col(f"`{text}`")
-    some = docs.where((F.pmod(F.xxhash64(column), F.lit(SAMPLE_OF)) == 0) & (F.octet_length(column) <= SAMPLE_BYTES))
-    rows = [r[0] for r in some.select(column).limit(sample_rows).collect()]
+    some = docs.where(F.octet_length(column) <= SAMPLE_BYTES).select(column.alias("text"), F.xxhash64(column).alias("h"))
+    rows = [r["text"] for r in some.orderBy("h", "text").limit(sample_rows).collect()]  # the smallest hashes, wherever the rows lie
     return [r for r, _, _ in ordered(rules, Texts(*W.buffers(pa.array(rows, pa.large_string()))), made)]
 
 

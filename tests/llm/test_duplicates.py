@@ -108,24 +108,23 @@ def test_components(spark):
     assert got == {i: 0 for i in range(1, 31)} | {50: 40}
 
 
-def line_chunks(text):
-    lines = text.encode().split(b"\n")
+def line_chunks(lines):
+    """First line and end of the chunks of all cuts that have two lines or more and a word."""
 
     def h(b):
         return int(W.span_hashes(np.frombuffer(b, np.uint8), np.array([0]), np.array([len(b)]))[0]) if b else 0
 
-    hashes = [h(x) for x in lines]
-    cut = []
-    for i in range(len(lines)):
-        rolling = sum(hashes[i - k] * int(W._PLACE[k]) for k in range(line_dedup.WINDOW) if i >= k) % 2**64
-        cut.append(int(W.mix(np.array([rolling], np.uint64))[0]) % line_dedup.LINES == 0)
-    out, own = [], []
-    for i, x in enumerate(lines):
-        own.append(x)
-        if i and cut[i] and not (i > 1 and cut[i - 1]):
-            out.append(own)
-            own = []
-    return [*out, own] if own else out
+    hashes, out = [h(x) for x in lines], set()
+    for k in range(line_dedup.CUTS):
+        begin, ended = 0, False
+        for i in range(len(lines)):
+            rolling = sum(hashes[i - j] * int(W._PLACE[j]) for j in range(line_dedup.WINDOW) if i >= j) + int(W._PLACE[line_dedup.WINDOW + k])
+            ended = i > 0 and not ended and int(W.mix(np.array([rolling % 2**64], np.uint64))[0]) % line_dedup.LINES == 0
+            if ended or i == len(lines) - 1:
+                if i > begin and b"".join(lines[begin : i + 1]).split():
+                    out.add((begin, i + 1))
+                begin = i + 1
+    return out
 
 
 def test_line_dedup(docs):
@@ -133,19 +132,25 @@ def test_line_dedup(docs):
     import pyspark.sql.functions as F
 
     order = {(r["doc_id"], r["text"]): r["t"] for r in docs.select("doc_id", "text", F.xxhash64("text").alias("t")).collect()}
-    seen, done = set(), {}
     distinct = sorted({(i, t) for i, t, *_ in cases.rows()}, key=lambda x: (x[0] is not None, x[0] or 0, order[x]))
-    for i, t in distinct:
-        kept, removed = [], 0
-        for c in line_chunks(t) if t is not None else []:
-            key = b"\n".join(c)
-            if len(c) > 1 and key.split() and key in seen:
-                removed += len(c)
+    lines = {x: x[1].encode().split(b"\n") if x[1] is not None else [] for x in distinct}
+    first, done = {}, {}
+    for x in distinct:
+        for a, b in sorted(line_chunks(lines[x])):
+            first.setdefault(tuple(lines[x][a:b]), (x, a))
+    for x in distinct:
+        own, gone = lines[x], set()
+        for a, b in line_chunks(own):
+            y, c = first[tuple(own[a:b])]
+            if x == y and a < c + b - a:
                 continue
-            if len(c) > 1:
-                seen.add(key)
-            kept += c
-        done[i, t] = (removed, None if t is None else b"\n".join(kept).decode())
+            k = n = 0
+            while k < line_dedup.REACH and a - k > 0 and c - k > 0 and own[a - k - 1] == lines[y][c - k - 1]:
+                k += 1
+            while n < line_dedup.REACH and b + n < len(own) and c + b - a + n < len(lines[y]) and own[b + n] == lines[y][c + b - a + n]:
+                n += 1
+            gone |= set(range(a - k, b + n))
+        done[x] = len(gone), x[1] and b"\n".join(z for i, z in enumerate(own) if i not in gone).decode()
     assert got == Counter((i, *done[i, t]) for i, t, *_ in cases.rows())
     assert sum(n for _, n, _ in got) > 30
     assert line_dedup.dedup(docs).columns == [*docs.columns, "removed_lines"]
@@ -407,3 +412,54 @@ def test_flanks_tell_whether_texts_go_on_alike():
     a[5, 2:] = b[5, 2:] = 0  # both texts end
     equal, again = substring_dedup._goes_on(a, b, 5)
     assert equal.tolist() == [substring_dedup._FLANK, 3, 3, equal[3], 5, 2] and equal[3] >= 4 and again.tolist() == [True, True, False, True, True, False]
+
+
+def runs_of_lines(rows):
+    """Numbers of the lines that stand in a pair of lines which stands before, by text."""
+    first, gone = {}, defaultdict(set)
+    for i, text in sorted(rows):
+        lines = text.split("\n")
+        for k, pair in enumerate(zip(lines, lines[1:])):
+            if (pair[0] + pair[1]).strip():
+                place = first.setdefault(pair, (i, k))
+                if place != (i, k) and place != (i, k - 1):
+                    gone[i] |= {k, k + 1}
+    return gone
+
+
+def test_chunks_take_most_of_the_runs_of_lines(spark):
+    r = random.Random(9)
+    line = lambda: cases.prose(r.randrange(10**12), 5).replace("\n", " ")
+    blocks = [[line() for _ in range(2 + k % 9)] for k in range(60)]
+    rows = []
+    for i in range(200):
+        text = []
+        for _ in range(3):
+            text += [line() for _ in range(r.randint(1, 4))] + (r.choice(blocks) if r.random() < 0.7 else [])
+        rows.append((i, "\n".join(text)))
+    want, texts = runs_of_lines(rows), dict(rows)
+    got = {x["doc_id"]: x for x in line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
+    removed = 0
+    for i, text in rows:
+        left, k = got[i]["text"].split("\n") if got[i]["text"] else [], 0
+        gone = set()
+        for n, x in enumerate(text.split("\n")):  # what is left stands in the text, in order
+            if k < len(left) and left[k] == x and not (n in want[i] and len(left) - k > len(text.split("\n")) - n - 1):
+                k += 1
+            else:
+                gone.add(n)
+        assert k == len(left) and got[i]["removed_lines"] == len(gone)
+        removed += len(gone)
+        assert got[i]["removed_lines"] <= len(want[i])
+    assert removed >= 0.9 * sum(map(len, want.values()))
+    # one of each line stays
+    assert {x for t in texts.values() for x in t.split("\n")} == {x for r_ in got.values() for x in r_["text"].split("\n") if r_["text"]}
+
+
+def test_a_text_of_very_many_repeated_runs(spark):
+    rows = [(1, "a b\nc d\ne f"), (2, "\n".join(f"own {i}\na b\nc d\ne f" for i in range(50_000)))]
+    began = time.perf_counter()
+    got = {x["doc_id"]: x for x in line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert time.perf_counter() - began < 60 and got[1]["removed_lines"] == 0
+    lines = got[2]["text"].split("\n")
+    assert got[2]["removed_lines"] == 200_000 - len(lines) and got[2]["removed_lines"] >= 0.9 * 150_000 and [x for x in lines if x.startswith("own")] == [f"own {i}" for i in range(50_000)]

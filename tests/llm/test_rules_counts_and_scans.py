@@ -93,6 +93,15 @@ def test_order_of_rules_changes_nothing(docs):
     assert by_row(quality_rules.cascade(docs), "doc_id", "kept", "rejected_by") == by_row(quality_rules.cascade(docs), "doc_id", "kept", "rejected_by")
 
 
+def test_order_of_rules_does_not_hang_on_where_rows_lie(spark):
+    rows = [(i, ("LOUD " if i % 3 else "### ") * 60 if i % 2 else cases.prose(i, 80)) for i in range(900)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    orders = [[r.name for r in quality_rules.plan(frame.repartition(n), sample_rows=100)] for n in (1, 3, 8)]
+    assert orders[0] == orders[1] == orders[2]
+    by = [by_row(quality_rules.cascade(frame.repartition(n)), "doc_id", "kept", "rejected_by") for n in (1, 8)]
+    assert by[0] == by[1]
+
+
 def test_rules_run_by_rejections_for_what_their_missing_counts_cost():
     def texts(rows):
         return quality_rules.Texts(*W.buffers(pa.array(rows, pa.large_string())))
