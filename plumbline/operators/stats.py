@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from statistics import NormalDist
 
 import numpy as np
@@ -50,17 +50,25 @@ def _interval(x: np.ndarray, resamples: int, seed: int, confidence: float, corre
         return math.nan, math.nan
     if x.size == 1:
         return float(x[0]), float(x[0])
-    drawn = _resampled(x, resamples, seed)
+    return _limits(_resampled(x, resamples, seed), float(x.mean()), bool(np.ptp(x) == 0), _skewness(x) if corrected else None, confidence)
+
+
+def _skewness(x: np.ndarray) -> float:
+    """Of the means that leave one value out: the acceleration of the interval."""
+    left_out = (x.sum() - x) / (x.size - 1)
+    d = left_out.mean() - left_out
+    spread = (d**2).sum()
+    return float((d**3).sum() / (6 * spread**1.5)) if spread else 0.0
+
+
+def _limits(drawn: np.ndarray, mean: float, flat: bool, skew: float | None, confidence: float = 0.95) -> tuple[float, float]:
+    """The interval from the resamples' means; with ``skew`` bias-corrected and accelerated."""
     tails = np.array([(1 - confidence) / 2, (1 + confidence) / 2])
-    if corrected:
-        below = float((drawn < x.mean()).mean())
-        if np.ptp(x) == 0 or not 0 < below < 1:
-            return float(drawn.min() if below else x.mean()), float(drawn.max() if below else x.mean())
+    if skew is not None:
+        below = float((drawn < mean).mean())
+        if flat or not 0 < below < 1:
+            return float(drawn.min() if below else mean), float(drawn.max() if below else mean)
         normal = NormalDist()
-        left_out = (x.sum() - x) / (x.size - 1)
-        d = left_out.mean() - left_out
-        spread = (d**2).sum()
-        skew = float((d**3).sum() / (6 * spread**1.5)) if spread else 0.0
         z0 = normal.inv_cdf(below)
         z = z0 + np.array([normal.inv_cdf(t) for t in tails])
         tails = np.array([normal.cdf(z0 + v / (1 - skew * v)) for v in z])
@@ -94,6 +102,90 @@ def with_intervals(items: DataFrame, keys: Sequence[str] = ("task_id", "metric")
     return items.groupBy(*keys).applyInPandas(run, f"{kinds}, mean double, ci_lo double, ci_hi double, n bigint")
 
 
+#: Draws of the generator's stream that are looked through at once for ones it rejects; an even number.
+SEGMENT = 1 << 22
+
+
+def _stream(seed: int, n: int, at: int, size: int) -> np.ndarray:
+    """Of ``size`` 32-bit draws of the generator's stream from the even place ``at``: numbers below n, in order, without those rejected.
+
+    numpy draws whole numbers below n by multiplying 32 bits of its stream by n
+    and keeping the high half, unless the low half is below 2**32 modulo n.
+    """
+    bits = np.random.PCG64(seed)
+    bits.advance(at // 2)
+    product = bits.random_raw(size // 2).astype("<u8").view("<u4").astype(np.uint64) * np.uint64(n)
+    return (product >> np.uint64(32))[(product & np.uint64(0xFFFFFFFF)) >= np.uint64(2**32 % n)].astype(np.int64)
+
+
+def exact_intervals(items: DataFrame, keys: Sequence[str] = ("task_id", "metric"), resamples: int = RESAMPLES, seed: int = 0, method: str = "percentile", order: str | Sequence[str] = "item_id", segment: int = SEGMENT, held: int = HELD) -> DataFrame:
+    """What ``with_intervals`` gives, bit by bit, with the resamples of a group dealt to many tasks.
+
+    The generator's one stream can be entered at any place.  How many of its
+    draws are rejected before a place is not known beforehand, so a first pass
+    counts those kept by segments of the stream, for each number of items that
+    a group has.  Then each task enters the stream where its resamples begin.
+    A task holds a group's scores, eight bytes an item, and ``held`` draws; a
+    group has fewer than 2**31 items.
+    """
+    if method not in ("percentile", "bca"):
+        raise ValueError(f"method must be percentile or bca, not {method!r}")
+    keys, order = list(keys), [order] if isinstance(order, str) else list(order)
+    kinds = ", ".join(f"`{k}` {items.schema[k].dataType.simpleString()}" for k in keys)
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct(*order, F.col("score").cast("double").alias("_score")))), lambda r: r["_score"])
+    groups = items.groupBy(*keys).agg(ordered.alias("x")).withColumn("n", F.size("x").cast("bigint"))
+
+    # accepted draws by segment, for each number of items
+    sizes = groups.where("n > 1").select("n").distinct()
+    # a draw is rejected with a probability below n / 2**32
+    wanted = F.ceil(F.lit(resamples) * F.col("n") * (1 + 2 * F.col("n") / F.lit(2.0**32)) / segment) + 1
+    segments = sizes.select("n", F.explode(F.sequence(F.lit(0).cast("bigint"), wanted - 1)).alias("segment")).repartition("n", "segment")
+
+    def accepted(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            kept = [len(_stream(seed, n, k * segment, segment)) for n, k in zip(f["n"].tolist(), f["segment"].tolist(), strict=True)]
+            yield pd.DataFrame({"n": f["n"], "segment": f["segment"], "kept": kept})
+
+    kept = segments.mapInPandas(accepted, "n bigint, segment bigint, kept bigint")
+    kept = kept.groupBy("n").agg(F.transform(F.array_sort(F.collect_list(F.struct("segment", "kept"))), lambda r: r["kept"]).alias("kept"))
+
+    rows = F.greatest(F.lit(1), (F.lit(held) / F.greatest(F.col("n"), F.lit(1))).cast("bigint"))
+    blocks = groups.join(kept, "n", "left").withColumn("rows", rows).withColumn("first", F.explode(F.sequence(F.lit(0).cast("bigint"), F.when(F.col("n") > 1, F.lit(resamples - 1)).otherwise(0).cast("bigint"), F.col("rows"))))
+
+    def draw(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            out = []
+            for own, n, first, many, segments_ in zip(f["x"], f["n"].tolist(), f["first"].tolist(), f["rows"].tolist(), f["kept"], strict=True):
+                x = np.asarray(own, np.float64)
+                means: np.ndarray = x
+                if n > 1:
+                    ends = np.cumsum(segments_)
+                    many = min(many, resamples - first)
+                    at = int(np.searchsorted(ends, first * n, "right"))
+                    skip, parts, have = first * n - int(ends[at - 1] if at else 0), [], 0
+                    while have < many * n + skip:
+                        parts.append(_stream(seed, n, at * segment, segment))
+                        have, at = have + len(parts[-1]), at + 1
+                    means = x[np.concatenate(parts)[skip : skip + many * n].reshape(many, n)].mean(axis=1)
+                about = first == 0 and n > 0
+                out.append((means.tolist(), float(x.mean()) if about else None, bool(np.ptp(x) == 0) if about else None, _skewness(x) if about and n > 1 else None))
+            yield pd.DataFrame({**{k: f[k] for k in keys}, "n": f["n"], "first": f["first"], **{c: [o[i] for o in out] for i, c in enumerate(("means", "mean", "flat", "skew"))}})
+
+    drawn = blocks.repartition(*keys, "first").mapInPandas(draw, f"{kinds}, n bigint, first bigint, means array<double>, mean double, flat boolean, skew double")
+    listed = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("first", "means"))), lambda r: r["means"]))
+    whole = drawn.groupBy(*keys).agg(F.max("n").alias("n"), listed.alias("means"), F.max("mean").alias("mean"), F.bool_or("flat").alias("flat"), F.max("skew").alias("skew"))
+
+    def limits(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            both = [
+                _limits(np.asarray(m, np.float64), mean, flat, skew if method == "bca" else None) if n > 1 else (m[0], m[0])
+                for n, m, mean, flat, skew in zip(f["n"].tolist(), f["means"], f["mean"].tolist(), f["flat"].tolist(), f["skew"].tolist(), strict=True)
+            ]
+            yield pd.DataFrame({**{k: f[k] for k in keys}, "mean": f["mean"], "ci_lo": [b[0] for b in both], "ci_hi": [b[1] for b in both], "n": f["n"]})
+
+    return whole.mapInPandas(limits, f"{kinds}, mean double, ci_lo double, ci_hi double, n bigint")
+
+
 def _resampled_means(items: DataFrame, keys: Sequence[str], resamples: int, seed: int, item: str) -> DataFrame:
     """``keys, m``: a row a resample.  Items are weighed by a hash and added up where they lie: ``resamples`` sums a task are shuffled, never items."""
     hashed = items.select(*keys, "score", F.col(item).cast("string").alias("_item"), F.explode(F.sequence(F.lit(0), F.lit(-(-resamples // 4) - 1))).alias("b"))

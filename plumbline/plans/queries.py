@@ -530,12 +530,12 @@ def bootstrap_ci(spark, sf_dir):
 
 @query()
 def bootstrap_exact(spark, sf_dir):
-    return stats.with_intervals(_lang_items(spark, sf_dir), ["metric"])
+    return stats.exact_intervals(_lang_items(spark, sf_dir), ["metric"])
 
 
 @query()
 def bootstrap_bca(spark, sf_dir):
-    return stats.with_intervals(_lang_items(spark, sf_dir), ["metric"], method="bca")
+    return stats.exact_intervals(_lang_items(spark, sf_dir), ["metric"], method="bca")
 
 
 @query(f"""WITH pr AS (SELECT source AS item_id, avg(quality) - avg(1 - toxic) AS score, 0 AS g FROM labels JOIN documents USING (doc_id) GROUP BY source), {_drawn("pr", "g")},
