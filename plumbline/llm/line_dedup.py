@@ -49,7 +49,7 @@ from plumbline.llm import words as W
 #: Lines between boundaries on average, lines that the rolling hash sees, and how often a text is cut.
 LINES, WINDOW, CUTS = 2, 2, 4
 #: Lines on either side of a chunk that go with it.
-REACH = 8
+REACH = 6
 #: Occurrences of a chunk from which they are dealt to several places, and how many.
 HOT, SALTS = 5000, 32
 
@@ -172,9 +172,9 @@ def _equal(a: str, b: str) -> Column:
 
 def repeated(docs: DataFrame, pairs: bool = False) -> DataFrame:
     """``doc_id, t, number, begin, end, n_lines`` of each chunk that goes with the lines around it, or of each pair of lines."""
-    every = shared.written(chunks(docs, pairs).distinct(), "chunks")
+    every = shared.written(chunks(docs, pairs), "chunks")
     suspects = shared.written(_suspects(every), "suspects")
-    pieces = shared.written(_pieces(docs, suspects).distinct(), "pieces")
+    pieces = shared.written(_pieces(docs, suspects), "pieces")
     spot = F.struct("doc_id", "t", "number")
     hot = F.col("n") > HOT
     stays = pieces.groupBy("h").agg(F.min_by(F.struct("doc_id", "t", "number", "piece", "fore", "aft"), spot).alias("first"), F.first("n").alias("n"))

@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 
 from plumbline.llm import words as W
 
-#: The sample: the rows of the smallest hashes of their texts, in whatever order they lie, among those with so many bytes at
+#: The sample: the distinct texts of the smallest hashes, in whatever order rows lie, among those with so many bytes at
 #: most.  The order of rules changes no verdict.
 SAMPLE_ROWS, SAMPLE_BYTES = 500, 1 << 16
 
@@ -284,8 +284,14 @@ def ordered(rules: Sequence[Rule], texts: Texts, made: Iterable[str] = ()) -> li
 def plan(docs: DataFrame, rules: Sequence[Rule] = RULES, text: str = "text", made: Iterable[str] = (), sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
     """The rules in the order in which the cascade runs them, from a sample of ``sample_rows`` rows at most; ``made``: counts that are made in any case."""
     column = F.col(f"`{text}`")
-    some = docs.where(F.octet_length(column) <= SAMPLE_BYTES).select(column.alias("text"), F.xxhash64(column).alias("h"))
-    rows = [r["text"] for r in some.orderBy("h", "text").limit(sample_rows).collect()]  # the smallest hashes, wherever the rows lie
+    n, least = docs.count(), F.shiftrightunsigned(F.xxhash64(column), 1)
+    share, rows = min(1.0, 2 * sample_rows / max(n, 1)), []
+    while True:  # copies share a hash and count once, so that a look collects few rows; where most rows are copies it takes more than one
+        some = docs.where((F.octet_length(column) <= SAMPLE_BYTES) & (least <= F.lit(min(int(share * 2**63), 2**63 - 1)))).groupBy(least.alias("h")).agg(F.min(column).alias("text"))
+        rows = [r["text"] for r in some.orderBy("h").limit(sample_rows).collect()]
+        if len(rows) == sample_rows or share >= 1:
+            break
+        share = min(1.0, 4 * share)
     return [r for r, _, _ in ordered(rules, Texts(*W.buffers(pa.array(rows, pa.large_string()))), made)]
 
 
