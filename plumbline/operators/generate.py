@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import time
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from typing import Any
@@ -11,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.text import SENTINEL, first_sentence
+from plumbline.operators import store
 
 #: Fixed value: the prompt.
 PROMPT = """\
@@ -105,30 +107,45 @@ def with_cost(answers: DataFrame, rates: Sequence[tuple[str, float, float]] = RA
 Client = Callable[[str, dict[str, Any]], tuple[str, int, int]]
 
 
-def by_model(prompted: DataFrame, connect: Callable[[], Client], options: dict[str, Any], family: str) -> DataFrame:
-    """Answers of a language model to ``prompt``; ``connect`` is called once for each task."""
+def by_model(prompted: DataFrame, connect: Callable[[], Client], options: dict[str, Any], family: str, answers: str = "") -> DataFrame:
+    """Answers of a language model to ``prompt``; ``connect`` is called once for each task.
+
+    ``answers``, or the session's setting, names a folder of answers that were
+    given before, by prompt, seed, family and options: they are not asked for again.
+    """
+    if path := answers or store.folder(prompted, "generated"):
+        seed = F.col("seed") if "seed" in prompted.columns else F.lit(0)
+        key = store.key_of(F.lit(family), F.lit(json.dumps(options, sort_keys=True)), seed, F.col("prompt"))
+        rows = store.through(prompted.drop("text"), key, path, lambda todo: _asked(todo, connect, options).select(*todo.columns[:-1], "_key", "text", "prompt_tokens", "completion_tokens", "latency_ms"))
+    else:
+        rows = _asked(prompted, connect, options)
+    return with_cost(rows.drop("prompt").withColumn("model", F.lit(options["model"])).withColumn("family", F.lit(family)))
+
+
+def _asked(prompted: DataFrame, connect: Callable[[], Client], options: dict[str, Any]) -> DataFrame:
+    """``prompted`` with text, tokens and latency of each answer."""
     from pyspark.sql import types as T
 
-    names = [c for c in prompted.columns if c not in ("prompt", "text")]
+    names = [c for c in prompted.columns if c != "text"]
+    at = names.index("prompt")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         client = connect()
         for b in batches:
             seeds = b.column(names.index("seed")).to_pylist() if "seed" in names else [0] * b.num_rows
             got = []
-            for prompt, seed in zip(b.column(b.num_columns - 1).to_pylist(), seeds, strict=True):
+            for prompt, seed in zip(b.column(at).to_pylist(), seeds, strict=True):
                 began = time.perf_counter()
                 text, used, made = client(prompt or "", options | {"seed": seed})
                 got.append((text.strip(), int(used or 0), int(made or 0), (time.perf_counter() - began) * 1000))
             text, used, made, ms = zip(*got, strict=True) if got else ((), (), (), ())
             yield pa.RecordBatch.from_arrays(
-                [*b.columns[:-1], pa.array(text, pa.string()), pa.array(used, pa.int32()), pa.array(made, pa.int32()), pa.array(ms, pa.float64())],
+                [*b.columns, pa.array(text, pa.string()), pa.array(used, pa.int32()), pa.array(made, pa.int32()), pa.array(ms, pa.float64())],
                 [*names, "text", "prompt_tokens", "completion_tokens", "latency_ms"])
 
     added = [T.StructField("text", T.StringType()), T.StructField("prompt_tokens", T.IntegerType()), T.StructField("completion_tokens", T.IntegerType()), T.StructField("latency_ms", T.DoubleType())]
     schema = T.StructType([*(prompted.schema[n] for n in names), *added])
-    answered = prompted.select(*names, "prompt").mapInArrow(run, schema)
-    return with_cost(answered.withColumn("model", F.lit(options["model"])).withColumn("family", F.lit(family)))
+    return prompted.select(*names).mapInArrow(run, schema)
 
 
 def anthropic_client() -> Client:

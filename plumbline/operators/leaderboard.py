@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.operators.metrics import VERBOSE
+from plumbline.sources.scratch import work_dir
 
 
 def task_metrics(submissions: DataFrame) -> DataFrame:
@@ -40,18 +41,26 @@ def verbose(metrics: DataFrame, key: str = "pipeline_hash", threshold: float = V
 PARTS = 256
 
 
-def pareto(entries: DataFrame, quality: str = "quality", cost: str = "cost") -> DataFrame:
+def pareto(entries: DataFrame, quality: str = "quality", cost: str = "cost", path: str | None = None) -> DataFrame:
     """``entries`` with pareto: no other entry is as good and as cheap, and better in one.
 
     Entries that tie in both are kept together.  Best qualities at each cost
-    are dealt to ``PARTS`` parts by hash; what is beaten in its own part by a
-    lower cost goes, and the frontier is found over the few that are left.
+    are dealt to ``PARTS`` parts by hash, and what is beaten in its own part by
+    a lower cost goes.  What is left, which may be all, is dealt to ranges of
+    cost: each range has its best quality carried on to the ranges behind it, of
+    which there are as many as tasks, and is gone through on its own.
     """
-    before = lambda *by: F.max("_best").over(Window.partitionBy(*by).orderBy(F.col("_cost").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1))
+    running = lambda by, value="_best": F.max(value).over(Window.partitionBy(*by).orderBy(F.col("_cost").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1))
     best = entries.groupBy(F.col(cost).alias("_cost")).agg(F.max(quality).alias("_best"))
-    for by in ([F.pmod(F.xxhash64("_cost"), F.lit(PARTS))], []):
-        best = best.withColumn("_cheaper", before(*by)).where("_cheaper is null or _cheaper < _best").drop("_cheaper")
-    joined = entries.join(best.withColumnRenamed("_best", "_front"), F.col(cost).eqNullSafe(F.col("_cost")), "left")
+    best = best.withColumn("_cheaper", running([F.pmod(F.xxhash64("_cost"), F.lit(PARTS))])).where("_cheaper is null or _cheaper < _best").drop("_cheaper")
+    where = path or work_dir(entries.sparkSession, "frontier")
+    best.repartitionByRange(F.col("_cost").asc_nulls_first()).withColumn("_range", F.spark_partition_id()).write.parquet(where)
+    ranged = entries.sparkSession.read.parquet(where)
+    tops = ranged.groupBy("_range").agg(F.max("_best").alias("_top"))
+    carried = tops.select("_range", F.max("_top").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)).alias("_carried"))  # a row a range
+    cheaper = F.greatest(running(["_range"]), F.col("_carried"))
+    front = ranged.join(F.broadcast(carried), "_range").withColumn("_cheaper", cheaper).where("_cheaper is null or _cheaper < _best").select("_cost", F.col("_best").alias("_front"))
+    joined = entries.join(front, F.col(cost).eqNullSafe(F.col("_cost")), "left")
     return joined.withColumn("pareto", F.coalesce(F.col(quality) == F.col("_front"), F.lit(False))).drop("_front", "_cost")
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import text as T
+from plumbline.operators import store
 
 VERBOSE = 10.0
 #: Least length of a gold passage that may be found inside a chunk's text.
@@ -181,8 +182,20 @@ def shuffled_context(hits: DataFrame, seed: Column | None = None) -> DataFrame:
     return listed.select("query_id", F.array_join(F.transform("texts", lambda t, i: F.concat(F.lit("["), i + 1, F.lit("] "), t)), "\n\n").alias("context"))
 
 
-def judged_by_model(pairs: DataFrame, judges: list[Judge]) -> DataFrame:
-    """``pairs`` (judge, claim, context, ...) with ``said``, by each judge's own function, which is made once a task."""
+def judged_by_model(pairs: DataFrame, judges: list[Judge], answers: str = "") -> DataFrame:
+    """``pairs`` (judge, claim, context, ...) with ``said``, by each judge's own function, which is made once a task.
+
+    ``answers``, or the session's setting, names a folder of what judges have
+    said before, by judge, model, prompt, claim and context.
+    """
+    if path := answers or store.folder(pairs, "judged"):
+        who = F.create_map(*[x for j in judges for x in (F.lit(j.name), F.lit(f"{j.model} {j.prompt_hash}"))])
+        key = store.key_of(F.col("judge"), F.element_at(who, F.col("judge")), F.col("claim"), F.col("context"))
+        return store.through(pairs, key, path, lambda todo: _said(todo, judges))
+    return _said(pairs, judges)
+
+
+def _said(pairs: DataFrame, judges: list[Judge]) -> DataFrame:
     from pyspark.sql import types as ST
 
     makers = {j.name: j.connect for j in judges if j.connect}
