@@ -9,6 +9,7 @@ records (Parquet or JSON) that are mapped, filtered and limited in Spark.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from typing import Any
@@ -18,6 +19,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.functions.partitions import numbered
+from plumbline.sources.records import count as count_records
+from plumbline.sources.records import files as record_files
+from plumbline.sources.records import first_records
 
 ITEMS = (
     "task_id string, item_id string, question string, gold_answers array<string>, gold_passages array<string>, corpus_ref string, answerable boolean, counter_kind string, counter_answer string, ordinal bigint"
@@ -302,9 +306,18 @@ def _dataset(task_id: str, name: str, family: str, mapped, corpus, items):
     @register_task(task_id)
     def make(raw_path: str = "", cache_path: str = "", max_items: int = 1000) -> Task:
         def records(spark: SparkSession) -> DataFrame:
-            raw = spark.read.json(raw_path) if raw_path.endswith((".json", ".jsonl")) else spark.read.parquet(raw_path)
-            rows = mapped(raw)
-            return cached(rows, cache_path, max_items) if cache_path else rows.limit(max_items)
+            if cache_path or "://" in raw_path.removeprefix("file://") or not os.path.exists(raw_path.removeprefix("file://")):
+                raw = spark.read.json(raw_path) if raw_path.endswith((".json", ".jsonl")) else spark.read.parquet(raw_path)
+                rows = mapped(raw)
+                return cached(rows, cache_path, max_items) if cache_path else rows.limit(max_items)
+            # records that are dropped for want of an answer are replaced by later ones
+            take = max_items
+            while True:
+                rows = mapped(first_records(spark, raw_path, take))
+                known = record_files(raw_path)
+                if rows.count() >= max_items or take >= sum(map(count_records, known)):
+                    return rows.limit(max_items) if take > max_items else rows
+                take *= 2
 
         return Task(Spec(task_id, name, family, max_items, "high", metrics_retrieval=("recall@10", "ndcg@10", "mrr@10")), lambda spark: corpus(records(spark)), lambda spark, split="all": items(records(spark), split), {"max_items": max_items})
 
