@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -257,6 +258,70 @@ def test_mixing_targets(spark):
         assert {r["source"]: pytest.approx(r["target"]) for r in rows} == brute(sizes)
 
 
+def spark_hash(*values):
+    """Spark's xxhash64 of (number, bytes) and strings, unsigned; nulls leave the hash as it is."""
+    h = 42
+    for v in values:
+        if v is not None:
+            h = xxhash.xxh64(v.encode() if isinstance(v, str) else v[0].to_bytes(v[1], "little", signed=True), h).intdigest()
+    return h
+
+
+def pivotal(items, seed, level):
+    """The loop of one block over [doc_id, size, p]: what is settled, and the residual."""
+    held, done = list(items[0]), []
+    for k, x in enumerate(map(list, items[1:])):
+        if 0 < held[2] < 1:
+            up, down = min((1 - held[2]) * held[1], x[2] * x[1]), min(held[2] * held[1], (1 - x[2]) * x[1])
+            up_full, down_full = (1 - held[2]) * held[1] <= x[2] * x[1], held[2] * held[1] <= (1 - x[2]) * x[1]
+            ids = [None if i is None else (i, 8) for i in (held[0], x[0])]
+            u = (spark_hash((seed, 4), (level, 4), *ids, (k, 4), (held[1], 8), (x[1], 8)) >> 11) * 2.0**-53
+            if goes_up := u * (up + down) < down:
+                held[2], x[2] = (1.0, min(1.0, max(0.0, x[2] - up / x[1]))) if up_full else (min(1.0, max(0.0, held[2] + up / held[1])), 0.0)
+            else:
+                held[2], x[2] = (0.0, min(1.0, max(0.0, x[2] + down / x[1]))) if down_full else (min(1.0, max(0.0, held[2] - down / held[1])), 1.0)
+            if up_full if goes_up else down_full:
+                held, x = x, held
+            done.append((x[0], x[1], int(x[2])))
+        else:
+            done.append((held[0], held[1], int(held[2])))
+            held = x
+    return done, held
+
+
+def test_mixing_against_a_plain_loop(spark):
+    r = random.Random(6)
+    rows = [(i if i else None, " ".join(f"w{r.randrange(9)}" for _ in range(r.choice((0, 1, 3, 10, 80))))+ f" {i}", r.choice(("a", "b", "b", "b", None))) for i in range(700)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = Counter((x["doc_id"], x["size"], x["source"], x["copies"]) for x in mixing.mix(frame.repartition(4)).collect())
+    sizes = [(i, len(cases.words(t)), s, t) for i, t, s in rows]
+    totals = {s: (sum(1 for x in sizes if x[2] == s), sum(x[1] for x in sizes if x[2] == s)) for s in {x[2] for x in sizes}}
+    goals = {x["source"]: x["target"] for x in mixing.targets(spark.createDataFrame([(s, *v) for s, v in totals.items()], "source string, n long, source_size long")).collect()}
+    want = Counter()
+    for s, (n, total) in totals.items():
+        whole, p = divmod(goals[s] / total, 1)
+        blocks = defaultdict(list)
+        for i, size, of, t in sizes:
+            if of == s:
+                h = spark_hash((17, 4), None if i is None else (i, 8), (size, 8), ((spark_hash(t) + 2**63) % 2**64 - 2**63, 8), (1, 4))
+                blocks[((h + 2**63) % 2**64 - 2**63) % max(1, -(-n // mixing.FAN_IN))].append((i, size, p))
+        if not p:
+            want.update((i, size, s, int(whole)) for own in blocks.values() for i, size, _ in own)
+            continue
+        level, most = 0, max(1, -(-max(v[0] for v in totals.values()) // mixing.FAN_IN))
+        while True:
+            above = defaultdict(list)
+            for b, own in blocks.items():
+                done, held = pivotal(sorted(own, key=lambda x: (-x[1], x[0] is not None, x[0] or 0, x[2])), 17, level)
+                want.update((i, size, s, int(whole) + c) for i, size, c in done)
+                above[b // mixing.FAN_IN].append(tuple(held))
+            if most == 1:
+                break
+            blocks, most, level = above, -(-most // mixing.FAN_IN), level + 1
+        want.update((i, size, s, int(whole) + (q >= 0.5)) for own in above.values() for i, size, q in own)
+    assert got == want and level > 0
+
+
 def test_mixing_comes_near_its_targets(spark):
     many = spark.createDataFrame([(i, "w " * (1 + i * 7919 % 60), "big" if i % 3 else f"s{i % 5}") for i in range(3000)], "doc_id int, text string, source string")
     got = mixing.mix(many).groupBy("source").agg({"taken": "sum", "target": "max"}).collect()
