@@ -694,18 +694,6 @@ def msmarco_records(spark, sf_dir):
     return tasks.map_msmarco(raw).select(F.explode("paragraphs").alias("p")).select("p.id", "p.text", "p.is_gold", "p.url")
 
 
-@query("SELECT * FROM (VALUES ('synthetic-10', 10, 10), ('noisy-qa', 25, 100), ('unanswerable-qa', 20, 40), ('counterfactual-qa', 16, 16)) t(task_id, n_items, n_docs)")
-def seed_tasks(spark, sf_dir):
-    """Items and documents of the tasks that come with their rows."""
-    out = None
-    for name in ("synthetic-10", "noisy-qa", "unanswerable-qa", "counterfactual-qa"):
-        task = tasks.get_task(name)
-        items, docs = task.items(spark, "all").agg(F.count(F.lit(1)).cast("int").alias("n_items")), task.corpus(spark).agg(F.count(F.lit(1)).cast("int").alias("n_docs"))
-        row = items.crossJoin(docs).select(F.lit(name).alias("task_id"), "n_items", "n_docs")  # one row each
-        out = row if out is None else out.unionByName(row)
-    return out
-
-
 @query(f"WITH {_BM25}, s AS (SELECT query_id, chunk_id, CAST(-abs(length(query_text) - length(text)) AS DOUBLE) AS score, rank AS r FROM hits) SELECT query_id, chunk_id, score, CAST(i AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, r) - 1 AS i FROM s) WHERE i < 3")
 def rerank_model(spark, sf_dir):
     """Hits by a model that likes chunks of the query's length."""
@@ -729,23 +717,14 @@ def dense_embedded(spark, sf_dir):
 _RATE_4O = next((i, o) for m, i, o in generate.RATES if m == "gpt-4o")
 
 
-@query(f"SELECT doc_id, trim(upper(left(coalesce(text, ''), 12)), ' ' || chr(10) || chr(9)) AS answer, CAST(length(coalesce(text, '')) // 4 AS INTEGER) AS prompt_tokens, round((length(coalesce(text, '')) // 4 * {_RATE_4O[0]} + 5 * {_RATE_4O[1]}) / 1e6, 9) AS cost_usd FROM documents WHERE lang = 'en'")
+@query(f"SELECT doc_id, trim(left(coalesce(text, ''), 12), ' ' || chr(10) || chr(9)) AS answer, CAST(length(coalesce(text, '')) // 4 AS INTEGER) AS prompt_tokens, round((length(coalesce(text, '')) // 4 * {_RATE_4O[0]} + 5 * {_RATE_4O[1]}) / 1e6, 9) AS cost_usd FROM documents")
 def model_answers(spark, sf_dir):
-    """Answers of a model that says the first characters of its prompt in capitals."""
-    prompted = table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", F.lit(0).alias("seed"), F.col("text").alias("prompt"))
-    said = generate.by_model(prompted, lambda: lambda prompt, o: (prompt[:12].upper(), len(prompt) // 4, 5), {"model": "gpt-4o", "temperature": 0.0, "max_tokens": 5}, "openai")
+    """Answers of a model that says the first characters of its prompt."""
+    prompted = table(spark, sf_dir, "documents").select("doc_id", F.lit(0).alias("seed"), F.col("text").alias("prompt"))
+    said = generate.by_model(prompted, lambda: lambda prompt, o: (prompt[:12], len(prompt) // 4, 5), {"model": "gpt-4o", "temperature": 0.0, "max_tokens": 5}, "openai")
     return said.select("doc_id", F.col("text").alias("answer"), "prompt_tokens", F.round("cost_usd", 9).alias("cost_usd"))
 
 
-@query("""SELECT 'sha256:' || sha256('{"judge_fingerprint":"none","seeds":[0,1],"task_data_hashes":{"t":"x"},"version":"1","yaml":"a: 2\\nb: 1\\n"}') AS pipeline_hash,
-'sha256:' || sha256('[{"model":"m","name":"a","prompt_hash":"p"},{"model":"m","name":"b","prompt_hash":"p"}]') AS judge_fingerprint""")
-def fingerprints(spark, sf_dir):
-    """The hash of a pipeline and the fingerprint of two judges."""
-    judges = [{"name": n, "model": "m", "prompt_hash": "p", "family": "f"} for n in ("b", "a")]
-    digest = repro.pipeline_hash("b: 1 # note\na: 2\n", {"t": "x"}, seeds=(1, 0), version="1")
-    return spark.range(1).select(F.lit(digest).alias("pipeline_hash"), F.lit(repro.judge_fingerprint(judges)).alias("judge_fingerprint"))
-
-
 @query("""WITH r AS (SELECT source, lang, avg(quality) AS q, count(*) AS n, avg(n_chars) / 1000.0 AS cost FROM labels JOIN documents USING (doc_id) GROUP BY ALL),
 e AS (SELECT coalesce(source, 'none') AS pipeline_hash, avg(q) AS quality, avg(cost) AS cost FROM r GROUP BY ALL)
 SELECT pipeline_hash, round(quality, 6) AS quality, round(cost, 6) AS cost, array_to_string(list_filter([CASE WHEN NOT EXISTS (SELECT 1 FROM e b WHERE b.quality >= a.quality AND b.cost <= a.cost AND (b.quality > a.quality OR b.cost < a.cost)) THEN 'pareto' END], lambda t: t IS NOT NULL), ',') AS tags FROM e a""")
