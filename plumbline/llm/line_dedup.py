@@ -172,9 +172,9 @@ def _equal(a: str, b: str) -> Column:
 
 def repeated(docs: DataFrame, pairs: bool = False) -> DataFrame:
     """``doc_id, t, number, begin, end, n_lines`` of each chunk that goes with the lines around it, or of each pair of lines."""
-    every = shared.written(chunks(docs, pairs), "chunks")
-    suspects = shared.written(_suspects(every), "suspects")
-    pieces = shared.written(_pieces(docs, suspects), "pieces")
+    every = shared.written(chunks(docs, pairs), "chunks", compression="zstd")
+    suspects = shared.written(_suspects(every), "suspects", compression="zstd")
+    pieces = shared.written(_pieces(docs, suspects), "pieces", compression="zstd")
     spot = F.struct("doc_id", "t", "number")
     hot = F.col("n") > HOT
     stays = pieces.groupBy("h").agg(F.min_by(F.struct("doc_id", "t", "number", "piece", "fore", "aft"), spot).alias("first"), F.first("n").alias("n"))
