@@ -19,8 +19,13 @@ from the first occurrence.  A removed line always has an equal one before it,
 so one of each stays.  A single line between lines that differ is no run and
 stays, and so does a chunk that overlaps its first occurrence.
 
-``pairs`` takes all pairs of lines that follow each other for the units
-instead, which finds every run of two lines at the cost of a row for each line.
+``extend`` finds every run of two repeated lines or more, which no choice of
+cuts does.  A text is then cut once, into chunks of ``RUN`` pairs of lines on
+average that share the line at their border, so that each pair of lines that
+follow each other is in one chunk.  Chunks that repeat an earlier one, byte by
+byte, go whole.  The pairs of the chunks that stay are compared in the same
+way, one by one: a pair's first place is in a chunk that stays, since a chunk
+that goes has an earlier equal.  A pair without a word is in no chunk.
 
 Counting moves a few numbers for each chunk.  Bytes move for chunks whose hash
 occurs twice.  A chunk in a third of all documents is added up before the
@@ -50,6 +55,8 @@ from plumbline.llm import words as W
 LINES, WINDOW, CUTS = 2, 2, 4
 #: Lines on either side of a chunk that go with it.
 REACH = 6
+#: Pairs of lines in a chunk on average where each pair is in one chunk.
+RUN = 4
 #: Occurrences of a chunk from which they are dealt to several places, and how many.
 HOT, SALTS = 5000, 32
 
@@ -69,17 +76,11 @@ def line_spans(data: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[n
     return row, begin, end, h
 
 
-def chunk_spans(data: np.ndarray, first: np.ndarray, last: np.ndarray, lines: int = LINES, window: int = WINDOW, pairs: bool = False, cuts: int = CUTS) -> tuple[np.ndarray, ...]:
-    """Row, number of the first line, begin and end in the row's bytes, lines and hash of each chunk of two lines or more that has a word; with ``pairs``, of each two lines that follow each other."""
+def chunk_spans(data: np.ndarray, first: np.ndarray, last: np.ndarray, lines: int = LINES, window: int = WINDOW, cuts: int = CUTS) -> tuple[np.ndarray, ...]:
+    """Row, number of the first line, lines and hash of each chunk of two lines or more that has a word."""
     data, base = data[first[0] : last[-1]], first[0]
-    first, last = first - base, last - base
-    row, begin, end, h = line_spans(data, first, last)
+    row, begin, end, h = line_spans(data, first - base, last - base)
     worded = np.append(0, np.cumsum(~W.SPACE[data]))
-    if pairs:
-        at = np.flatnonzero(row[1:] == row[:-1])
-        at = at[worded[end[at + 1]] > worded[begin[at]]]
-        of = row[at]
-        return of, at - np.searchsorted(row, of), begin[at] - first[of], end[at + 1] - first[of], np.full(len(at), 2), W.mix(h[at] * W._PLACE[0] + h[at + 1] * W._PLACE[1])
     rolling = np.zeros(len(h), np.uint64)
     for k in range(window):
         same = row[k:] == row[: len(row) - k]
@@ -104,23 +105,54 @@ def chunk_spans(data: np.ndarray, first: np.ndarray, last: np.ndarray, lines: in
     sums = np.zeros(len(h) + 1, np.uint64)
     np.cumsum(W.mix(h) * up[: len(h)], out=sums[1:])
     value = W.mix((sums[stop] - sums[at]) * down[at] + (stop - at).astype(np.uint64))
-    return row[at], own[at], begin[at] - first[row[at]], end[stop - 1] - first[row[at]], stop - at, value
+    return row[at], own[at], stop - at, value
 
 
-def chunks(docs: DataFrame, pairs: bool = False) -> DataFrame:
-    """``doc_id, t, number, begin, end, n_lines, h``: t is the text's hash, begin and end are bytes."""
+def run_spans(data: np.ndarray, first: np.ndarray, last: np.ndarray, run: int = RUN) -> tuple[np.ndarray, ...]:
+    """Row, number of the first line, lines and hash of each chunk of pairs of lines, where the pairs of each begin in the last array, and the pairs' hashes.
+
+    A pair that the rolling hash over its two lines picks ends a chunk, and so
+    does a text's last pair and one before a pair without a word.
+    """
+    data, base = data[first[0] : last[-1]], first[0]
+    row, begin, end, h = line_spans(data, first - base, last - base)
+    worded = np.append(0, np.cumsum(~W.SPACE[data]))
+    at = np.flatnonzero(row[1:] == row[:-1])
+    at = at[worded[end[at + 1]] > worded[begin[at]]]
+    pair = W.mix(h[at] * W._PLACE[0] + h[at + 1] * W._PLACE[1])
+    if not len(at):
+        return (np.empty(0, np.int64),) * 3 + (pair, np.zeros(1, np.int64), pair)
+    stops = W.mix(pair + W._PLACE[WINDOW]) % np.uint64(run) == 0
+    stops |= np.append(at[1:] != at[:-1] + 1, True)
+    ends = np.flatnonzero(stops) + 1
+    starts = np.append(0, ends[:-1])
+    up, down = W.powers(len(at) + 1)
+    sums = np.zeros(len(at) + 1, np.uint64)
+    np.cumsum(W.mix(pair) * up[: len(at)], out=sums[1:])
+    value = W.mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    of = row[at[starts]]
+    return of, at[starts] - np.searchsorted(row, of), ends - starts + 1, value, np.append(starts, len(at)), pair
+
+
+def chunks(docs: DataFrame, extend: bool = False) -> DataFrame:
+    """``doc_id, t, number, n_lines, h``: t is the text's hash; with ``extend`` chunks of pairs of lines, and the pairs' hashes as ``pairs``."""
 
     def make(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, first, last = W.buffers(batch.column(2))
             for i, j in W.blocks(first, last):
-                row, number, begin, end, n, h = chunk_spans(data, first[i:j], last[i:j], pairs=pairs)
+                if extend:
+                    row, number, n, h, starts, pair = run_spans(data, first[i:j], last[i:j])
+                    more = [pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(pair.view(np.int64)))]
+                else:
+                    row, number, n, h = chunk_spans(data, first[i:j], last[i:j])
+                    more = []
                 at = pa.array(row + i)
-                ints = [pa.array(x.astype(np.int32)) for x in (number, begin, end, n)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *ints, pa.array(h.view(np.int64))], ["doc_id", "t", "number", "begin", "end", "n_lines", "h"])
+                ints = [pa.array(x.astype(np.int32)) for x in (number, n)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *ints, pa.array(h.view(np.int64)), *more], ["doc_id", "t", "number", "n_lines", "h", "pairs"][: 5 + len(more)])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.xxhash64("text").alias("t"), "text").mapInArrow(make, f"doc_id {kind}, t bigint, number int, begin int, end int, n_lines int, h bigint")
+    return docs.select("doc_id", F.xxhash64("text").alias("t"), "text").mapInArrow(make, f"doc_id {kind}, t bigint, number int, n_lines int, h bigint" + (", pairs array<bigint>" if extend else ""))
 
 
 def _same(spans: DataFrame, docs: DataFrame) -> Column:
@@ -129,13 +161,13 @@ def _same(spans: DataFrame, docs: DataFrame) -> Column:
 
 def _suspects(every: DataFrame) -> DataFrame:
     """Chunks whose hash occurs twice, with its number of occurrences."""
-    return every.join(every.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "h")
+    return every.join(every.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").hint("merge"), "h")
 
 
-def _pieces(docs: DataFrame, suspects: DataFrame) -> DataFrame:
-    """``suspects`` with the bytes of each chunk, and the hashes and places of the lines before and behind it, nearest first."""
+def _pieces(docs: DataFrame, suspects: DataFrame, reach: int = REACH) -> DataFrame:
+    """``suspects`` with the place and bytes of each chunk, and the hashes and places of ``reach`` lines before and behind it, nearest first."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    names = ["number", "begin", "end", "n_lines", "h", "n"]
+    names = ["number", "n_lines", "h", "n"]
 
     def make(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -148,21 +180,22 @@ def _pieces(docs: DataFrame, suspects: DataFrame) -> DataFrame:
                 data = np.frombuffer(text, np.uint8)
                 _, begin, end, h = line_spans(data, np.zeros(1, np.int64), np.array([len(data)]))
                 h = h.view(np.int64)
-                low = np.maximum(own["number"][part] - REACH, 0)
+                low = np.maximum(own["number"][part] - reach, 0)
                 high = own["number"][part] + own["n_lines"][part]
+                from_, to = begin[own["number"][part]], end[high - 1]
                 sides = list(zip(low.tolist(), own["number"][part].tolist(), high.tolist(), strict=True))
-                lists = [[x[a:b][::-1] for a, b, _ in sides] for x in (h, begin)] + [[x[c : c + REACH] for _, _, c in sides] for x in (h, end)]
+                lists = [[x[a:b][::-1] for a, b, _ in sides] for x in (h, begin)] + [[x[c : c + reach] for _, _, c in sides] for x in (h, end)]
                 m = len(sides)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array([i] * m)), batch.column(1).take(pa.array([i] * m)), *(pa.array(own[c][part]) for c in names),
-                     pa.array([text[x:y] for x, y in zip(own["begin"][part].tolist(), own["end"][part].tolist(), strict=True)], pa.binary()),
+                    [batch.column(0).take(pa.array([i] * m)), batch.column(1).take(pa.array([i] * m)), *(pa.array(own[c][part]) for c in names), *(pa.array(x.astype(np.int32)) for x in (from_, to)),
+                     pa.array([text[x:y] for x, y in zip(from_.tolist(), to.tolist(), strict=True)], pa.binary()),
                      *(pa.array(x, pa.list_(t)) for x, t in zip(lists, (pa.int64(), pa.int32(), pa.int64(), pa.int32()), strict=True))],
-                    ["doc_id", "t", *names, "piece", "fore", "fore_at", "aft", "aft_at"])
+                    ["doc_id", "t", *names, "begin", "end", "piece", "fore", "fore_at", "aft", "aft_at"])
 
     spans = suspects.groupBy(F.col("doc_id").alias("__cut_id"), F.col("t").alias("__cut_t")).agg(F.collect_list(F.struct(*names)).alias("spans"))
     raw = docs.select("doc_id", "text")
     met = raw.join(spans, _same(spans, raw)).select(F.col("__cut_id").alias("doc_id"), F.col("__cut_t").alias("t"), F.col("text").cast("binary").alias("raw"), "spans")
-    return met.mapInArrow(make, f"doc_id {kind}, t bigint, number int, begin int, end int, n_lines int, h bigint, n bigint, piece binary, fore array<bigint>, fore_at array<int>, aft array<bigint>, aft_at array<int>")
+    return met.mapInArrow(make, f"doc_id {kind}, t bigint, number int, n_lines int, h bigint, n bigint, begin int, end int, piece binary, fore array<bigint>, fore_at array<int>, aft array<bigint>, aft_at array<int>")
 
 
 def _equal(a: str, b: str) -> Column:
@@ -170,11 +203,10 @@ def _equal(a: str, b: str) -> Column:
     return F.expr(f"aggregate(zip_with({a}, {b}, (x, y) -> coalesce(x = y, false)), named_struct('n', 0, 'on', true), (s, x) -> named_struct('n', s.n + int(s.on AND x), 'on', s.on AND x), s -> s.n)")
 
 
-def repeated(docs: DataFrame, pairs: bool = False) -> DataFrame:
-    """``doc_id, t, number, begin, end, n_lines`` of each chunk that goes with the lines around it, or of each pair of lines."""
-    every = shared.written(chunks(docs, pairs), "chunks", compression="zstd")
-    suspects = shared.written(_suspects(every), "suspects", compression="zstd")
-    pieces = shared.written(_pieces(docs, suspects), "pieces", compression="zstd")
+def _repeats(docs: DataFrame, every: DataFrame, name: str, reach: int = 0) -> DataFrame:
+    """``doc_id, t, number, n_lines, begin, end`` of each of ``every`` that equals an earlier one, with up to ``reach`` equal lines on either side."""
+    suspects = shared.written(_suspects(every), f"{name}-suspects", compression="zstd")
+    pieces = shared.written(_pieces(docs, suspects, reach), f"{name}-pieces", compression="zstd")
     spot = F.struct("doc_id", "t", "number")
     hot = F.col("n") > HOT
     stays = pieces.groupBy("h").agg(F.min_by(F.struct("doc_id", "t", "number", "piece", "fore", "aft"), spot).alias("first"), F.first("n").alias("n"))
@@ -184,13 +216,26 @@ def repeated(docs: DataFrame, pairs: bool = False) -> DataFrame:
     itself = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("t") == F.col("first.t"))
     # neither the first occurrence nor one that overlaps it: a line that is three times in a row does not make the second pair a repeat of the first
     goes = met.where(~(itself & (F.col("number") < F.col("first.number") + F.col("n_lines"))))
-    if not pairs:
+    if reach:
         goes = goes.withColumns({"ahead": _equal("fore", "first.fore"), "behind": _equal("aft", "first.aft")})
         goes = goes.withColumns({
             "begin": F.when(F.col("ahead") > 0, F.expr("get(fore_at, ahead - 1)")).otherwise(F.col("begin")), "end": F.when(F.col("behind") > 0, F.expr("get(aft_at, behind - 1)")).otherwise(F.col("end")),
             "number": F.col("number") - F.col("ahead"), "n_lines": F.col("n_lines") + F.col("ahead") + F.col("behind"),
         })
-    return goes.select("doc_id", "t", "number", "begin", "end", "n_lines").distinct()
+    return goes.select("doc_id", "t", "number", "n_lines", "begin", "end")
+
+
+def repeated(docs: DataFrame, extend: bool = False) -> DataFrame:
+    """``doc_id, t, number, n_lines, begin, end`` of each chunk that goes with the lines around it; with ``extend``, of chunks and pairs of lines that hold every repeated pair."""
+    every = shared.written(chunks(docs, extend), "chunks", compression="zstd")
+    if not extend:
+        return _repeats(docs, every, "chunks", REACH).distinct()
+    long = shared.written(_repeats(docs, every.where("n_lines > 2").drop("pairs"), "chunks"), "long", compression="zstd")
+    gone = long.select(*[F.col(c).alias(f"_{c}") for c in ("doc_id", "t", "number")]).distinct().hint("merge")
+    stays = every.join(gone, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("t") == F.col("_t")) & (F.col("number") == F.col("_number")), "left_anti")
+    each = stays.select("doc_id", "t", "number", F.posexplode("pairs").alias("_at", "h"))
+    pairs = each.select("doc_id", "t", (F.col("number") + F.col("_at")).alias("number"), F.lit(2).alias("n_lines"), "h")
+    return long.unionByName(_repeats(docs, pairs, "pairs")).distinct()
 
 
 def _merged(gone: DataFrame, kind: str) -> DataFrame:
@@ -230,7 +275,7 @@ def without(raw: Column, gone: Column) -> Column:
 
 
 def dedup(docs: DataFrame, extend: bool = False) -> DataFrame:
-    """``docs`` with repeated chunks of lines taken out of the text, and ``removed_lines`` long; with ``extend``, by all pairs of lines that follow each other."""
+    """``docs`` with repeated chunks of lines taken out of the text, and ``removed_lines`` long; with ``extend``, all runs of two lines or more."""
     gone = _merged(repeated(docs, extend), docs.schema["doc_id"].dataType.simpleString())
     joined = docs.join(gone, _same(gone, docs), "left")
     text = F.when(F.col("__cut_gone").isNull(), docs["text"]).otherwise(without(docs["text"].cast("binary"), F.col("__cut_gone")))

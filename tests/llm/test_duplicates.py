@@ -459,3 +459,14 @@ def test_a_text_of_very_many_repeated_runs(spark):
     assert time.perf_counter() - began < 60 and got[1]["removed_lines"] == 0
     lines = got[2]["text"].split("\n")
     assert got[2]["removed_lines"] == 200_000 - len(lines) and got[2]["removed_lines"] >= 0.9 * 150_000 and [x for x in lines if x.startswith("own")] == [f"own {i}" for i in range(50_000)]
+
+
+def test_extended_line_dedup_takes_every_run(spark):
+    r = random.Random(12)
+    line = lambda: r.choice(["", " ", "\t", *(f"w{k}" for k in range(12))])
+    rows = [(i, "\n".join(line() for _ in range(r.randrange(40)))) for i in range(60)] + [(60, "a b\nc d\ne f"), (61, "\n".join(f"own {i}\na b\nc d\ne f" for i in range(20_000)))]
+    want = runs_of_lines(rows)
+    got = {x["doc_id"]: x for x in line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), extend=True).collect()}
+    for i, text in rows:
+        assert (got[i]["removed_lines"], got[i]["text"]) == (len(want[i]), "\n".join(x for k, x in enumerate(text.split("\n")) if k not in want[i]))
+    assert len(want[61]) == 60_000
