@@ -22,6 +22,8 @@ from plumbline.functions.text import terms
 BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 32 << 20
 #: Weights of a batch of chunks that are held as one matrix.
 MATRIX = 1 << 22
+#: Products of vectors that are held at once.
+TILE = 1 << 20
 
 
 def top_k(scored: DataFrame, k: int, *tie: str) -> DataFrame:
@@ -214,6 +216,17 @@ def _best(scores: np.ndarray, ties: list[pa.Array], k: int, above: float = 0.0)
     return q[good], r[good], scores[q[good], r[good]]
 
 
+def _nearest(held: list[tuple[np.ndarray, pa.Array, np.ndarray]], k: int) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """The k best of each query from parts of query, chunk_id and score, in order of query, score at six decimals and chunk_id."""
+    q, v = np.concatenate([x[0] for x in held]), np.concatenate([x[2] for x in held])
+    chunk = pa.concat_arrays([x[1] for x in held])
+    place = np.empty(len(q), np.int64)
+    place[pc.sort_indices(chunk).to_numpy()] = np.arange(len(q))
+    order = np.lexsort((place, -np.round(v, 6), q))
+    order = order[np.arange(len(q)) - np.searchsorted(q[order], q[order]) < k]
+    return q[order], chunk.take(pa.array(order)), v[order]
+
+
 def containing(documents: DataFrame, passages: DataFrame, block: int = 8 << 20) -> DataFrame:
     """``query_id, doc_id`` of documents in whose text a passage (query_id, text) stands; passages are a stated set, looked for all at once, in blocks of ``block`` bytes."""
     qkind, kind = (f.schema[c].dataType.simpleString() for f, c in ((passages, "query_id"), (documents, "doc_id")))
@@ -267,24 +280,39 @@ def dense(vectors: DataFrame, queries: DataFrame, k: int = 50, block: int = 4096
     """Exact nearest vectors by dot product; with ``scope`` (a column of both) of a query's own scope alone.
 
     ``vectors``: chunk_id, embedding; ``queries``: query_id, embedding, a stated
-    set that is taken in blocks of ``block``.  Each task multiplies its rows by
-    a block at once and keeps k for each query, so a task sends k rows a query.
+    set that is taken in blocks of ``block``.  Each task multiplies some rows by
+    a block at once, ``TILE`` products or one row, and keeps k for each query, so
+    that a task sends k rows a query and holds a few times as many.
     """
     kind, qkind = vectors.schema["chunk_id"].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
     out = None
     for ids, matrix, id_type, scopes in query_blocks(queries, block, scope):
 
         def score(batches: Iterable[pa.RecordBatch], ids=ids, matrix=matrix, id_type=id_type, scopes=scopes) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                e = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-                e = e.reshape(batch.num_rows, -1)
-                s = matrix @ e.T if matrix.size else np.zeros((len(ids), batch.num_rows))
-                if scope:
-                    s[np.array(scopes, object)[:, None] != np.array(batch.column(2).to_pylist(), object)[None, :]] = -np.inf
-                q, r, _ = _best(s, [batch.column(0)], k, -np.inf)
-                yield pa.RecordBatch.from_arrays([pa.array(ids, id_type).take(pa.array(q)), batch.column(0).take(pa.array(r)), pa.array(s[q, r])], ["query_id", "chunk_id", "score"])
+            held: list[tuple[np.ndarray, pa.Array, np.ndarray]] = []
+            edge, own = np.full(len(ids), -np.inf), np.array(scopes, object)
+            # rows whose products with the block are held at once
+            step = max(TILE // max(len(ids), 1), 1)
+            for whole in batches:
+                for lo in range(0, whole.num_rows, step):
+                    batch = whole.slice(lo, step)
+                    e = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+                    e = e.reshape(batch.num_rows, -1)
+                    s = matrix @ e.T if matrix.size else np.zeros((len(ids), batch.num_rows))
+                    if scope:
+                        s[own[:, None] != np.array(batch.column(2).to_pylist(), object)[None, :]] = -np.inf
+                    q, r, v = _best(s, [batch.column(0)], k, -np.inf)
+                    near = np.round(v, 6) >= edge[q]
+                    held.append((q[near], batch.column(0).take(pa.array(r[near])), v[near]))
+                    if sum(len(x[0]) for x in held) > max(TILE, 2 * len(ids) * k):
+                        held = [_nearest(held, k)]
+                        full = np.bincount(held[0][0], minlength=len(ids)) == k
+                        edge[full] = np.round(held[0][2][np.cumsum(np.bincount(held[0][0], minlength=len(ids)))[full] - 1], 6)
+            if held:
+                q, chunk, v = _nearest(held, k)
+                for lo in range(0, len(q), 10_000):
+                    some = slice(lo, lo + 10_000)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids, id_type).take(pa.array(q[some])), chunk[some], pa.array(v[some])], ["query_id", "chunk_id", "score"])
 
         part = vectors.where("chunk_id is not null and embedding is not null").select("chunk_id", "embedding", *([scope] if scope else [])).mapInArrow(score, f"query_id {qkind}, chunk_id {kind}, score double")
         out = part if out is None else out.unionByName(part)

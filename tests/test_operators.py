@@ -301,3 +301,21 @@ def test_reruns_that_miss_a_task_or_a_metric(spark):
     rerun = spark.createDataFrame([("a", "m", 0.5), ("b", "other", 0.5), ("c", "m", 2.0)], "task_id string, metric string, mean double")
     got = {r["task_id"]: r["reason"] for r in repro.verify_run(submitted, rerun).collect()}
     assert set(got) == {"b", "c", "d"} and "missing" in got["b"] and "outside" in got["c"] and "missing" in got["d"]
+
+
+def test_dense_holds_few_products_at_once(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    e = rng.integers(-3, 4, (1500, 5)).astype(float)
+    monkeypatch.setattr(retrieval, "TILE", 4000)
+    best, sizes = retrieval._best, []
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(e)], "chunk_id long, embedding array<double>").coalesce(2)
+    queries = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(e[:90])], "query_id long, embedding array<double>")
+    want = {(q, c, r) for q in range(90) for r, c in enumerate(sorted(range(1500), key=lambda c: (-float(e[q] @ e[c]), c))[:7])}
+
+    def looked(scores, *more):
+        assert scores.size <= 4000, scores.shape
+        return best(scores, *more)
+
+    monkeypatch.setattr(retrieval, "_best", looked)
+    got = retrieval.dense(vectors, queries, 7, block=60)
+    assert {(r["query_id"], r["chunk_id"], r["rank"]) for r in got.collect()} == want
