@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterable, Iterator, Sequence
+from hashlib import md5
 from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -186,19 +188,55 @@ def exact_intervals(items: DataFrame, keys: Sequence[str] = ("task_id", "metric"
     return whole.mapInPandas(limits, f"{kinds}, mean double, ci_lo double, ci_hi double, n bigint")
 
 
+#: Groups whose sums a task holds at once.
+GROUPS = 256
+
+
 def _resampled_means(items: DataFrame, keys: Sequence[str], resamples: int, seed: int, item: str) -> DataFrame:
     """``keys, m``: a row a resample.  Items are weighed by a hash and added up where they lie: ``resamples`` sums a task are shuffled, never items."""
-    hashed = items.select(*keys, "score", F.col(item).cast("string").alias("_item"), F.explode(F.sequence(F.lit(0), F.lit(-(-resamples // 4) - 1))).alias("b"))
-    hashed = hashed.withColumn("h", F.md5(F.concat_ws(":", F.lit(seed).cast("string"), F.col("b").cast("string"), "_item").cast("binary")))
-    weight = lambda k: sum(((F.conv(F.substring("h", 8 * k + 1, 8), 16, 10).cast("long") >= limit).cast("int") for limit in LIMITS[1:]), (F.conv(F.substring("h", 8 * k + 1, 8), 16, 10).cast("long") >= LIMITS[0]).cast("int"))
-    weighed = hashed.select(*keys, "b", "score", *[weight(k).alias(f"w{k}") for k in range(4)])
-    sums = weighed.groupBy(*keys, "b").agg(*[F.sum(f"w{k}").alias(f"n{k}") for k in range(4)], *[F.sum(F.col(f"w{k}") * F.col("score")).alias(f"s{k}") for k in range(4)])
-    each = F.explode(F.array(*[F.struct((4 * F.col("b") + k).alias("b"), (F.col(f"s{k}") / F.when(F.col(f"n{k}") > 0, F.col(f"n{k}"))).alias("m")) for k in range(4)]))
-    return sums.select(*keys, each.alias("x")).where(F.col("x.b") < resamples).select(*keys, F.col("x.m").alias("m"))
+    keys = list(keys)
+    blocks = -(-resamples // 4)
+    kinds = "".join(f"`{k}` {items.schema[k].dataType.simpleString()}, " for k in keys)
+    limits = np.array(LIMITS, np.uint64)
+
+    def weigh(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]] = {}
+
+        def told() -> Iterator[pa.RecordBatch]:
+            for row, n, s, known in held.values():
+                own = [c.take(pa.array(np.zeros(resamples, np.int32))) for c in row.columns[: len(keys)]]
+                sums = pa.array(s[:resamples], mask=~known[:resamples])
+                yield pa.RecordBatch.from_arrays([*own, pa.array(np.arange(resamples, dtype=np.int32)), pa.array(n[:resamples]), sums], [*keys, "b", "n", "s"])
+            held.clear()
+
+        heads = [f"{seed}:{b}".encode() for b in range(blocks)]
+        for batch in batches:
+            columns = [c.to_pylist() for c in batch.columns]
+            for i, (score, name) in enumerate(zip(columns[-2], columns[-1], strict=True)):
+                key = tuple(c[i] for c in columns[:-2])
+                if key not in held:
+                    if len(held) == GROUPS:
+                        yield from told()
+                    held[key] = batch.slice(i, 1), np.zeros(4 * blocks, np.int64), np.zeros(4 * blocks), np.zeros(4 * blocks, bool)
+                _, n, s, known = held[key]
+                tail = b"" if name is None else b":" + name.encode()
+                drawn = np.frombuffer(b"".join([md5(h + tail).digest() for h in heads]), ">u4")
+                w = np.searchsorted(limits, drawn, "right")
+                n += w
+                if score is not None:
+                    s += w * score
+                    known[:] = True
+        yield from told()
+
+    # a task's time is its items', which are few bytes: as many tasks as cores, whatever their size
+    cores = items.sparkSession.sparkContext.defaultParallelism
+    dealt = items.select(*keys, F.col("score").cast("double").alias("score"), F.col(item).cast("string").alias("_item")).repartition(cores, "_item")
+    sums = dealt.mapInArrow(weigh, f"{kinds}b int, n bigint, s double").groupBy(*keys, "b").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
+    return sums.select(*keys, (F.col("s") / F.when(F.col("n") > 0, F.col("n"))).alias("m"))
 
 
 def native_intervals(items: DataFrame, keys: Sequence[str] = ("task_id", "metric"), resamples: int = RESAMPLES, seed: int = 0, item: str = "item_id") -> DataFrame:
-    """``keys, mean, ci_lo, ci_hi, n`` by the Poisson bootstrap, in SQL functions alone, for any number of items.
+    """``keys, mean, ci_lo, ci_hi, n`` by the Poisson bootstrap, for any number of items.
 
     An item's weight in resample b comes from ``md5(seed:b/4:item)``, of which
     each 32 bits give one resample's; a resample in which nothing was drawn

@@ -319,3 +319,22 @@ def test_dense_holds_few_products_at_once(spark, monkeypatch):
     monkeypatch.setattr(retrieval, "_best", looked)
     got = retrieval.dense(vectors, queries, 7, block=60)
     assert {(r["query_id"], r["chunk_id"], r["rank"]) for r in got.collect()} == want
+
+
+def test_poisson_weights_by_groups_that_are_let_go(spark, monkeypatch):
+    from hashlib import md5
+
+    rows = [(f"m{i % 7}", None if i == 20 else str(i), None if i % 11 == 3 else i / 8) for i in range(70)]
+    monkeypatch.setattr(stats, "GROUPS", 3)
+    got = stats._resampled_means(spark.createDataFrame(rows, "metric string, item_id string, score double").coalesce(1), ["metric"], 10, 5, "item_id")
+    assert "REPARTITION_BY_NUM" in got._jdf.queryExecution().toString()  # as many tasks as cores, however few bytes the items have
+    want = []
+    for m in range(7):
+        n, s = np.zeros(12), np.zeros(12)
+        for name, score in ((r[1], r[2]) for r in rows if r[0] == f"m{m}"):
+            h = b"".join(md5(f"5:{b}{'' if name is None else ':' + name}".encode()).digest() for b in range(3))
+            w = np.array([sum(int.from_bytes(h[4 * k : 4 * k + 4], "big") >= limit for limit in stats.LIMITS) for k in range(12)])
+            n += w
+            s += w * (score or 0)
+        want += [(f"m{m}", round(x / y, 9) if y else None) for x, y in zip(s[:10], n[:10])]
+    assert sorted(((r["metric"], None if r["m"] is None else round(r["m"], 9)) for r in got.collect()), key=str) == sorted(want, key=str)
