@@ -22,6 +22,8 @@ from plumbline.functions.text import terms
 BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 32 << 20
 #: Weights of a batch of chunks that are held as one matrix.
 MATRIX = 1 << 22
+#: Chunks whose terms are looked up at once.
+ROWS = 512
 #: Products of vectors that are held at once.
 TILE = 1 << 20
 
@@ -69,12 +71,25 @@ def postings(chunks: DataFrame, vocabulary: DataFrame | None = None) -> DataFram
     return each.groupBy("term", "chunk_id").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
 
 
+def document_frequencies(chunks: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """``term, df`` of the terms of ``vocabulary`` (term) that chunks hold: counted where the chunks lie, a row a term and task is shuffled.  Chunk ids are taken to be unique."""
+    each = chunks.select(F.explode(F.array_distinct(terms(F.coalesce(F.col("text"), F.lit(""))))).alias("term"))
+    return each.join(broadcast_if_small(vocabulary.select("term").distinct()), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+
+
 def bm25_weight(tf: Column, dl: Column, df: Column, n: Column, avgdl: Column, k1: float, b: float) -> Column:
     idf = F.log(1 + (n - df + 0.5) / (df + 0.5))
     norm = F.when(avgdl > 0, 1 - b + b * F.greatest(dl, F.lit(1)) / avgdl).otherwise(1.0)
     return idf * (tf * (k1 + 1)) / (tf + k1 * norm)
 
 
+def _some(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``ROWS`` rows of a batch at a time."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, ROWS):
+            yield batch.slice(lo, ROWS)
+
+
 def _places(rows: pa.Array, vocabulary: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Row, number in the vocabulary and count of each row's different terms that are in it, and each row's number of terms."""
     flat = rows.flatten()
@@ -91,8 +106,8 @@ def term_counts(chunks: DataFrame, vocabulary: list[str]) -> tuple[dict[str, int
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, n, total = np.zeros(len(words), np.int64), 0, 0
-        for batch in batches:
-            _, term, _, size = _places(batch.column(0), words)
+        for part in _some(batches):
+            _, term, _, size = _places(part.column(0), words)
             df += np.bincount(term, minlength=len(words))[: len(words)]
             n, total = n + len(size), total + int(size.sum())
         yield pa.RecordBatch.from_arrays([pa.concat_arrays([words, pa.array(["", " "])]), pa.array(np.append(df, [n, total]))], ["term", "n"])
@@ -155,7 +170,7 @@ def bm25(chunks: DataFrame, queries: DataFrame, k: int = 50, k1: float = 1.5, b:
 
         def score(batches: Iterable[pa.RecordBatch], ids=ids, words=list(number), matrix=matrix, avgdl=avgdl) -> Iterator[pa.RecordBatch]:
             words = pa.array(words, pa.string())
-            for whole in batches:
+            for whole in _some(batches):
                 row, term, tf, size = _places(whole.column(len(columns)), words)
                 norm = 1 - b + b * np.maximum(size, 1) / avgdl if avgdl > 0 else np.ones(len(size))
                 weight = tf * (k1 + 1) / (tf + k1 * norm[row])

@@ -193,7 +193,7 @@ def _hits(spark, sf_dir, k: int = 10) -> DataFrame:
 @query(f"WITH {_BM25} SELECT n AS n_chunks, round(avgdl, 6) AS avgdl, (SELECT count(*) FROM post) AS n_postings, (SELECT count(*) FROM df) AS n_terms FROM st")
 def bm25_stats(spark, sf_dir):
     chunks, wanted = _chunks(spark, sf_dir), retrieval.query_terms(_benchmark(spark, sf_dir))
-    index = retrieval.postings(chunks, wanted).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    index = retrieval.document_frequencies(chunks, wanted)
     sizes = index.agg(F.coalesce(F.sum("df"), F.lit(0)).alias("n_postings"), F.count(F.lit(1)).alias("n_terms"))
     return retrieval.corpus_stats(chunks).select("n_chunks", r6("avgdl", "avgdl")).crossJoin(sizes)  # one row each
 

@@ -338,3 +338,24 @@ def test_poisson_weights_by_groups_that_are_let_go(spark, monkeypatch):
             s += w * (score or 0)
         want += [(f"m{m}", round(x / y, 9) if y else None) for x, y in zip(s[:10], n[:10])]
     assert sorted(((r["metric"], None if r["m"] is None else round(r["m"], 9)) for r in got.collect()), key=str) == sorted(want, key=str)
+
+
+def test_document_frequencies_are_shuffled_by_term_alone(spark):
+    chunks = spark.createDataFrame([(f"c{i}", f"alpha alpha w{i % 3} beta") for i in range(12)] + [("n", None)], "chunk_id string, text string")
+    wanted = spark.createDataFrame([("alpha",), ("alpha",), ("w1",), ("absent",)], "term string")
+    got = retrieval.document_frequencies(chunks, wanted)
+    assert {r["term"]: r["df"] for r in got.collect()} == {"alpha": 12, "w1": 4}
+    assert "chunk_id" not in got._jdf.queryExecution().optimizedPlan().aggregateExpressions().toString()
+
+
+def test_terms_are_looked_up_for_few_rows_at_once(spark, monkeypatch):
+    places, rows, most = retrieval._places, 1300, 512
+
+    def looked(some, vocabulary):
+        assert len(some) <= most
+        return places(some, vocabulary)
+
+    monkeypatch.setattr(retrieval, "_places", looked)
+    chunks = spark.createDataFrame([(f"c{i:04}", "a " * (i % 5) + f"b w{i}") for i in range(rows)], "chunk_id string, text string").coalesce(1)
+    got = retrieval.bm25(chunks, spark.createDataFrame([(1, "a w7")], "query_id int, text string"), 3).collect()
+    assert sorted((r["rank"], r["chunk_id"]) for r in got) == [(0, "c0007"), (1, "c0004"), (2, "c0009")]
