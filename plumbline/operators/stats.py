@@ -127,8 +127,8 @@ def exact_intervals(items: DataFrame, keys: Sequence[str] = ("task_id", "metric"
     draws are rejected before a place is not known beforehand, so a first pass
     counts those kept by segments of the stream, for each number of items that
     a group has.  Then each task enters the stream where its resamples begin.
-    A task holds a group's scores, eight bytes an item, and ``held`` draws; a
-    group has fewer than 2**31 items.
+    A task holds a group's scores, eight bytes an item, once for its share of
+    the resamples, and ``held`` draws; a group has fewer than 2**31 items.
     """
     if method not in ("percentile", "bca"):
         raise ValueError(f"method must be percentile or bca, not {method!r}")
@@ -152,23 +152,30 @@ def exact_intervals(items: DataFrame, keys: Sequence[str] = ("task_id", "metric"
     kept = kept.groupBy("n").agg(F.transform(F.array_sort(F.collect_list(F.struct("segment", "kept"))), lambda r: r["kept"]).alias("kept"))
 
     rows = F.greatest(F.lit(1), (F.lit(held) / F.greatest(F.col("n"), F.lit(1))).cast("bigint"))
-    blocks = groups.join(kept, "n", "left").withColumn("rows", rows).withColumn("first", F.explode(F.sequence(F.lit(0).cast("bigint"), F.when(F.col("n") > 1, F.lit(resamples - 1)).otherwise(0).cast("bigint"), F.col("rows"))))
+    # a row a group and core has the scores once, whatever the number of blocks of draws in its share
+    cores = items.sparkSession.sparkContext.defaultParallelism
+    share = F.col("rows") * F.ceil(F.ceil(F.lit(resamples) / F.col("rows")) / cores)
+    blocks = groups.join(kept, "n", "left").withColumn("rows", rows).withColumn("share", share.cast("bigint"))
+    blocks = blocks.withColumn("first", F.explode(F.sequence(F.lit(0).cast("bigint"), F.when(F.col("n") > 1, F.lit(resamples - 1)).otherwise(0).cast("bigint"), F.col("share"))))
+
+    def block(x: np.ndarray, n: int, first: int, many: int, ends: np.ndarray) -> np.ndarray:
+        at = int(np.searchsorted(ends, first * n, "right"))
+        skip, parts, have = first * n - int(ends[at - 1] if at else 0), [], 0
+        while have < many * n + skip:
+            parts.append(_stream(seed, n, at * segment, segment))
+            have, at = have + len(parts[-1]), at + 1
+        return x[np.concatenate(parts)[skip : skip + many * n].reshape(many, n)].mean(axis=1)
 
     def draw(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             out = []
-            for own, n, first, many, segments_ in zip(f["x"], f["n"].tolist(), f["first"].tolist(), f["rows"].tolist(), f["kept"], strict=True):
+            for own, n, first, many, share, segments_ in zip(f["x"], f["n"].tolist(), f["first"].tolist(), f["rows"].tolist(), f["share"].tolist(), f["kept"], strict=True):
                 x = np.asarray(own, np.float64)
                 means: np.ndarray = x
                 if n > 1:
                     ends = np.cumsum(segments_)
-                    many = min(many, resamples - first)
-                    at = int(np.searchsorted(ends, first * n, "right"))
-                    skip, parts, have = first * n - int(ends[at - 1] if at else 0), [], 0
-                    while have < many * n + skip:
-                        parts.append(_stream(seed, n, at * segment, segment))
-                        have, at = have + len(parts[-1]), at + 1
-                    means = x[np.concatenate(parts)[skip : skip + many * n].reshape(many, n)].mean(axis=1)
+                    last = min(first + share, resamples)
+                    means = np.concatenate([block(x, n, k, min(many, last - k), ends) for k in range(first, last, many)])
                 about = first == 0 and n > 0
                 out.append((means.tolist(), float(x.mean()) if about else None, bool(np.ptp(x) == 0) if about else None, _skewness(x) if about and n > 1 else None))
             yield pd.DataFrame({**{k: f[k] for k in keys}, "n": f["n"], "first": f["first"], **{c: [o[i] for o in out] for i, c in enumerate(("means", "mean", "flat", "skew"))}})

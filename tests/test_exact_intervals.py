@@ -33,3 +33,11 @@ def test_draws_that_the_generator_rejects(spark):
     got = stats.exact_intervals(frame, ["metric"], 60, segment=1 << 20, held=1 << 20).first()
     x = np.array([r["score"] for r in frame.orderBy("item_id").collect()])
     assert (got["ci_lo"], got["ci_hi"]) == stats.percentile_interval(x, 60) and got["n"] == n
+
+
+def test_scores_are_carried_once_a_core(spark):
+    items = spark.createDataFrame([("m", i, float(i % 17)) for i in range(600)], "metric string, item_id int, score double")
+    got = stats.exact_intervals(items, ["metric"], 200, held=600)  # 200 blocks of one resample
+    assert "share" in got._jdf.queryExecution().analyzed().toString()
+    r, x = got.first(), np.array([float(i % 17) for i in range(600)])
+    assert (r["ci_lo"], r["ci_hi"]) == stats.percentile_interval(x, 200)
