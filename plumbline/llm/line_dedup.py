@@ -194,7 +194,7 @@ def _pieces(docs: DataFrame, suspects: DataFrame, reach: int = REACH) -> DataFra
 
     spans = suspects.groupBy(F.col("doc_id").alias("__cut_id"), F.col("t").alias("__cut_t")).agg(F.collect_list(F.struct(*names)).alias("spans"))
     raw = docs.select("doc_id", "text")
-    met = raw.join(spans, _same(spans, raw)).select(F.col("__cut_id").alias("doc_id"), F.col("__cut_t").alias("t"), F.col("text").cast("binary").alias("raw"), "spans")
+    met = raw.join(spans.hint("merge"), _same(spans, raw)).select(F.col("__cut_id").alias("doc_id"), F.col("__cut_t").alias("t"), F.col("text").cast("binary").alias("raw"), "spans")
     return met.mapInArrow(make, f"doc_id {kind}, t bigint, number int, n_lines int, h bigint, n bigint, begin int, end int, piece binary, fore array<bigint>, fore_at array<int>, aft array<bigint>, aft_at array<int>")
 
 
@@ -212,7 +212,7 @@ def _repeats(docs: DataFrame, every: DataFrame, name: str, reach: int = 0) -> Da
     stays = pieces.groupBy("h").agg(F.min_by(F.struct("doc_id", "t", "number", "piece", "fore", "aft"), spot).alias("first"), F.first("n").alias("n"))
     stays = stays.select("h", F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))).alias("salt"), "first")
     dealt = pieces.withColumn("salt", F.when(hot, F.pmod(F.xxhash64("t", "number"), F.lit(SALTS)).cast("int")).otherwise(0))
-    met = dealt.join(stays, ["h", "salt"]).where(F.col("piece") == F.col("first.piece"))
+    met = dealt.join(stays.hint("merge"), ["h", "salt"]).where(F.col("piece") == F.col("first.piece"))
     itself = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("t") == F.col("first.t"))
     # neither the first occurrence nor one that overlaps it: a line that is three times in a row does not make the second pair a repeat of the first
     goes = met.where(~(itself & (F.col("number") < F.col("first.number") + F.col("n_lines"))))
@@ -277,7 +277,7 @@ def without(raw: Column, gone: Column) -> Column:
 def dedup(docs: DataFrame, extend: bool = False) -> DataFrame:
     """``docs`` with repeated chunks of lines taken out of the text, and ``removed_lines`` long; with ``extend``, all runs of two lines or more."""
     gone = _merged(repeated(docs, extend), docs.schema["doc_id"].dataType.simpleString())
-    joined = docs.join(gone, _same(gone, docs), "left")
+    joined = docs.join(gone.hint("merge"), _same(gone, docs), "left")
     text = F.when(F.col("__cut_gone").isNull(), docs["text"]).otherwise(without(docs["text"].cast("binary"), F.col("__cut_gone")))
     others = [text.alias("text") if c == "text" else docs[f"`{c}`"] for c in docs.columns if c.lower() != "removed_lines"]
     return joined.select(*others, F.coalesce("__cut_lines", F.lit(0)).cast("long").alias("removed_lines"))

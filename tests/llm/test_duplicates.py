@@ -470,3 +470,12 @@ def test_extended_line_dedup_takes_every_run(spark):
     for i, text in rows:
         assert (got[i]["removed_lines"], got[i]["text"]) == (len(want[i]), "\n".join(x for k, x in enumerate(text.split("\n")) if k not in want[i]))
     assert len(want[61]) == 60_000
+
+
+def test_line_dedup_joins_small_tables_as_it_does_large_ones(spark):
+    rows = [(i, f"a b\nc d\ne f\nown {i}") for i in range(20)]
+    got = line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string"), extend=True)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    # the growth of a small run tells of a large one
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+    assert [x["removed_lines"] for x in got.orderBy("doc_id").collect()] == [0] + [3] * 19
