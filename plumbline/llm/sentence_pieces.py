@@ -264,6 +264,9 @@ class Pieces:
     def __add__(self, other: "Pieces") -> "Pieces":
         return Pieces(self.ids + other.ids, self.sizes + other.sizes)
 
+    def kept(self, which: np.ndarray) -> "Pieces":
+        return Pieces(self.ids.kept(which), self.sizes.kept(which))
+
 
 class Encoded:
     """Ids of rows one after the other, ``n`` for each row, with begin and end in the row's original bytes."""

@@ -197,6 +197,9 @@ class Counts:
     def __add__(self, other: "Counts") -> "Counts":
         return Counts(np.concatenate([self.n, other.n]))
 
+    def kept(self, which: np.ndarray) -> "Counts":
+        return Counts(self.n[which])
+
 
 _mergers: dict[str, Merger] = {}
 

@@ -65,6 +65,9 @@ class Ids:
     def __add__(self, other: "Ids") -> "Ids":
         return Ids(np.concatenate([self.flat, other.flat]), np.concatenate([self.lengths, other.lengths]))
 
+    def kept(self, which: np.ndarray) -> "Ids":
+        return Ids(*self.take(which))
+
     def take(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of the chunks ``which`` one after the other, and how many each has."""
         n = self.lengths[which]

@@ -356,3 +356,36 @@ def test_classifier_equals_the_formula():
 
     z = density(x1, p) - density(x0, p) + np.log(80 / 50)
     assert model.scores(p) == pytest.approx(1 / (1 + np.exp(-z)))
+
+
+def test_words_that_are_met_again_stay_remembered():
+    asked = Counter()
+
+    def learn(words):
+        asked.update(words)
+        return token_count.Counts(np.array([zlib.crc32(w) for w in words], np.int64))
+
+    own = W.Remembered(learn, 8)
+    for k in range(40):
+        text = " ".join([*(f"often{i}" for i in range(20)), *(f"once{k}x{i}" for i in range(30))])
+        words = W.Words(*W.buffers(pa.array([text])))
+        numbers = own.numbers(words)
+        assert own.store.n[numbers].tolist() == [zlib.crc32(w.encode()) for w in text.split()]
+        assert own.index.n <= 128
+    assert max(asked.values()) == 1
+    # more at once than there is room for, and again after it
+    for text in [" ".join(f"many{i}" for i in range(500)), "often1 many3", " ".join(f"many{i}" for i in range(3000))]:
+        words = W.Words(*W.buffers(pa.array([text])))
+        numbers = own.numbers(words)
+        assert own.store.n[numbers].tolist() == [zlib.crc32(w.encode()) for w in text.split()]
+
+
+def test_encoders_forget_and_stay_right():
+    text = pa.array([cases.prose(k, 60) for k in range(300)])
+    path = vocabulary.vocabulary_path()
+    large, small = token_output.Encoder(path), token_output.Encoder(path, 9)
+    merger = token_count.Merger(path, 9)
+    for i in range(0, 300, 10):
+        want, got = large.encode(text[i : i + 10], 2), small.encode(text[i : i + 10], 2)
+        assert want.flat.tolist() == got.flat.tolist() and want.lengths.tolist() == got.lengths.tolist()
+        assert (merger.count(text[i : i + 10]) + 1).tolist() == want.lengths.tolist()
