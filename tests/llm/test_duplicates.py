@@ -479,3 +479,20 @@ def test_line_dedup_joins_small_tables_as_it_does_large_ones(spark):
     # the growth of a small run tells of a large one
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
     assert [x["removed_lines"] for x in got.orderBy("doc_id").collect()] == [0] + [3] * 19
+
+
+def test_few_runs_are_gone_through_as_many_are(monkeypatch):
+    rng = np.random.default_rng(8)
+    p = substring_dedup.Passages()
+    a, b = [], []
+    for _ in range(80):
+        x = rng.integers(0, 2**63, rng.integers(60, 600)).astype(np.uint64)
+        y = x.copy()
+        hit = rng.random(len(y)) < rng.choice([0.0, 0.005, 0.02, 0.1])
+        y[hit] = rng.integers(0, 2**63, hit.sum()).astype(np.uint64)
+        a.append(x)
+        b.append(np.delete(y, rng.integers(0, len(y), rng.integers(0, 3))))
+    args = a, b, [[0]] * len(a), [False] * len(a), p
+    few = substring_dedup.verify(*args)
+    monkeypatch.setattr(substring_dedup, "_FEW", 0)
+    assert few == substring_dedup.verify(*args) and len(few[0]) >= 60
