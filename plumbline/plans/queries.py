@@ -40,6 +40,11 @@ def r6(c, name: str):
     return F.round(c, 6).alias(name)
 
 
+def halves_up(c: str, digits: int):
+    """A double rounded as the SQL does it, by its product with a power of ten; ``F.round`` goes by its decimal form, which may lie on the other side of a half."""
+    return F.round(F.col(c) * 10.0**digits) / 10.0**digits
+
+
 # SQL parts
 
 _WS = r"[\s\x{1c}-\x{1f}\x{85}\pZ]"
@@ -610,7 +615,7 @@ def _board(spark, sf_dir) -> DataFrame:
     named = runs.withColumn("metric", F.expr(_METRIC_NAME))
     q, v = leaderboard.quality(named), leaderboard.verbose(named)
     costs = leaderboard.roll_up(runs)
-    return q.join(v, "pipeline_hash").join(costs, "pipeline_hash").select("pipeline_hash", F.round("quality", 3).alias("quality"), F.round("cost_per_query_usd_mean", 1).alias("cost"), F.col("latency_ms_p95").alias("latency"), F.col("verbose").alias("is_verbose"))
+    return q.join(v, "pipeline_hash").join(costs, "pipeline_hash").select("pipeline_hash", halves_up("quality", 3).alias("quality"), halves_up("cost_per_query_usd_mean", 1).alias("cost"), F.col("latency_ms_p95").alias("latency"), F.col("verbose").alias("is_verbose"))
 
 
 @query(f"WITH {_BOARD} SELECT pipeline_hash, quality, cost, round(latency, 6) AS latency, is_verbose FROM e")

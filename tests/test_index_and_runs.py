@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.partitions import numbered
 from plumbline.operators import index, repro, retrieval
-from plumbline.plans import pipeline
+from plumbline.plans import pipeline, queries
 from plumbline.sources import tasks
 
 
@@ -69,6 +69,21 @@ def test_rows_are_numbered_by_ranges(spark, tmp_path):
     assert numbered(rows.limit(0), ["id"]).count() == 0
 
 
+def test_places_come_from_qualities_as_sql_rounds_them(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    # 64.0015 * 1000 lies below 64001.5, and 51.349999999999994 * 10 on 513.5
+    values = {1: 64.0015, 2: 64.002, 3: 64.5, 4: 64.0, 5: 51.349999999999994}
+    rows = [(2 * user + i, user, "view", value) for user, value in values.items() for i in (0, 1)]
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double").coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    con = duckdb.connect()
+    con.sql(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+    for name in ("leaderboard_view", "leaderboard_rollup", "pareto_front", "pareto_scatter"):
+        got = [tuple(r) for r in queries.QUERIES[name](spark, str(tmp_path)).collect()]
+        assert sorted(got) == sorted(con.sql(queries.SQL[name]).fetchall()), name
+    places = {r["pipeline_hash"]: r["place"] for r in queries.leaderboard_view(spark, str(tmp_path)).collect()}
+    assert sorted(places, key=places.get) == ["3", "2", "1", "4", "5"]
+
+
 def test_items_are_held_out_by_their_ids(spark):
     for n in (0, 1, 4, 5, 23):
         items = spark.createDataFrame([(i,) for i in range(n)], "item_id int")
